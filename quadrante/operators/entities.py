@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from quadrante.functions.text import order_by_name
 from quadrante.model import DEFAULT_YEAR, SERVICE_TYPES, Tables, service_type
 from quadrante.operators.areas import distinct_areas, with_area_names
+from quadrante.operators.joins import left_join_many, lookup_join
 
 
 def entity_rows(tables: Tables) -> DataFrame:
     """Distinct entities with the name of their area, unsorted; entities of unknown areas drop out.
 
-    The distinct comes before the join: it combines on the map side, and the join then has the
-    entities on its left, where a hot area can be split.
+    The distinct comes before the join, as it combines on the map side.
     """
     entities = tables.credenciados.select("id_municipio", "cnpj", "razao_social").distinct()
     areas = distinct_areas(tables).select("id_municipio", F.col("nome").alias("nome_municipio"))
-    return entities.join(areas, "id_municipio")
+    return lookup_join(entities, areas, ["id_municipio"])
 
 
 def entity_list(tables: Tables) -> DataFrame:
@@ -51,29 +51,21 @@ def entity_totals(tables: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("total_credenciados"))
     )
     population = tables.populacao.select("id_municipio", "populacao").distinct()
-    areas = distinct_areas(tables)
+    counted = distinct_areas(tables).join(counts, "id_municipio", "left")
     zero = F.lit(0).cast("bigint")
-    return (
-        areas.join(counts, "id_municipio", "left")
-        .join(population, "id_municipio", "left")
-        .select(
-            "id_municipio",
-            F.col("nome").alias("nome_municipio"),
-            F.coalesce("total_credenciados", zero).alias("total_credenciados"),
-            F.coalesce(F.col("populacao").cast("bigint"), zero).alias("populacao"),
-        )
+    return left_join_many(counted, population, ["id_municipio"]).select(
+        "id_municipio",
+        F.col("nome").alias("nome_municipio"),
+        F.coalesce("total_credenciados", zero).alias("total_credenciados"),
+        F.coalesce(F.col("populacao").cast("bigint"), zero).alias("populacao"),
     )
 
 
 def entities_with_service(tables: Tables, tipo: str, ano: int = DEFAULT_YEAR) -> DataFrame:
     """Per area, how many distinct entities have a fact of this type in the year."""
     st = service_type(tipo)
-    counts = (
-        entity_areas(tables)
-        .join(active_entities(tables, st.name, ano), "cnpj", "left_semi")
-        .groupBy("id_municipio")
-        .agg(F.count(F.lit(1)).alias(st.count_column))
-    )
+    active = lookup_join(entity_areas(tables), active_entities(tables, st.name, ano), ["cnpj"], "left_semi")
+    counts = active.groupBy("id_municipio").agg(F.count(F.lit(1)).alias(st.count_column))
     return with_area_names(tables, counts, sums=(), counts=(st.count_column,))
 
 
@@ -91,6 +83,5 @@ def service_entities(
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
     if (tipo or "").lower() not in SERVICE_TYPES:
         return entities.where(F.lit(False))
-    return entities.distinct().join(active_entities(tables, tipo, ano), "cnpj", "left_semi").select(
-        "id_municipio", "cnpj", "razao_social"
-    )
+    active = lookup_join(entities.distinct(), active_entities(tables, tipo, ano), ["cnpj"], "left_semi")
+    return active.select("id_municipio", "cnpj", "razao_social")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrante.functions.numbers import row_sum_zero_filled, zero_if_null
 from quadrante.model import VEHICLES, Tables
-from quadrante.operators.latest import latest_per_key
+from quadrante.operators.joins import left_join_many, lookup_join
 
 VEHICLE_COLUMNS = tuple(VEHICLES)
 
@@ -19,13 +19,21 @@ def latest_fleet(tables: Tables) -> DataFrame:
 
     The latest year is taken per area; several rows of that year all stay, and so do several
     population rows. Areas without a fleet have counts 0 and year NULL. Equal area rows stay apart.
+
+    The latest year, one row per area, is attached to the areas first. An area that has one is then
+    certain to find its fleet rows, so the left join splits into an inner join, led by the fleet, and
+    the areas without a year.
     """
-    latest = latest_per_key(tables.frotas, ["id_municipio"], "ano")
-    latest = latest.select("id_municipio", F.col("ano").alias("ano_frota"), *VEHICLE_COLUMNS)
-    population = tables.populacao.select("id_municipio", "populacao")
+    fleet = tables.frotas.select("id_municipio", F.col("ano").alias("ano_frota"), *VEHICLE_COLUMNS)
+    fleet = fleet.where(F.col("id_municipio").isNotNull() & F.col("ano_frota").isNotNull())
+    years = fleet.groupBy("id_municipio").agg(F.max("ano_frota").alias("ano_frota"))
     areas = tables.municipios.select("id_municipio", F.col("nome").alias("nome_municipio"))
-    joined = areas.join(population, "id_municipio", "left").join(latest, "id_municipio", "left")
-    return joined.select(
+    population = tables.populacao.select("id_municipio", "populacao")
+    settled = left_join_many(areas, population, ["id_municipio"])
+    dated = lookup_join(settled, years, ["id_municipio"], "left")
+    with_fleet = lookup_join(fleet, dated.where(F.col("ano_frota").isNotNull()), ["id_municipio", "ano_frota"])
+    without = dated.where(F.col("ano_frota").isNull())
+    return with_fleet.unionByName(without, allowMissingColumns=True).select(
         "id_municipio",
         "nome_municipio",
         zero_if_null(F.col("populacao").cast("bigint")).alias("populacao"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrante.operators.joins import lookup_join
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
     """All rows that carry the largest ``order_col`` of their key; ties stay, NULLs never match.
@@ -18,7 +20,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFr
     keys = list(keys)
     rows = df.where(F.col(order_col).isNotNull())
     latest = rows.groupBy(*keys).agg(F.max(order_col).alias(order_col))
-    return rows.join(latest, [*keys, order_col], "left_semi").select(*df.columns)
+    return lookup_join(rows, latest, [*keys, order_col], "left_semi").select(*df.columns)
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrante.functions.numbers import row_sum, zero_if_null
@@ -25,6 +25,7 @@ from quadrante.model import (
     service_type,
 )
 from quadrante.operators.areas import distinct_areas, with_area_names
+from quadrante.operators.joins import lookup_join
 
 DETAIL_TYPE = "array<struct<tipo:string,quantidade:bigint>>"
 
@@ -72,6 +73,13 @@ def entity_copies(tables: Tables, *extra: str) -> DataFrame:
     return known.groupBy("cnpj", "id_municipio", *extra).agg(F.count(F.lit(1)).alias("_repetidas"))
 
 
+def repeated_sums(types: Sequence[ServiceType]) -> list[Column]:
+    """Aggregates that count the quantities of an entity once per copy of its row."""
+    return [
+        F.sum(F.col(c.column) * F.col("_repetidas")).alias(c.column) for st in types for c in st.components
+    ]
+
+
 def area_sums(
     tables: Tables,
     types: Sequence[ServiceType],
@@ -83,10 +91,8 @@ def area_sums(
     entities = entity_copies(tables)
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
-    joined = entities.join(entity_year(tables, types, ano, extended), "cnpj")
-    return joined.groupBy("id_municipio").agg(
-        *[F.sum(F.col(c.column) * F.col("_repetidas")).alias(c.column) for st in types for c in st.components]
-    )
+    joined = lookup_join(entities, entity_year(tables, types, ano, extended), ["cnpj"])
+    return joined.groupBy("id_municipio").agg(*repeated_sums(types))
 
 
 def service_totals(
@@ -104,7 +110,7 @@ def service_totals(
     return totals.withColumn(st.total_column, reduce(lambda a, b: a + b, [F.col(c) for c in columns]))
 
 
-def service_struct(st: ServiceType) -> F.Column:
+def service_struct(st: ServiceType) -> Column:
     """``{total, detalhamento: [{tipo, quantidade}]}`` from the quantity columns of one type."""
     quantities = [zero_if_null(F.col(c.column)) for c in st.components]
     detail = F.array(

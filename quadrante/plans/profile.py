@@ -1,7 +1,7 @@
 """Area profiles: entity lists and service totals of all five types, nested or as rows.
 
-All areas are computed by one job. The facts of the year are read once per type for the totals and,
-narrowed to ``cnpj``, once for the lists; give ``id_municipio`` to prune to one area.
+All areas are computed by one job that reads and shuffles the facts of the year once per type,
+reduced to one row per cnpj; give ``id_municipio`` to prune to one area.
 """
 
 from __future__ import annotations
@@ -15,7 +15,14 @@ from quadrante.functions.numbers import zero_if_null
 from quadrante.functions.text import format_cnpj, name_key
 from quadrante.model import DEFAULT_YEAR, SERVICE_TYPES, ServiceType, Tables, map_view
 from quadrante.operators.areas import distinct_areas
-from quadrante.operators.services import active_flag, area_sums, entity_year, service_struct
+from quadrante.operators.joins import lookup_join
+from quadrante.operators.services import (
+    active_flag,
+    entity_copies,
+    entity_year,
+    repeated_sums,
+    service_struct,
+)
 
 ALL_TYPES = tuple(SERVICE_TYPES.values())
 ENTRIES_PER_DOCUMENT = 50_000
@@ -31,17 +38,24 @@ def entity_activity(
     ano: int = DEFAULT_YEAR,
     id_municipio: int | None = None,
 ) -> DataFrame:
-    """Distinct entities of each area with any service of the types in the year, one flag per type."""
-    entities = tables.credenciados.select("id_municipio", "cnpj", "razao_social")
-    entities = entities.where(F.col("id_municipio").isNotNull() & F.col("cnpj").isNotNull())
+    """Distinct entities of each area with any service of the types in the year.
+
+    Columns: ``id_municipio, cnpj, razao_social``, the copies of the row, and per type an activity
+    flag and the summed quantities of the entity.
+    """
+    entities = entity_copies(tables, "razao_social")
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
-    flags = entity_year(tables, types, ano).select("cnpj", *[active_flag(st) for st in types])
-    return entities.distinct().join(flags, "cnpj")
+    return lookup_join(entities, entity_year(tables, types, ano), ["cnpj"])
+
+
+def _section_sizes(types: Sequence[ServiceType]) -> list[Column]:
+    return [F.count(active_flag(st)).alias(_size(st)) for st in types]
 
 
-def _section_sizes(activity: DataFrame, types: Sequence[ServiceType]) -> DataFrame:
-    return activity.groupBy("id_municipio").agg(*[F.count(active_flag(st)).alias(_size(st)) for st in types])
+def _area_stats(activity: DataFrame, types: Sequence[ServiceType]) -> DataFrame:
+    """One row per area: how many entities each section lists, and the summed quantities."""
+    return activity.groupBy("id_municipio").agg(*_section_sizes(types), *repeated_sums(types))
 
 
 def _areas(tables: Tables, id_municipio: int | None) -> DataFrame:
@@ -53,13 +67,8 @@ def _areas(tables: Tables, id_municipio: int | None) -> DataFrame:
 
 def profile_rows(tables: Tables, ano: int = DEFAULT_YEAR, id_municipio: int | None = None) -> DataFrame:
     """Flat profile ``(id_municipio, nome, tipo, n_credenciados, total)``, five rows per area."""
-    sizes = _section_sizes(entity_activity(tables, ALL_TYPES, ano, id_municipio), ALL_TYPES)
-    sums = area_sums(tables, ALL_TYPES, ano, id_municipio=id_municipio)
-    joined = (
-        _areas(tables, id_municipio)
-        .join(sizes, "id_municipio", "left")
-        .join(sums, "id_municipio", "left")
-    )
+    stats = _area_stats(entity_activity(tables, ALL_TYPES, ano, id_municipio), ALL_TYPES)
+    joined = _areas(tables, id_municipio).join(stats, "id_municipio", "left")
     lines = F.array(
         *[
             F.struct(
@@ -96,34 +105,39 @@ def area_profiles(
     totals in each. All other areas have exactly one document. An unknown area gives no row.
     """
     activity = entity_activity(tables, ALL_TYPES, ano, id_municipio)
+    stats = _area_stats(activity, ALL_TYPES)
     longest = F.greatest(*[F.col(_size(st)) for st in ALL_TYPES])
-    crowded = (
-        _section_sizes(activity, ALL_TYPES)
-        .select("id_municipio", F.ceil(longest / F.lit(entries_per_document)).alias("_partes"))
-        .where(F.col("_partes") > 1)
-    )
+    quantities = [c.column for st in ALL_TYPES for c in st.components]
+    # A part only knows its own share of the sums, so a crowded area brings its whole ones along.
+    # Both sides of the join thus need the same fact columns, and Spark shuffles the facts once.
+    crowded = stats.select(
+        "id_municipio",
+        F.ceil(longest / F.lit(entries_per_document)).alias("_partes"),
+        *[F.col(q).alias(f"_{q}_inteiro") for q in quantities],
+    ).where(F.col("_partes") > 1)
     one = F.lit(1).cast("bigint")
-    spread = activity.join(crowded, "id_municipio", "left").withColumn(
+    # One row without an entity per area gives a document to areas that have none.
+    areas = _areas(tables, id_municipio)
+    rows = activity.unionByName(areas.select("id_municipio").distinct(), allowMissingColumns=True)
+    spread = lookup_join(rows, crowded, ["id_municipio"], "left").withColumn(
         "_parte", F.pmod(F.xxhash64("cnpj", "razao_social"), F.coalesce("_partes", one)) + one
     )
-    lists = spread.groupBy("id_municipio", "_partes", "_parte").agg(
-        *[_named_list(st).alias(f"_{st.name}_lista") for st in ALL_TYPES]
+    documents = spread.groupBy("id_municipio", "_partes", "_parte").agg(
+        *[_named_list(st).alias(f"_{st.name}_lista") for st in ALL_TYPES],
+        *repeated_sums(ALL_TYPES),
+        *[F.max(f"_{q}_inteiro").alias(f"_{q}_inteiro") for q in quantities],
     )
-    sums = area_sums(tables, ALL_TYPES, ano, id_municipio=id_municipio)
-    joined = (
-        _areas(tables, id_municipio)
-        .join(lists, "id_municipio", "left")
-        .join(sums, "id_municipio", "left")
+    joined = lookup_join(documents, areas, ["id_municipio"]).withColumns(
+        {q: F.when(F.col("_partes") > 1, F.col(f"_{q}_inteiro")).otherwise(F.col(q)) for q in quantities}
     )
-    empty = F.array().cast("array<struct<cnpj:string,razao_social:string>>")
-    entities = F.struct(*[F.coalesce(F.col(f"_{st.name}_lista"), empty).alias(st.name) for st in ALL_TYPES])
+    entities = F.struct(*[F.col(f"_{st.name}_lista").alias(st.name) for st in ALL_TYPES])
     services = F.struct(*[service_struct(st).alias(st.name) for st in ALL_TYPES])
     return joined.select(
         "id_municipio",
         "nome",
         entities.alias("credenciados"),
         services.alias("servicos"),
-        F.coalesce("_parte", one).alias("parte"),
+        F.col("_parte").alias("parte"),
         F.coalesce("_partes", one).alias("partes"),
     )
 
@@ -134,8 +148,7 @@ def section_entities(
     """Entity tables of the sections a view shows, as rows with the size of their section.
 
     Columns ``id_municipio, tipo_servico, titulo, tamanho, vazio, razao_social, cnpj`` with the cnpj
-    formatted; an empty section is one row with ``vazio`` true and no entity. Entities stay on the
-    left of the join with the sizes, where an area holding most of them can be split.
+    formatted; an empty section is one row with ``vazio`` true and no entity.
     """
     types = [SERVICE_TYPES[s] for s in map_view(view).sections]
     columns = ["id_municipio", "tipo_servico", "titulo", "tamanho", "vazio", "razao_social", "cnpj"]
@@ -164,8 +177,9 @@ def section_entities(
 
     activity = entity_activity(tables, types, ano, id_municipio)
     areas = _areas(tables, id_municipio).select("id_municipio").distinct()
-    sizes = areas.join(_section_sizes(activity, types), "id_municipio", "left")
-    filled = activity.join(sizes, "id_municipio").select(
+    counted = activity.groupBy("id_municipio").agg(*_section_sizes(types))
+    sizes = areas.join(counted, "id_municipio", "left")
+    filled = lookup_join(activity, sizes, ["id_municipio"]).select(
         "id_municipio",
         "razao_social",
         format_cnpj(F.col("cnpj")).alias("cnpj"),
