@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_long(name: str) -> Column:
-    return F.col(name).cast("bigint")
-
-
 def zero_if_null(col: Column) -> Column:
     return F.coalesce(col, F.lit(0).cast("bigint"))
 
 
 def row_sum(names: tuple[str, ...]) -> Column:
     """Sum columns of one row; a single NULL makes the whole sum NULL."""
-    return reduce(add, [as_long(n) for n in names])
+    return F.expr(" + ".join(f"CAST({n} AS BIGINT)" for n in names))
 
 
 def row_sum_zero_filled(names: tuple[str, ...]) -> Column:
     """Sum columns of one row, counting NULL as 0."""
-    return reduce(add, [zero_if_null(as_long(n)) for n in names])
+    return F.expr(" + ".join(f"COALESCE(CAST({n} AS BIGINT), 0L)" for n in names))
 
 
 def format_number_ptbr(col: Column) -> Column:

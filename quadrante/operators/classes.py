@@ -24,18 +24,16 @@ FLEET_THRESHOLD = 100_000
 
 
 def _palette() -> Column:
-    return F.array(*[F.lit(c) for c in PALETTE])
+    return F.expr(f"array({', '.join(repr(c) for c in PALETTE)})")
 
 
-def _longs(values: tuple[int, ...]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def _longs(values: tuple[int, ...]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
 
 
-def _steps(largest: str, classes: int) -> Column:
+def _steps(largest: str, classes: int) -> str:
     """Multiples 0..classes of the smallest whole step that reaches the largest value."""
-    return F.expr(
-        f"transform(sequence(0, {classes}), i -> i * (({largest} + {classes - 1}) div {classes}))"
-    )
+    return f"transform(sequence(0, {classes}), i -> i * (({largest} + {classes - 1}) div {classes}))"
 
 
 def class_breaks(df: DataFrame, metric: str, fleet: bool = False) -> DataFrame:
@@ -49,13 +47,11 @@ def class_breaks(df: DataFrame, metric: str, fleet: bool = False) -> DataFrame:
     largest = df.agg(
         F.coalesce(F.max(F.coalesce(F.col(metric).cast("bigint"), zero)), zero).alias("_maximo")
     )
-    value = F.col("_maximo")
-    breaks = _steps("_maximo", PROPORTIONAL_CLASSES)
-    for upper, fixed in reversed(FIXED_BREAKS):
-        breaks = F.when(value <= upper, _longs(fixed)).otherwise(breaks)
+    cases = [f"WHEN _maximo <= {upper} THEN {_longs(fixed)}" for upper, fixed in FIXED_BREAKS]
     if fleet:
-        breaks = F.when(value > FLEET_THRESHOLD, _steps("_maximo", FLEET_CLASSES)).otherwise(breaks)
-    return largest.select(breaks.alias("intervalos"))
+        cases.insert(0, f"WHEN _maximo > {FLEET_THRESHOLD} THEN {_steps('_maximo', FLEET_CLASSES)}")
+    breaks = f"CASE {' '.join(cases)} ELSE {_steps('_maximo', PROPORTIONAL_CLASSES)} END"
+    return largest.select(F.expr(breaks).alias("intervalos"))
 
 
 def bucket(value: Column, breaks: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,13 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
         if fmt == "json":
             fields = [*SCHEMAS[name].fields, *OPTIONAL_COLUMNS.get(name, [])]
             reader = reader.schema(", ".join(f"{f.name} string" for f in fields))
-        return reader.load(f"{path}/{name}")
+        try:
+            return reader.load(f"{path}/{name}")
+        except AnalysisException as error:
+            # A partitioned table without rows is a folder without files.
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return spark.createDataFrame([], SCHEMAS[name])
 
     return _build(read)
 

@@ -423,3 +423,9 @@ def oracle_statements() -> dict[str, str]:
         quebras=_breaks("servicos_clinicas"),
     )
     return out
+
+
+def without_schema(statement: str) -> str:
+    """The same statement for a database that holds the star schema itself as tables."""
+    rest = statement.removeprefix(f"WITH {_schema_ctes()}").lstrip()
+    return f"WITH {rest[1:]}" if rest.startswith(",") else rest
