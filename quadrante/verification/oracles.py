@@ -20,7 +20,14 @@ from quadrante.model import (
 )
 from quadrante.operators.classes import FIXED_BREAKS
 from quadrante.plans.overview import HEADER_LABELS
-from quadrante.verification.registry import PRIORITIES, REGION_OFFSET, SEGMENTS, UNMAPPED_OFFSET, YEAR
+from quadrante.verification.registry import (
+    PART_OFFSET,
+    PRIORITIES,
+    REGION_OFFSET,
+    SEGMENTS,
+    UNMAPPED_OFFSET,
+    YEAR,
+)
 
 
 def _percent(name: str) -> str:
@@ -54,10 +61,13 @@ def _schema_ctes() -> str:
     l_year, o_year = "CAST(year(l_shipdate) AS INT)", "CAST(year(o_orderdate) AS INT)"
     ctes = {
         "municipios": "SELECT CAST(n_nationkey AS INT) AS id_municipio, n_name AS nome FROM nation"
-        f" UNION ALL SELECT CAST(r_regionkey + {REGION_OFFSET} AS INT), r_name FROM region",
+        f" UNION ALL SELECT CAST(r_regionkey + {REGION_OFFSET} AS INT), r_name FROM region"
+        f" UNION ALL SELECT CAST(p_partkey + {PART_OFFSET} AS INT), p_name FROM part",
         "credenciados": "SELECT CAST(s_suppkey AS VARCHAR) AS cnpj, s_name AS razao_social,"
         " CAST(s_nationkey AS INT) AS id_municipio FROM supplier"
-        " UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS INT) FROM customer",
+        " UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS INT) FROM customer"
+        " UNION ALL SELECT CAST(user_id AS VARCHAR), 'User#' || user_id,"
+        f" CAST(event_id + {PART_OFFSET} AS INT) FROM events",
         "servicos_cfc": f"SELECT CAST(l_suppkey AS VARCHAR) AS cnpj, {l_year} AS ano,"
         f" CASE WHEN l_linestatus = 'O' THEN {qty} END AS cursos_teoricos,"
         f" CASE WHEN l_linestatus = 'F' THEN {qty} END AS cursos_praticos FROM lineitem",
@@ -294,8 +304,9 @@ def oracle_statements() -> dict[str, str]:
         "SELECT DISTINCT c.id_municipio, c.cnpj, c.razao_social, m.nome AS nome_municipio"
         " FROM credenciados c JOIN municipios m USING (id_municipio)"
     )
-    by_name = f"SELECT DISTINCT id_municipio FROM credenciados WHERE razao_social = '{FILTER_NAME}'"
-    by_cnpj = f"SELECT DISTINCT id_municipio FROM credenciados WHERE {_format_cnpj('cnpj')} = '{FILTER_CNPJ}'"
+    # Look-ups search the entity list, which leaves out entities of unknown areas.
+    by_name = f"SELECT DISTINCT id_municipio FROM ({entity_list}) WHERE razao_social = '{FILTER_NAME}'"
+    by_cnpj = f"SELECT DISTINCT id_municipio FROM ({entity_list}) WHERE {_format_cnpj('cnpj')} = '{FILTER_CNPJ}'"
     id_list = ", ".join(f"'{i}'" for i in FILTER_IDS)
     hits = {
         "municipio": f"id IN ({id_list})",

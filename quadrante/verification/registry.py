@@ -2,9 +2,12 @@
 
 Every table below is a projection or an aggregate of complete source tables:
 
-* areas are all nations, and all regions under ids from 1000 (they have no entities: empty areas);
-* entities are all suppliers and all customers; a supplier and a customer with the same key share
-  one identifier, usually in two areas and always under two names (many-to-many, fan-out);
+* areas are all nations, all regions under ids from 1000 (they have no entities: empty areas) and all
+  parts under ids from 100000, so that the number of areas grows with the data;
+* entities are all suppliers and all customers, in their nation, and the users of all events, in the
+  part area numbered as the event. A supplier, a customer and a user with the same key share one
+  identifier under several names and areas (many-to-many, fan-out); events beyond the number of parts
+  lie in areas that do not exist (orphans);
 * facts are all line items keyed by supplier (driving schools), part (inspections) or order (plate
   stamping), and all orders keyed by customer (clinics) or order (yards); keys without an entity
   are orphans, entities without a key have no service, and NULL measures occur throughout;
@@ -24,6 +27,7 @@ from quadrante.model import INSPECTION_EXTRA, INSPECTION_MEASURES, Tables
 
 YEAR = 2000
 REGION_OFFSET = 1000
+PART_OFFSET = 100_000
 UNMAPPED_OFFSET = 2000
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -64,11 +68,21 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> Tables:
     customer = _read(spark, sf_dir, "customer")
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
+    part = _read(spark, sf_dir, "part")
+    events = _read(spark, sf_dir, "events")
 
     areas = nation.select(F.col("n_nationkey").cast("int").alias("id_municipio"), F.col("n_name").alias("nome"))
     regions = region.select(
         (F.col("r_regionkey") + REGION_OFFSET).cast("int").alias("id_municipio"), F.col("r_name").alias("nome")
     )
+    districts = part.select(
+        (F.col("p_partkey") + PART_OFFSET).cast("int").alias("id_municipio"), F.col("p_name").alias("nome")
+    )
+    users = events.select(
+        _key("user_id"),
+        F.concat(F.lit("User#"), F.col("user_id")).alias("razao_social"),
+        (F.col("event_id") + PART_OFFSET).cast("int").alias("id_municipio"),
+    )
     entities = supplier.select(
         _key("s_suppkey"), F.col("s_name").alias("razao_social"), F.col("s_nationkey").cast("int").alias("id_municipio")
     ).unionByName(
@@ -110,8 +124,8 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ],
     )
     return Tables(
-        municipios=areas.unionByName(regions),
-        credenciados=entities,
+        municipios=areas.unionByName(regions).unionByName(districts),
+        credenciados=entities.unionByName(users),
         servicos_cfc=lineitem.select(
             _key("l_suppkey"),
             _year("l_shipdate"),

@@ -27,4 +27,4 @@ def test_query_matches_oracle(spark, duck_sources, name):
 
 
 def test_entry(spark):
-    assert entry_point.entry(spark).count() == 150
+    assert entry_point.entry(spark).count() == 5 * (25 + 5 + 200)
