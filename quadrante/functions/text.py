@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 CNPJ_DIGITS = 14
 
-# Fixed value: the white space and line terminators that an ECMAScript trim removes.
-_BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# Code points of the white space and line ends that an ECMAScript trim removes.
+BLANKS = (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+)
 
 # Name order that ignores case and accents, and name order that only ranks them last.
 LOOSE_COLLATION = "UNICODE_CI_AI"
@@ -17,7 +20,7 @@ LOCALE_COLLATION = "UNICODE"
 
 def trim_blanks(col: Column) -> Column:
     """Strip every kind of Unicode blank from both ends (SQL ``trim`` only strips spaces)."""
-    return F.regexp_replace(col, f"^{_BLANKS}+|{_BLANKS}+$", "")
+    return F.btrim(col, F.lit("".join(map(chr, BLANKS))))
 
 
 def digits_only(col: Column) -> Column:
