@@ -15,14 +15,22 @@ from pyspark.sql import functions as F
 
 _SPREAD = "_espalhamento"
 
+# Key types whose equal values have equal hashes (unlike floats or collated strings).
+_HASHABLE = {"string", "tinyint", "smallint", "int", "bigint", "date"}
+
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows``, in which keys may be hot, to a ``lookup`` with few rows per key.
 
     A second join key, a function of the first, makes Spark shuffle the (already reduced) look-up
     for the join, so that hot partitions of ``rows`` can be split. Where Spark finds one side small
-    enough to broadcast, neither side is shuffled and the extra key costs nothing.
+    enough to broadcast, neither side is shuffled and the extra key costs nothing. Keys that differ
+    in type, or are of a type not safe to hash, are joined plainly.
     """
+    left, right = ({c.lower(): t for c, t in df.dtypes} for df in (rows, lookup))
+    types = [(left[k.lower()], right[k.lower()]) for k in keys]
+    if any(a != b or a not in _HASHABLE for a, b in types):
+        return rows.join(lookup, list(keys), how)
     spread = F.xxhash64(*keys)
     joined = rows.withColumn(_SPREAD, spread).join(lookup.withColumn(_SPREAD, spread), [*keys, _SPREAD], how)
     return joined.drop(_SPREAD)
