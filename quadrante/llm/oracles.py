@@ -28,6 +28,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP8 = r"""
+WITH broken AS (
+  SELECT doc_id, text, regexp_replace(text, '([ \t\r\f\v]*\n\s*)', '\1' || chr(31), 'g') AS t FROM documents
+), ended AS (
+  SELECT doc_id, text, regexp_replace(regexp_replace(t, '([.!?])([ \t\r\f\v]+)([^ \t\r\f\v\n\x1F])', '\1\2' || chr(31) || '\3', 'g'),
+    '([.!?])([ \t\r\f\v]+)([^ \t\r\f\v\n\x1F])', '\1\2' || chr(31) || '\3', 'g') AS t FROM broken
+), capital AS (
+  SELECT doc_id, text, regexp_replace(t, '([ \t\r\f\v]+)([A-ZÀ-ÖØ-Þ])', '\1' || chr(31) || '\2', 'g') AS t FROM ended
+), listed AS (
+  SELECT doc_id, text, list_filter(string_split(t, chr(31)), lambda u: u <> '') AS us FROM capital
+), cut AS (
+  SELECT doc_id, k AS position, us[k] AS unit, trim(regexp_replace(lower(us[k]), '\s+', ' ', 'g')) AS norm
+  FROM listed, unnest(range(1, len(us) + 1)) AS t(k)
+), placed AS (
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, position) > 1 AS later,
+    CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words
+  FROM cut
+), grouped AS (
+  SELECT *, position - row_number() OVER (PARTITION BY doc_id, later ORDER BY position) AS run FROM placed
+), judged AS (
+  SELECT *, later AND sum(words) OVER (PARTITION BY doc_id, later, run) >= 8 AS gone FROM grouped
+), spans AS (
+  SELECT doc_id, string_agg(CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR), ',' ORDER BY a) AS removed_spans FROM (
+    SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + length(unit)) AS BIGINT) AS b FROM judged WHERE gone GROUP BY doc_id, run
+  ) GROUP BY doc_id
+), rebuilt AS (
+  SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY position) FILTER (WHERE NOT gone), '') AS kept, count(*) AS n_units,
+    count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(kept, text) AS text, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+  coalesce(removed_spans, '') AS removed_spans
+FROM documents LEFT JOIN rebuilt USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_decontaminate": OP2}
+    return {"op2_decontaminate": OP2, "op8_substring_dedup": OP8}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrante.llm import oracles
 
@@ -44,11 +45,35 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.substrings import substring_spans
+
+    found = substring_spans(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])))
+    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 
