@@ -33,6 +33,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.pages import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrante.llm.packing import pack
 
@@ -53,6 +59,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.multi_index import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrante.llm.quality import score, train
 
@@ -69,9 +81,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_multi_index": op9_multi_index,
     "op10_quality": op10_quality,
     "pipeline": pipeline,
 }
