@@ -63,6 +63,23 @@ SELECT doc_id, coalesce(kept, text) AS text, coalesce(n_units, 0) AS n_units, co
 FROM documents LEFT JOIN rebuilt USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
+OP3 = r"""
+WITH rows AS (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS place,
+    coalesce(strlen(text), 0) AS bytes FROM documents
+), buckets AS (
+  SELECT depth, place >> (60 - depth) AS prefix, sum(bytes) AS total, count(DISTINCT place) AS places
+  FROM rows, unnest(range(0, 61)) AS t(depth) GROUP BY ALL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, place) - 1 AS n, row_number() OVER () AS id FROM rows
+), placed AS (
+  SELECT id, doc_id, bytes, n, min(struct_pack(depth := depth, prefix := prefix, total := total)) AS b
+  FROM numbered JOIN buckets ON buckets.prefix = place >> (60 - depth) WHERE total <= 1048576 OR places = 1 GROUP BY ALL
+)
+SELECT doc_id, CAST(b.depth AS BIGINT) AS depth, b.prefix AS prefix,
+  CASE WHEN b.total > 1048576 THEN n // greatest(1, 1048576 // greatest(bytes, 1)) ELSE 0 END AS overflow, bytes FROM placed
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op8_substring_dedup": OP8}
+    return {"op2_decontaminate": OP2, "op3_sharding": OP3, "op8_substring_dedup": OP8}

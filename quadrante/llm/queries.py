@@ -20,6 +20,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.licenses import scan_licenses, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs, train(docs))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrante.llm.decontaminate import scan
 
@@ -79,7 +96,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
+    "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
