@@ -8,9 +8,12 @@ given to the library whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +22,21 @@ from pyspark.sql import functions as F
 
 from quadrante.llm.common import stored
 
-_BESIDE_SPACE = re.compile(r" \s| \Z|\x00")
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
-_PLAIN = re.compile(rf" ?(?:[{_LATIN}]++|[{_MARKS}]++|\n(?=[{_LATIN}{_MARKS}]))+\Z")
-_PARTS = re.compile(rf" ?[{_LATIN}]+| ?[{_MARKS}]+|\n")
+_PLAIN = re.compile(rf"(?:[{_LATIN}]++|[{_MARKS}]++|\n(?=[{_LATIN}{_MARKS}]))+\Z")
+_PARTS = re.compile(rf"[{_LATIN}]+|[{_MARKS}]+|\n")
+_ALONE = "\x00"  # begins the key of what has no blank before it
 _workers: dict[tuple, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Encodes texts to little-endian ids of ``width`` bytes, with a memory of at most ``limit`` words."""
+    """Encodes texts to little-endian ids of ``width`` bytes, with a memory of at most about ``limit`` words.
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    A key of the memory stands for itself with a blank before it, or without one if it begins with ``_ALONE``.
+    """
+
+    def __init__(self, path: str, limit: int = 900_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -38,52 +44,92 @@ class WordTokenizer:
             described = json.load(file)
         kinds = json.dumps(described["pre_tokenizer"])
         self.lower = '"Lowercase"' in json.dumps(described["normalizer"])  # such a file also drops white space
-        self.splits = "ByteLevel" in kinds and not re.search('"add_prefix_space": true', kinds)
+        self.splits = "ByteLevel" in kinds and '"add_prefix_space": true' not in kinds
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
+        self.special = [token["content"] for token in described["added_tokens"]]
         self.limit = limit
-        self.of_piece: dict[str, bytes] = {}
-        self.of_part: dict[str, bytes] = {}
+        self.of: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the memory of words is costly to walk
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        pieces: list[list[str] | None] = []
+        values: list[list[bytes | None]] = []
+        missing: set[str] = set()
+        get = self.of.get
         for text in texts:
-            if not text:
-                cut.append([])
-            elif not self.splits or _BESIDE_SPACE.search(text):
-                cut.append(None)
-            else:
-                pieces = text.split(" ")
-                pieces[0] = "\x00" + pieces[0]  # the only piece without a blank before it
-                cut.append(pieces)
-                new.update(pieces)
-        if len(self.of_piece) > self.limit:
-            self.of_piece.clear()
-        self._learn(new.difference(self.of_piece))
-        of = self.of_piece.__getitem__
-        whole = iter(self._library([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(of, pieces)) for pieces in cut]
-
-    def _learn(self, pieces: set[str]) -> None:
-        rest, split = [], []
-        for piece in pieces:
-            text = piece[1:] if piece[:1] == "\x00" else " " + piece
-            if _PLAIN.match(text):
-                parts = _PARTS.findall(text.lower()) if self.lower else _PARTS.findall(text)
-                split.append((piece, [p.strip() for p in parts] if self.lower else parts))
+            cut = self._cut(text)
+            found = list(map(get, cut)) if cut else []
+            if None in found:
+                missing.update([p for p, v in zip(cut, found) if v is None])
+            pieces.append(cut)
+            values.append(found)
+        # A blank before white space (or at the end) is no cut: such texts go to the library whole.
+        odd = {p for p in missing if not p or p[0].isspace()}
+        if odd:
+            pieces = [None if p and not odd.isdisjoint(p) else p for p in pieces]
+        learnt = self._learn(missing - odd)
+        whole = iter(self._library([t for t, p in zip(texts, pieces) if p is None]))
+        out = []
+        for cut, found in zip(pieces, values):
+            if cut is None:
+                out.append(next(whole))
+            elif None in found:
+                out.append(b"".join([learnt[p] if v is None else v for p, v in zip(cut, found)]))
             else:
-                rest.append((piece, text))
-        if len(self.of_part) > self.limit:
-            self.of_part.clear()
-        parts = list({p for _, own in split for p in own} - self.of_part.keys())
-        self.of_part.update(zip(parts, self._library(parts)))
-        of = self.of_part.__getitem__
-        self.of_piece.update((piece, b"".join(map(of, own))) for piece, own in split)
-        self.of_piece.update(zip((p for p, _ in rest), self._library([t for _, t in rest])))
+                out.append(b"".join(found))
+        return out
+
+    def _cut(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        if not self.splits or _ALONE in text or any(token in text for token in self.special):
+            return None
+        pieces = text.split(" ")
+        pieces[0] = _ALONE + pieces[0]
+        return pieces
+
+    def _keys(self, piece: str) -> list[str]:
+        """Keys whose ids, one after the other, are those of the piece."""
+        lead, word = (_ALONE, piece[1:]) if piece[0] == _ALONE else ("", piece)
+        if self.lower:
+            lead = ""
+            if word.isascii():
+                word = word.lower()
+        if word.isalpha():
+            return [lead + word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [lead + word[:-1], _ALONE + word[-1]]
+        if _PLAIN.match(word):
+            parts = _PARTS.findall(word.lower() if self.lower else word)
+            return [lead + parts[0], *(_ALONE + p for p in parts[1:])]
+        return [lead + word]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces; words and words with a mark are remembered."""
+        keys = {piece: self._keys(piece) for piece in pieces}
+        if len(self.of) > self.limit:
+            self.of.clear()
+        new = list({k for own in keys.values() for k in own} - self.of.keys())
+        self.of.update(zip(new, self._library([k[1:] if k[:1] == _ALONE else " " + k for k in new])))
+        of = self.of
+        learnt = {piece: of[own[0]] if len(own) == 1 else b"".join([of[k] for k in own]) for piece, own in keys.items()}
+        of.update((piece, ids) for piece, ids in learnt.items() if len(keys[piece]) <= 2)
+        return learnt
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        kind = "H" if self.width == 2 else "I"
+        if sys.byteorder == "little":
+            return [array(kind, e.ids).tobytes() for e in encoded]
         return [np.array(e.ids, self.type).tobytes() for e in encoded]
 
 
