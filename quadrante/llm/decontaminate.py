@@ -196,12 +196,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_gram
     blocks = gram_blocks(benchmark, n, block_grams)
     if len(blocks) == 1:
         return docs.mapInArrow(_remover(blocks[0]), docs.schema)
-    out, before, now = docs, None, ()
-    while now != before:  # a removal for one block can close a window of another
+    out = docs
+    while True:  # hits of all blocks are removed together, so the result does not depend on the blocks
+        marked = out.select(F.struct(*(out[c] for c in out.columns)).alias("row"), F.expr("cast(null as array<int>)").alias("at"))
         for block in blocks:
-            out = stored(out.mapInArrow(_remover(block), docs.schema))
-        before, now = now, out.agg(F.count("*"), F.sum(F.xxhash64("text").cast("decimal(38,0)"))).first()
-    return out
+            marked = stored(marked.mapInArrow(_range_marker(block), marked.schema))
+        if marked.where(F.size("at") > 0).isEmpty():
+            return out
+        out = stored(marked.mapInArrow(_cut_ranges, docs.schema))
+
+
+def _range_marker(block):
+    def mark(batches):
+        grams = block.value
+        for batch in batches:
+            at = []
+            for text, ranges in zip(pa.RecordBatch.from_struct_array(batch["row"])["text"].to_pylist(), batch["at"].to_pylist()):
+                found = grams.hits(words(text.encode("utf-8", "replace") if text else None))[0]
+                at.append([x for pair in merged([*found, *(zip(ranges[::2], ranges[1::2]) if ranges else ())]) for x in pair])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(at, pa.list_(pa.int32()))], ["row", "at"])
+
+    return mark
+
+
+def _cut_ranges(batches):
+    for batch in batches:
+        rows = pa.RecordBatch.from_struct_array(batch["row"])
+        texts, keep = rows["text"].to_pylist(), []
+        for k, at in enumerate(batch["at"].to_pylist()):
+            if at:
+                texts[k] = without(texts[k], spans_of(texts[k], list(zip(at[::2], at[1::2]))))
+            keep.append(not at or bool(words(texts[k].encode("utf-8", "replace"))))
+        yield replaced(rows, texts).filter(pa.array(keep))
 
 
 def _remover(block):

@@ -102,8 +102,11 @@ def fit(sample: np.ndarray, groups: np.ndarray, codewords: int, cosine: float, r
 
 
 def _unit(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    flat = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in batch["unit"]]) if batch.num_rows else np.zeros((0, 0))
-    return flat if flat.shape[1] == width else np.pad(flat, ((0, 0), (0, width - flat.shape[1])))
+    units = np.zeros((batch.num_rows, width))
+    for k, raw in enumerate(batch["unit"]):
+        own = np.frombuffer(raw.as_buffer(), "<f8")
+        units[k, : len(own)] = own
+    return units
 
 
 def usable(embeddings: DataFrame) -> DataFrame:

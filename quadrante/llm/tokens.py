@@ -36,7 +36,7 @@ class WordTokenizer:
     A key of the memory stands for itself with a blank before it, or without one if it begins with ``_ALONE``.
     """
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
