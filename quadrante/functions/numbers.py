@@ -21,6 +21,7 @@ def row_sum_zero_filled(names: tuple[str, ...]) -> Column:
 
 
 def format_number_ptbr(col: Column) -> Column:
-    """Grouped thousands with at most three decimals, Brazilian separators; NULL reads ``0``."""
-    text = F.call_function("format_number", F.coalesce(col, F.lit(0)), F.lit("#,##0.###"))
-    return F.translate(text, ",.", ".,")
+    """Grouped thousands with at most three decimals, Brazilian separators; NULL and NaN read ``0``, as does what rounds to it."""
+    filled = F.coalesce(F.when(~F.isnan(col), col), F.lit(0))
+    text = F.call_function("format_number", filled, F.lit("#,##0.###"))
+    return F.translate(F.when(text == "-0", "0").otherwise(text), ",.", ".,")

@@ -30,6 +30,7 @@ def digits_only(col: Column) -> Column:
 def format_cnpj(col: Column) -> Column:
     """``XX.XXX.XXX/XXXX-XX``; short values are zero-padded, longer ones come back as bare digits."""
     digits = digits_only(col)
+    # The mask of the national identifier.
     padded = F.when(F.length(digits) < CNPJ_DIGITS, F.lpad(digits, CNPJ_DIGITS, "0")).otherwise(digits)
     return F.regexp_replace(padded, r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5")
 

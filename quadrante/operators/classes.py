@@ -18,6 +18,7 @@ FIXED_BREAKS = (
     (500, (0, 50, 100, 200, 350, 500)),
     (1000, (0, 100, 200, 500, 750, 1000)),
 )
+# Classes above the table, and of fleets above the threshold.
 PROPORTIONAL_CLASSES = 6
 FLEET_CLASSES = 7
 FLEET_THRESHOLD = 100_000

@@ -37,9 +37,13 @@ def entity_areas(tables: Tables) -> DataFrame:
     return known.select("id_municipio", "cnpj").distinct()
 
 
-def active_entities(tables: Tables, tipo: str, ano: int = DEFAULT_YEAR) -> DataFrame:
-    """Distinct cnpj with a fact of this type in the year."""
+def active_entities(
+    tables: Tables, tipo: str, ano: int = DEFAULT_YEAR, only: DataFrame | None = None
+) -> DataFrame:
+    """Distinct cnpj with a fact of this type in the year; among those of ``only``, if given."""
     facts = tables.services(tipo).where((F.col("ano") == F.lit(ano)) & F.col("cnpj").isNotNull())
+    if only is not None:
+        facts = facts.join(only, "cnpj", "left_semi")
     return facts.select("cnpj").distinct()
 
 
@@ -79,9 +83,11 @@ def service_entities(
     """
     entities = tables.credenciados.select("id_municipio", "cnpj", "razao_social")
     entities = entities.where(F.col("id_municipio").isNotNull())
+    only = None
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
+        only = entities.select("cnpj")
     if (tipo or "").lower() not in SERVICE_TYPES:
         return entities.where(F.lit(False))
-    active = lookup_join(entities.distinct(), active_entities(tables, tipo, ano), ["cnpj"], "left_semi")
+    active = lookup_join(entities.distinct(), active_entities(tables, tipo, ano, only), ["cnpj"], "left_semi")
     return active.select("id_municipio", "cnpj", "razao_social")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quadrante.functions.text import (
     LOCALE_COLLATION,
@@ -21,6 +23,10 @@ from quadrante.model import HIGHLIGHT_COLOURS, NO_FILTER_TEXT, Tables
 SUMMARY_LABELS = {"municipio": "Municípios", "razao_social": "Razão Social", "cnpj": "CNPJ"}
 
 
+_CANONICAL = r"^(0|-?[1-9][0-9]*)$"
+_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
+
+
 def clean_entities(entities: DataFrame) -> DataFrame:
     """Add ``cnpj_digits``, ``cnpj_fmt`` and ``razao_social_trim``."""
     return entities.withColumns(
@@ -67,11 +73,24 @@ def areas_by_cnpj(entities: DataFrame, cnpj: str, normalize_stored: bool = False
 
 
 def select_areas(df: DataFrame, ids: Sequence[int | str] | DataFrame, id_col: str = "id_municipio") -> DataFrame:
-    """Keep the rows whose area is selected, ids compared as text. ``ids``: values, or a one-column frame."""
+    """Keep the rows whose area is selected, ids compared as text. ``ids``: values, or a one-column frame.
+
+    Where the column is an integer, texts that are no canonical integer match nothing and the others are compared
+    as integers, so that the selection reaches the scan.
+    """
+    whole = isinstance(df.schema[id_col].dataType, IntegralType)
     if isinstance(ids, DataFrame):
         wanted = ids.select(F.col(ids.columns[0]).cast("string").alias("_id"))
-        return df.join(wanted, F.col(id_col).cast("string") == F.col("_id"), "left_semi")
-    return df.where(F.col(id_col).cast("string").isin([str(i) for i in ids]))
+        if not whole:
+            return df.join(wanted, F.col(id_col).cast("string") == F.col("_id"), "left_semi")
+        wanted = wanted.where(F.col("_id").rlike(_CANONICAL)).select(F.expr("try_cast(_id AS BIGINT)").alias("_id"))
+        return df.join(wanted, F.col(id_col).cast("bigint") == F.col("_id"), "left_semi")
+    texts = [str(i) for i in ids]
+    if not whole:
+        return df.where(F.col(id_col).cast("string").isin(texts))
+    largest = 2 ** (8 * _BYTES[df.schema[id_col].dataType.simpleString()] - 1)
+    numbers = [int(t) for t in texts if re.match(_CANONICAL, t) and -largest <= int(t) < largest]
+    return df.where(F.col(id_col).isin(numbers)) if numbers else df.where(F.lit(False))
 
 
 def _flag(df: DataFrame, ids: DataFrame, id_col: str, name: str) -> DataFrame:

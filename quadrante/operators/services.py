@@ -40,10 +40,14 @@ def component_measures(st: ServiceType, component: Component, extended: bool) ->
     return component.measures + extra
 
 
-def _facts_of_year(tables: Tables, st: ServiceType, ano: int, extended: bool) -> DataFrame:
+def _facts_of_year(
+    tables: Tables, st: ServiceType, ano: int, extended: bool, only: DataFrame | None
+) -> DataFrame:
     facts = tables.services(st.name).where((F.col("ano") == F.lit(ano)) & F.col("cnpj").isNotNull())
     if extended and st.name == "ecv" and INSPECTION_EXTRA not in facts.columns:
         raise ValueError(f"{st.table} has no column {INSPECTION_EXTRA}")
+    if only is not None:
+        facts = facts.join(only, "cnpj", "left_semi")
     return facts.select(
         "cnpj",
         F.lit(1).cast("bigint").alias(active_flag(st)),
@@ -52,13 +56,18 @@ def _facts_of_year(tables: Tables, st: ServiceType, ano: int, extended: bool) ->
 
 
 def entity_year(
-    tables: Tables, types: Sequence[ServiceType], ano: int = DEFAULT_YEAR, extended: bool = False
+    tables: Tables,
+    types: Sequence[ServiceType],
+    ano: int = DEFAULT_YEAR,
+    extended: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """One row per cnpj: for every type an activity flag (NULL if inactive) and its summed quantities.
 
-    A fact with a NULL measure leaves the sum of its component as a whole.
+    A fact with a NULL measure leaves the sum of its component as a whole. ``only``, a frame of cnpj, keeps
+    the facts of these before they are reduced; for the few of one area Spark broadcasts them by size.
     """
-    parts = [_facts_of_year(tables, st, ano, extended) for st in types]
+    parts = [_facts_of_year(tables, st, ano, extended, only) for st in types]
     facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     sums = [c.column for st in types for c in st.components]
     return facts.groupBy("cnpj").agg(
@@ -88,10 +97,11 @@ def area_sums(
     id_municipio: int | None = None,
 ) -> DataFrame:
     """One row per area with services: the summed quantities of the given types (may be NULL)."""
-    entities = entity_copies(tables)
+    entities, only = entity_copies(tables), None
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
-    joined = lookup_join(entities, entity_year(tables, types, ano, extended), ["cnpj"])
+        only = entities.select("cnpj")
+    joined = lookup_join(entities, entity_year(tables, types, ano, extended, only), ["cnpj"])
     return joined.groupBy("id_municipio").agg(*repeated_sums(types))
 
 

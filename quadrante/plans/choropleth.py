@@ -11,7 +11,6 @@ from quadrante.model import DEFAULT_YEAR, Tables, map_view
 from quadrante.operators.classes import class_breaks, legend, with_buckets
 from quadrante.operators.entities import entity_rows
 from quadrante.operators.filters import highlight
-from quadrante.operators.latest import one_per_key
 from quadrante.plans.views import metric_value, popup_text, view_rows
 
 
@@ -65,7 +64,8 @@ def choropleth(
     """
     values = view_values(tables, view, ano)
     breaks = class_breaks(values, "valor", fleet=map_view(view).source == "fleet")
-    shown = join_features(features.select("id", "name"), one_per_key(values, ["id_municipio"], [F.desc("valor")]))
+    largest = values.groupBy(F.col("id_municipio").cast("string").alias("id_municipio")).agg(F.max("valor").alias("valor"))
+    shown = join_features(features.select("id", "name"), largest)
     painted = with_buckets(shown, "valor", breaks).withColumn(
         "texto", popup_text(view, F.col("com_dados"), F.col("valor"))
     )

@@ -1,7 +1,8 @@
 """Area profiles: entity lists and service totals of all five types, nested or as rows.
 
 All areas are computed by one job that reads and shuffles the facts of the year once per type,
-reduced to one row per cnpj; give ``id_municipio`` to prune to one area.
+reduced to one row per cnpj. With ``id_municipio`` the facts are pruned to the entities of that area before they
+are reduced. A nested document exists for one area only; all areas come as lines, so no list grows with an area.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from quadrante.operators.services import (
     repeated_sums,
     service_struct,
 )
+from quadrante.sinks.json import to_json_rows
 
 ALL_TYPES = tuple(SERVICE_TYPES.values())
-ENTRIES_PER_DOCUMENT = 50_000
 
 
 def _size(st: ServiceType) -> str:
@@ -43,10 +44,11 @@ def entity_activity(
     Columns: ``id_municipio, cnpj, razao_social``, the copies of the row, and per type an activity
     flag and the summed quantities of the entity.
     """
-    entities = entity_copies(tables, "razao_social")
+    entities, only = entity_copies(tables, "razao_social"), None
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
-    return lookup_join(entities, entity_year(tables, types, ano), ["cnpj"])
+        only = entities.select("cnpj")
+    return lookup_join(entities, entity_year(tables, types, ano, only=only), ["cnpj"])
 
 
 def _section_sizes(types: Sequence[ServiceType]) -> list[Column]:
@@ -91,55 +93,44 @@ def _named_list(st: ServiceType) -> Column:
     )
 
 
-def area_profiles(
-    tables: Tables,
-    ano: int = DEFAULT_YEAR,
-    id_municipio: int | None = None,
-    entries_per_document: int = ENTRIES_PER_DOCUMENT,
-) -> DataFrame:
-    """Nested profiles ``{id_municipio, nome, credenciados{5 lists}, servicos{5 totals}}``, plus ``parte, partes``.
-
-    A document is one row, so its lists must fit one task. An area whose longest list exceeds
-    ``entries_per_document`` therefore comes as several documents (``parte`` 1..``partes``): its
-    entities are spread over them by hash, each list sorted by name, none dropped, with the same
-    totals in each. All other areas have exactly one document. An unknown area gives no row.
-    """
+def area_profile(tables: Tables, id_municipio: int, ano: int = DEFAULT_YEAR) -> DataFrame:
+    """Nested profile of one area ``{id_municipio, nome, credenciados{5 lists}, servicos{5 totals}}``: one row, which
+    is the answer asked for; none for an unknown area."""
     activity = entity_activity(tables, ALL_TYPES, ano, id_municipio)
-    stats = _area_stats(activity, ALL_TYPES)
-    longest = F.greatest(*[F.col(_size(st)) for st in ALL_TYPES])
-    quantities = [c.column for st in ALL_TYPES for c in st.components]
-    # A part only knows its own share of the sums, so a crowded area brings its whole ones along.
-    # Both sides of the join thus need the same fact columns, and Spark shuffles the facts once.
-    crowded = stats.select(
-        "id_municipio",
-        F.ceil(longest / F.lit(entries_per_document)).alias("_partes"),
-        *[F.col(q).alias(f"_{q}_inteiro") for q in quantities],
-    ).where(F.col("_partes") > 1)
-    one = F.lit(1).cast("bigint")
-    # One row without an entity per area gives a document to areas that have none.
-    areas = _areas(tables, id_municipio)
-    rows = activity.unionByName(areas.select("id_municipio").distinct(), allowMissingColumns=True)
-    spread = lookup_join(rows, crowded, ["id_municipio"], "left").withColumn(
-        "_parte", F.pmod(F.xxhash64("cnpj", "razao_social"), F.coalesce("_partes", one)) + one
-    )
-    documents = spread.groupBy("id_municipio", "_partes", "_parte").agg(
-        *[_named_list(st).alias(f"_{st.name}_lista") for st in ALL_TYPES],
-        *repeated_sums(ALL_TYPES),
-        *[F.max(f"_{q}_inteiro").alias(f"_{q}_inteiro") for q in quantities],
+    lists = activity.groupBy("id_municipio").agg(
+        *[_named_list(st).alias(f"_{st.name}_lista") for st in ALL_TYPES], *repeated_sums(ALL_TYPES)
     )
-    joined = lookup_join(documents, areas, ["id_municipio"]).withColumns(
-        {q: F.when(F.col("_partes") > 1, F.col(f"_{q}_inteiro")).otherwise(F.col(q)) for q in quantities}
-    )
-    entities = F.struct(*[F.col(f"_{st.name}_lista").alias(st.name) for st in ALL_TYPES])
+    joined = _areas(tables, id_municipio).join(lists, "id_municipio", "left")
+    nobody = F.array().cast("array<struct<cnpj:string,razao_social:string>>")
+    entities = F.struct(*[F.coalesce(f"_{st.name}_lista", nobody).alias(st.name) for st in ALL_TYPES])
     services = F.struct(*[service_struct(st).alias(st.name) for st in ALL_TYPES])
-    return joined.select(
-        "id_municipio",
-        "nome",
-        entities.alias("credenciados"),
-        services.alias("servicos"),
-        F.col("_parte").alias("parte"),
-        F.coalesce("_partes", one).alias("partes"),
+    return joined.select("id_municipio", "nome", entities.alias("credenciados"), services.alias("servicos"))
+
+
+def profile_lines(tables: Tables, ano: int = DEFAULT_YEAR) -> DataFrame:
+    """Profiles of all areas as JSON lines (``json``): for each area one of kind ``municipio`` with its section sizes and
+    service totals, and for each of its entities and their types one of kind ``credenciado``.
+
+    Both kinds need the same fact columns, so Spark shuffles the facts once.
+    """
+    activity = entity_activity(tables, ALL_TYPES, ano)
+    joined = _areas(tables, None).join(_area_stats(activity, ALL_TYPES), "id_municipio", "left")
+    sizes = F.struct(*[zero_if_null(F.col(_size(st))).alias(st.name) for st in ALL_TYPES])
+    services = F.struct(*[service_struct(st).alias(st.name) for st in ALL_TYPES])
+    header = joined.select(
+        F.lit("municipio").alias("linha"), "id_municipio", "nome", sizes.alias("tamanhos"), services.alias("servicos")
     )
+    shown = [
+        F.when(
+            F.col(active_flag(st)).isNotNull(),
+            F.struct(F.lit(st.name).alias("tipo"), service_struct(st)["total"].alias("total")),
+        )
+        for st in ALL_TYPES
+    ]
+    lines = activity.select(
+        "id_municipio", "cnpj", "razao_social", F.inline(F.array_compact(F.array(*shown)))
+    ).select(F.lit("credenciado").alias("linha"), "id_municipio", "tipo", "cnpj", "razao_social", "total")
+    return to_json_rows(header).unionByName(to_json_rows(lines))
 
 
 def section_entities(

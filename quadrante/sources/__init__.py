@@ -1,13 +1,17 @@
-from quadrante.sources.geojson import read_features
-from quadrante.sources.rows import read_json_rows, require_columns
-from quadrante.sources.tables import conform, jdbc_slices, jdbc_url, load_tables, load_tables_jdbc
+from quadrante.sources.geojson import parse_features, read_feature_lines, read_features
+from quadrante.sources.rows import parse_json_rows, read_json_rows, require_columns
+from quadrante.sources.tables import JdbcRange, conform, jdbc_url, key_ranges, load_tables, load_tables_jdbc
 
 __all__ = [
+    "JdbcRange",
     "conform",
-    "jdbc_slices",
     "jdbc_url",
+    "key_ranges",
     "load_tables",
     "load_tables_jdbc",
+    "parse_features",
+    "parse_json_rows",
+    "read_feature_lines",
     "read_features",
     "read_json_rows",
     "require_columns",

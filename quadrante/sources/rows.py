@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -17,6 +18,13 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
+def parse_json_rows(df: DataFrame, column: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """The other columns of ``df`` with those decoded from JSON objects in a text column; malformed text raises."""
+    parsed = df.withColumn(column, F.from_json(F.col(column), schema, {"mode": "FAILFAST"}))
+    others = [F.col(c) for c in df.columns if c != column]
+    return require_columns(parsed.select(*others, f"{column}.*"), required)
+
+
 def read_json_rows(
     spark: SparkSession,
     path: str,

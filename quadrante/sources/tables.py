@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrante.model import OPTIONAL_COLUMNS, SCHEMAS, Tables
 from quadrante.sources.rows import require_columns
@@ -43,9 +45,19 @@ def _build(read: Callable[[str], DataFrame]) -> Tables:
     return Tables(**{name: conform(read(name), name) for name in Tables.names()})
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
+def load_tables(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    optional: Sequence[str] = (),
+    allow_empty: Sequence[str] = (),
+) -> Tables:
     """Read ``{path}/{table}`` for each table. Self-describing formats bring their own schema and are
     cast; CSV (with header) and JSON are read as text columns and cast, so that no inference pass runs.
+
+    JSON rows name their columns one by one, so an optional column is read from JSON only if ``optional``
+    names it. A table without any file raises, as lost data must not read as zeros; ``allow_empty`` names
+    the tables that may have none.
     """
     if fmt not in FILE_FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {', '.join(FILE_FORMATS)}")
@@ -55,43 +67,72 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
         if fmt == "csv":
             reader = reader.option("header", True)
         if fmt == "json":
-            fields = [*SCHEMAS[name].fields, *OPTIONAL_COLUMNS.get(name, [])]
+            named = [f for f in OPTIONAL_COLUMNS.get(name, []) if f.name in optional]
+            fields = [*SCHEMAS[name].fields, *named]
             reader = reader.schema(", ".join(f"{f.name} string" for f in fields))
         try:
             return reader.load(f"{path}/{name}")
         except AnalysisException as error:
             # A partitioned table without rows is a folder without files.
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            if name not in allow_empty or error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise
-            return spark.createDataFrame([], SCHEMAS[name])
+            extra = [f for f in OPTIONAL_COLUMNS.get(name, []) if f.name in optional]
+            return spark.createDataFrame([], StructType([*SCHEMAS[name].fields, *extra]))
 
     return _build(read)
 
 
 def jdbc_url(host: str = "127.0.0.1", port: int = 3306, database: str = "", driver: str = "mysql") -> str:
-    return f"jdbc:{driver}://{host}:{port}/{database}?useUnicode=true&characterEncoding=UTF-8"
+    """The cursor option makes the driver send rows as they are fetched instead of a whole result at once."""
+    return f"jdbc:{driver}://{host}:{port}/{database}?useUnicode=true&characterEncoding=UTF-8&useCursorFetch=true"
 
 
-def jdbc_slices(column: str, slices: int) -> list[str]:
-    """Predicates that split a table into ``slices`` disjoint reads by a hash of ``column``.
+@dataclass(frozen=True)
+class JdbcRange:
+    """Disjoint reads of a table by ranges of an indexed integer column; the outer ranges are open."""
 
-    A string key has no range to split by. NULL keys hash as 0, so that no row is left out.
-    """
-    return [f"MOD(COALESCE(CRC32({column}), 0), {slices}) = {i}" for i in range(slices)]
+    column: str
+    lower: int
+    upper: int
+    partitions: int
+
+    def options(self) -> dict[str, object]:
+        return {"column": self.column, "lowerBound": self.lower, "upperBound": self.upper, "numPartitions": self.partitions}
+
+
+def key_ranges(column: str, cuts: Sequence[str]) -> list[str]:
+    """Predicates that split a table at given values of an indexed text key; NULL keys are in the first."""
+    quoted = ["'" + c.replace("'", "''") + "'" for c in cuts]
+    if not quoted:
+        return ["1 = 1"]
+    middle = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(quoted, quoted[1:])]
+    return [f"{column} < {quoted[0]} OR {column} IS NULL", *middle, f"{column} >= {quoted[-1]}"]
 
 
 def load_tables_jdbc(
     spark: SparkSession,
     url: str,
     properties: Mapping[str, str],
-    slices: int = 1,
+    splits: Mapping[str, JdbcRange | Sequence[str]],
     table_names: Mapping[str, str] = DATABASE_TABLES,
+    fetch_size: int = 10_000,
 ) -> Tables:
-    """Read the tables from a database; ``slices`` > 1 reads those with a cnpj in that many tasks."""
+    """Read the tables from a database.
+
+    ``splits`` gives the ranges (or predicates, see ``key_ranges``) by which a table is read in parallel. Fact
+    tables must have one, as a single connection would be a single task; other tables may.
+    """
+    missing = [n for n in Tables.names() if n.startswith("servicos_") and n not in splits]
+    if missing:
+        raise ValueError(f"no split given for {', '.join(missing)}")
+    options = {"fetchsize": str(fetch_size), **properties}
 
     def read(name: str) -> DataFrame:
-        sliced = slices > 1 and "cnpj" in SCHEMAS[name].names
-        predicates = {"predicates": jdbc_slices("cnpj", slices)} if sliced else {}
-        return spark.read.jdbc(url, table_names[name], properties=dict(properties), **predicates)
+        split = splits.get(name)
+        if split is None:
+            return spark.read.jdbc(url, table_names[name], properties=options)
+        if isinstance(split, JdbcRange):
+            return spark.read.jdbc(url, table_names[name], properties=options, **split.options())
+        return spark.read.jdbc(url, table_names[name], predicates=list(split), properties=options)
 
     return _build(read)

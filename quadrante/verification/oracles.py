@@ -196,6 +196,10 @@ def _types() -> str:
     return f"SELECT * FROM (VALUES {rows}) AS t(posicao, tipo_servico, titulo)"
 
 
+# Blanks, tabs and line breaks as SQL text.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
 def _format_cnpj(expression: str) -> str:
     digits = f"regexp_replace({expression}, '[^0-9]', '', 'g')"
     p = f"lpad({digits}, 14, '0')"
@@ -269,7 +273,7 @@ def _choropleth(view: str, hits: dict[str, str] | None = None, precedence: str =
     )
 
 
-def _profile_json() -> str:
+def _profile_document(id_municipio: int) -> str:
     lists, totals, joins = [], [], []
     for st in SERVICE_TYPES.values():
         n = st.name
@@ -293,7 +297,43 @@ def _profile_json() -> str:
     return _sql(
         "SELECT CAST(to_json(struct_pack(id_municipio := m.id_municipio, nome := m.nome,"
         f" credenciados := struct_pack({', '.join(lists)}), servicos := struct_pack({', '.join(totals)})))"
-        f" AS VARCHAR) AS json FROM municipios m{''.join(joins)}"
+        f" AS VARCHAR) AS json FROM municipios m{''.join(joins)} WHERE m.id_municipio = {id_municipio}"
+    )
+
+
+def _profile_lines() -> str:
+    sizes, totals, joins, entities = [], [], [], []
+    for st in SERVICE_TYPES.values():
+        n, count = st.name, len(st.components)
+        sizes.append(f"{n} := COALESCE(l_{n}.tamanho, 0)")
+        detail = ", ".join(
+            f"struct_pack(tipo := '{c.label}', quantidade := {n}_{i})" for i, c in enumerate(st.components)
+        )
+        total = " + ".join(f"{n}_{i}" for i in range(count))
+        totals.append(f"{n} := struct_pack(total := {total}, detalhamento := [{detail}])")
+        joins.append(
+            f" LEFT JOIN (SELECT id_municipio, COUNT(*) AS tamanho FROM ({_service_entities(st)}) GROUP BY id_municipio)"
+            f" l_{n} USING (id_municipio)"
+        )
+        quantities = ", ".join(f"{_quantity(st, i)} AS {n}_{i}" for i in range(count))
+        joins.append(
+            f" LEFT JOIN (SELECT m2.id_municipio, {quantities} FROM municipios m2 LEFT JOIN credenciados c"
+            f" USING (id_municipio) LEFT JOIN {st.table} s ON s.cnpj = c.cnpj AND s.ano = {YEAR}"
+            f" GROUP BY m2.id_municipio) s_{n} USING (id_municipio)"
+        )
+        own = " + ".join(_quantity(st, i) for i in range(count))
+        entities.append(
+            f"SELECT c.id_municipio, '{n}' AS tipo, c.cnpj, c.razao_social, {own} AS total FROM"
+            f" (SELECT DISTINCT id_municipio, cnpj, razao_social FROM credenciados) c JOIN {st.table} s"
+            f" ON s.cnpj = c.cnpj WHERE s.ano = {YEAR} GROUP BY ALL"
+        )
+    return _sql(
+        "SELECT CAST(to_json(struct_pack(linha := 'municipio', id_municipio := m.id_municipio, nome := m.nome,"
+        f" tamanhos := struct_pack({', '.join(sizes)}), servicos := struct_pack({', '.join(totals)})))"
+        f" AS VARCHAR) AS json FROM municipios m{''.join(joins)} UNION ALL"
+        " SELECT CAST(to_json(struct_pack(linha := 'credenciado', id_municipio := id_municipio, tipo := tipo,"
+        " cnpj := cnpj, razao_social := razao_social, total := total)) AS VARCHAR)"
+        f" FROM ({' UNION ALL '.join(entities)})"
     )
 
 
@@ -369,7 +409,8 @@ def oracle_statements() -> dict[str, str]:
             linhas=_service_lines(),
             tipos=_types(),
         ),
-        "perfil_json": _profile_json(),
+        "perfil_json": _profile_lines(),
+        "perfil_um": _profile_document(LOOKUP_ID),
         "servicos_long": _sql(_service_lines()),
         "secao_credenciados": _sql(
             "SELECT m.id_municipio, t.tipo_servico, t.titulo, COUNT(a.cnpj) OVER"
@@ -388,6 +429,23 @@ def oracle_statements() -> dict[str, str]:
         "municipios_por_razao_social": _sql(by_name),
         "municipios_por_cnpj": _sql(by_cnpj),
         "selecao_municipios": _sql(f"SELECT * FROM ({entity_list}) WHERE CAST(id_municipio AS VARCHAR) IN ({id_list})"),
+        "selecao_por_tabela": _sql(
+            f"SELECT * FROM ({entity_list}) WHERE id_municipio IN (SELECT id_municipio FROM populacao WHERE populacao > 10000)"
+        ),
+        "feicoes_geojson": _sql("SELECT id, name FROM geo"),
+        "eventos_json": "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+        "limpeza_documentos": (
+            "SELECT doc_id AS id_municipio, regexp_replace(text, '[^0-9]', '', 'g') AS cnpj_digits,"
+            f" {_format_cnpj('text')} AS cnpj_fmt, trim(text, {_BLANKS}) AS razao_social_trim FROM documents"
+        ),
+        "opcoes_nomes_documentos": (
+            f"SELECT DISTINCT trim(p, {_BLANKS}) AS razao_social FROM (SELECT unnest(string_split(text, '.')) AS p"
+            " FROM documents) WHERE p <> ''"
+        ),
+        "opcoes_cnpj_documentos": (
+            f"SELECT DISTINCT valor, {_format_cnpj('valor')} AS rotulo FROM"
+            " (SELECT regexp_replace(text, '[^0-9]', '', 'g') AS valor FROM documents) WHERE valor <> ''"
+        ),
         "destaque": _choropleth("visao_geral", hits),
         "destaque_primeiro": _choropleth("visao_geral", hits, "first"),
         "resumo_filtros": _sql(
@@ -420,6 +478,11 @@ def oracle_statements() -> dict[str, str]:
             valores=_view_values(view),
             quebras=_breaks(view),
         )
+    one_area = {"servicos_long": "servicos_long_um", "secao_credenciados": "secao_credenciados_um"}
+    for st in SERVICE_TYPES.values():
+        one_area |= {f"detalhe_{x}_{st.name}": f"detalhe_{x}_um_{st.name}" for x in ("credenciados", "servicos")}
+    for whole, one in one_area.items():
+        out[one] = f"SELECT * FROM ({out[whole]}) WHERE id_municipio = {LOOKUP_ID}"
     out["bucketed"] = _sql(
         f"SELECT id_municipio, valor, {_bucket('valor')} AS faixa, {_colour(_bucket('valor'))} AS cor FROM valores",
         valores=_view_values("credenciados_total"),

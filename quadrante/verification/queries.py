@@ -13,6 +13,7 @@ from quadrante import plans
 from quadrante.functions.numbers import format_number_ptbr
 from quadrante.model import TYPE_NAMES, VIEWS, Tables
 from quadrante.sinks import to_json_rows
+from quadrante.sources import parse_features, parse_json_rows
 from quadrante.verification.registry import YEAR, formatted_entities, registry_features, registry_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,15 +69,38 @@ def _bucketed(tables: Tables) -> DataFrame:
     return ops.with_buckets(values, "valor", ops.class_breaks(values, "valor"))
 
 
-def _detail_rows(tipo: str) -> Query:
-    return _on_tables(
-        lambda t: ops.service_details(t, tipo, YEAR).select("id_municipio", "total", F.inline("detalhamento"))
-    )
+def _detail_rows(tipo: str, id_municipio: int | None = None) -> Query:
+    def build(tables: Tables) -> DataFrame:
+        details = ops.service_details(tables, tipo, YEAR, id_municipio)
+        return details.select("id_municipio", "total", F.inline("detalhamento"))
+
+    return _on_tables(build)
+
+
+def _feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every map feature as a collection of its own, decoded again."""
+    features = registry_features(spark, sf_dir)
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("id", "name").alias("properties"))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")))
+    return parse_features(features.select(text.alias("texto")), "texto")
+
 
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
+    return parse_json_rows(events, "props", "k bigint", required=["event_id", "k"])
 
-def _profile_json(tables: Tables) -> DataFrame:
-    profiles = plans.area_profiles(tables, YEAR)
-    return to_json_rows(profiles.select("id_municipio", "nome", "credenciados", "servicos"))
+
+def _dirty_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as entities: the whole text as identifier, each piece between full stops as a name."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = F.explode(F.split("text", r"\.")).alias("razao_social")
+    return documents.select(F.col("doc_id").alias("id_municipio"), F.col("text").alias("cnpj"), pieces)
+
+
+def _dirty_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    entities = documents.select(F.col("doc_id").alias("id_municipio"), F.col("text").alias("cnpj"), F.col("text").alias("razao_social"))
+    return ops.clean_entities(entities).select("id_municipio", "cnpj_digits", "cnpj_fmt", "razao_social_trim")
 
 
 def _formatted_numbers(tables: Tables) -> DataFrame:
@@ -111,7 +135,10 @@ def all_queries() -> dict[str, Query]:
         ),
         "cabecalho": _on_tables(plans.header_facts),
         "perfil": _on_tables(lambda t: plans.profile_rows(t, YEAR)),
-        "perfil_json": _on_tables(_profile_json),
+        "perfil_json": _on_tables(lambda t: plans.profile_lines(t, YEAR)),
+        "perfil_um": _on_tables(lambda t: to_json_rows(plans.area_profile(t, LOOKUP_ID, YEAR))),
+        "servicos_long_um": _on_tables(lambda t: ops.service_rows(t, "visao_geral", YEAR, LOOKUP_ID)),
+        "secao_credenciados_um": _on_tables(lambda t: plans.section_entities(t, "visao_geral", YEAR, LOOKUP_ID)),
         "servicos_long": _on_tables(lambda t: ops.service_rows(t, "visao_geral", YEAR)),
         "secao_credenciados": _on_tables(lambda t: plans.section_entities(t, "visao_geral", YEAR)),
         "clean_entities": _on_tables(lambda t: ops.clean_entities(t.credenciados)),
@@ -128,6 +155,16 @@ def all_queries() -> dict[str, Query]:
             lambda t: ops.filter_summary(t, ids=FILTER_IDS, razao_social=FILTER_NAME, cnpj=FILTER_CNPJ)
         ),
         "numero_formatado": _on_tables(_formatted_numbers),
+        "selecao_por_tabela": _on_tables(
+            lambda t: ops.select_areas(ops.entity_rows(t), t.populacao.select("id_municipio").where("populacao > 10000"))
+        ),
+        "feicoes_geojson": _feature_texts,
+        "eventos_json": _event_rows,
+        "limpeza_documentos": _dirty_cleaned,
+        "opcoes_nomes_documentos": lambda spark, sf_dir: ops.name_options(_dirty_entities(spark, sf_dir)),
+        "opcoes_cnpj_documentos": lambda spark, sf_dir: ops.cnpj_options(
+            spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("cnpj"))
+        ),
         "class_breaks": _break_rows("servicos_cfc"),
         "class_breaks_frota": _break_rows("frota_total"),
         "bucketed": _on_tables(_bucketed),
@@ -138,6 +175,10 @@ def all_queries() -> dict[str, Query]:
         out[f"servicos_{tipo}"] = _on_tables(lambda t, n=tipo: ops.service_totals(t, n, YEAR))
         out[f"detalhe_credenciados_{tipo}"] = _on_tables(lambda t, n=tipo: ops.service_entities(t, n, YEAR))
         out[f"detalhe_servicos_{tipo}"] = _detail_rows(tipo)
+        out[f"detalhe_credenciados_um_{tipo}"] = _on_tables(
+            lambda t, n=tipo: ops.service_entities(t, n, YEAR, LOOKUP_ID)
+        )
+        out[f"detalhe_servicos_um_{tipo}"] = _detail_rows(tipo, LOOKUP_ID)
     for view in VIEWS:
         out[f"coropletico_{view}"] = _choropleth(view)
     return out

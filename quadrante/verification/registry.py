@@ -17,13 +17,13 @@ Every table below is a projection or an aggregate of complete source tables:
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrante.functions.text import format_cnpj
 from quadrante.model import INSPECTION_EXTRA, INSPECTION_MEASURES, Tables
+from quadrante.sources import conform
 
 YEAR = 2000
 REGION_OFFSET = 1000
@@ -59,9 +59,8 @@ def _count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
-@lru_cache(maxsize=8)
 def registry_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The nine tables as lazy frames. Only the plans are kept between calls, never data."""
+    """The nine tables as lazy frames, projected to their schemas as a source would be."""
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
     supplier = _read(spark, sf_dir, "supplier")
@@ -123,7 +122,7 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> Tables:
             for s, c in zip(SEGMENTS, ("motor_casa", "onibus", "reboque_semireboque", "trator", "outros"))
         ],
     )
-    return Tables(
+    tables = Tables(
         municipios=areas.unionByName(regions).unionByName(districts),
         credenciados=entities.unionByName(users),
         servicos_cfc=lineitem.select(
@@ -161,6 +160,7 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ),
         frotas=fleet.drop("o_orderstatus"),
     )
+    return Tables(**{name: conform(getattr(tables, name), name) for name in Tables.names()})
 
 
 def formatted_entities(tables: Tables) -> DataFrame:

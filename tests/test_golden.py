@@ -148,8 +148,8 @@ def test_service_details(golden):
 
 
 def test_profile_document(golden):
-    profile = plans.area_profiles(golden, id_municipio=1).head().asDict(recursive=True)
-    assert profile["nome"] == "Água Fria" and (profile["parte"], profile["partes"]) == (1, 1)
+    profile = plans.area_profile(golden, id_municipio=1).head().asDict(recursive=True)
+    assert profile["nome"] == "Água Fria"
     assert list(profile["credenciados"]) == list(TYPE_NAMES) == list(profile["servicos"])
     assert {e["razao_social"] for e in profile["credenciados"]["cfc"]} == {"Auto Escola Sol", " Clínica Vida "}
     assert profile["credenciados"]["patio"] == []
@@ -161,8 +161,13 @@ def test_profile_document(golden):
         ],
     }
     assert profile["servicos"]["ecv"] == {"total": 0, "detalhamento": [{"tipo": "Total Vistorias", "quantidade": 0}]}
-    assert rows(plans.area_profiles(golden, id_municipio=77)) == []
-    assert plans.area_profiles(golden).count() == 4
+    assert rows(plans.area_profile(golden, id_municipio=77)) == []
+    lines = [json.loads(r["json"]) for r in plans.profile_lines(golden).collect()]
+    assert sum(x["linha"] == "municipio" for x in lines) == 4
+    (area,) = (x for x in lines if x["linha"] == "municipio" and x["id_municipio"] == 1)
+    assert area["servicos"] == profile["servicos"] and area["tamanhos"]["cfc"] == 2
+    listed = [x["razao_social"] for x in lines if x["linha"] == "credenciado" and (x["id_municipio"], x["tipo"]) == (1, "cfc")]
+    assert sorted(listed) == [" Clínica Vida ", "Auto Escola Sol"]
 
 
 def test_profile_lists_follow_name_order(spark, golden):
@@ -178,33 +183,10 @@ def test_profile_lists_follow_name_order(spark, golden):
             [(str(i), 2024, 1) for i in range(len(listed))], "cnpj string, ano int, estampagens bigint"
         ),
     )
-    profile = plans.area_profiles(tables, id_municipio=1).head()
+    profile = plans.area_profile(tables, id_municipio=1).head()
     assert [e["razao_social"] for e in profile["credenciados"]["epiv"]] == ["álamo", "Alamo 2", "Beta", "éden", "Zeta"]
 
 
-def test_crowded_area_is_split_without_loss(spark, golden):
-    from dataclasses import replace
-
-    n = 500
-    tables = replace(
-        golden,
-        credenciados=spark.range(n).selectExpr(
-            "cast(id as string) cnpj", "concat('N', id % 7) razao_social", "if(id < 450, 1, 2) id_municipio"
-        ),
-        servicos_epiv=spark.range(n).selectExpr("cast(id as string) cnpj", "2024 ano", "1L estampagens"),
-    )
-    docs = plans.area_profiles(tables, entries_per_document=100).collect()
-    crowded = [d for d in docs if d["id_municipio"] == 1]
-    assert [d["partes"] for d in docs if d["id_municipio"] == 2] == [1]
-    assert sorted(d["parte"] for d in crowded) == [1, 2, 3, 4, 5] and {d["partes"] for d in crowded} == {5}
-    entries = [e["cnpj"] for d in crowded for e in d["credenciados"]["epiv"]]
-    assert len(entries) == 450 == len(set(entries))
-    assert {d["servicos"]["epiv"]["total"] for d in crowded} == {450}
-    for d in crowded:
-        listed = [e["razao_social"] for e in d["credenciados"]["epiv"]]
-        assert listed == sorted(listed)
-
-
 def test_service_rows_by_view(golden):
     overview = ops.service_rows(golden, "visao_geral", id_municipio=1)
     assert overview.count() == 7

@@ -113,6 +113,16 @@ def test_area_id_reaches_the_scan(spark, golden, tmp_path):
         assert "EqualTo(id_municipio,1)" in plan
 
 
+def test_one_area_prunes_the_facts_before_they_are_reduced(spark, golden):
+    for df in (ops.service_details(golden, "cfc", id_municipio=1), plans.area_profile(golden, 1), ops.service_entities(golden, "cfc", id_municipio=1)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("LeftSemi" in line for line in lines)
+        for k, line in enumerate(lines):
+            if "Aggregate [cnpj" in line and "razao_social" not in line and "id_municipio" not in line:
+                assert any("LeftSemi" in below for below in lines[k + 1 :])
+    assert "collect_list" not in plans.profile_lines(golden)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """One identifier and one area hold more than a third of all rows; every count is known."""
@@ -173,3 +183,19 @@ def test_one_per_key_limits_groups_below_the_shuffle(spark, hot):
     plan = executed_plan(ops.one_per_key(hot.servicos_epiv, ["cnpj"], [F.desc("ano"), F.desc("estampagens")]))
     below = plan[plan.index("Exchange hashpartitioning"):]
     assert "WindowGroupLimit" in below and "Partial" in below
+
+
+def test_selection_reaches_the_scan(spark, golden, tmp_path):
+    golden.municipios.write.parquet(str(tmp_path / "municipios"))
+    areas = spark.read.parquet(str(tmp_path / "municipios"))
+    chosen = ops.select_areas(areas, ["1", "01", "x", 2, str(2**40)])
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(id_municipio, \[1,2\]\)", plan)
+    assert sorted(r["id_municipio"] for r in chosen.collect()) == [1, 2]
+    frame = spark.createDataFrame([("1",), ("01",), ("x",), (None,), ("99999999999999999999",)], "id string")
+    assert [r["id_municipio"] for r in ops.select_areas(areas, frame).collect()] == [1]
+
+
+def test_choropleth_needs_no_window(spark, golden):
+    features = spark.createDataFrame([("1", "A")], "id string, name string")
+    assert "Window" not in plans.choropleth(golden, features)._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import duckdb
@@ -114,17 +115,15 @@ def test_details_and_profiles(spark, seed):
     assert single == ops.service_details(tables, "cfc", YEAR).where("id_municipio = 5").collect()
 
 
-@pytest.mark.parametrize("entries", [1, 2, 50_000])
-def test_split_documents_hold_every_entity_once(spark, entries):
-    tables, _ = build(spark, 21)
-    whole = {d["id_municipio"]: d for d in plans.area_profiles(tables, YEAR).collect()}
-    split = plans.area_profiles(tables, YEAR, entries_per_document=entries).collect()
-    for area, document in whole.items():
-        parts = [d for d in split if d["id_municipio"] == area]
-        assert parts and all(d["servicos"] == document["servicos"] for d in parts)
+def test_lines_hold_what_the_documents_hold(spark):
+    tables, con = build(spark, 21)
+    same(plans.profile_lines(tables, YEAR), con, "perfil_json")
+    lines = [json.loads(r["json"]) for r in plans.profile_lines(tables, YEAR).collect()]
+    for area in (1, 5):
+        document = plans.area_profile(tables, area, YEAR).head()
         for tipo in TYPE_NAMES:
-            gathered = [e for d in parts for e in d["credenciados"][tipo]]
-            assert sorted(map(tuple, gathered)) == sorted(map(tuple, document["credenciados"][tipo]))
+            listed = [(x["cnpj"], x["razao_social"]) for x in lines if x.get("tipo") == tipo and x["id_municipio"] == area]
+            assert sorted(map(tuple, document["credenciados"][tipo])) == sorted(listed)
 
 
 @pytest.mark.parametrize("view", ["visao_geral", "credenciados_total", "frota_total", "servicos_clinicas", "credenciados_ecv"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from zlib import crc32
+import shutil
 
 import pytest
 from conftest import rows
@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from quadrante import operators as ops
 from quadrante.functions import trim_blanks
-from quadrante.model import SCHEMAS, Tables
+from quadrante.model import INSPECTION_EXTRA, SCHEMAS, Tables
 from quadrante.sinks import to_json_rows, write_json, write_tables
 from quadrante.sources import (
+    JdbcRange,
     conform,
-    jdbc_slices,
     jdbc_url,
+    key_ranges,
     load_tables,
+    load_tables_jdbc,
+    read_feature_lines,
     read_features,
     read_json_rows,
     require_columns,
@@ -32,7 +35,7 @@ def test_formats_give_the_same_totals(spark, golden, tmp_path, fmt):
             # Quoted, so that the blanks around a name survive and an empty name is not NULL.
             writer = writer.options(header=True, quoteAll=True, emptyValue="")
         writer.save(str(tmp_path / name))
-    stored = load_tables(spark, str(tmp_path), fmt)
+    stored = load_tables(spark, str(tmp_path), fmt, optional=[INSPECTION_EXTRA])
     assert stored.servicos_ecv.dtypes[1:3] == [("ano", "int"), ("vistoria_lacrada_veic_combinado", "bigint")]
     for query in (ops.entity_totals, ops.latest_fleet, lambda t: ops.service_totals(t, "ecv", extended=True)):
         assert rows(query(stored)) == rows(query(golden))
@@ -40,7 +43,8 @@ def test_formats_give_the_same_totals(spark, golden, tmp_path, fmt):
 
 def test_partitioned_star_schema_round_trip(spark, golden, tmp_path):
     write_tables(golden, str(tmp_path / "star"))
-    stored = load_tables(spark, str(tmp_path / "star"))
+    empty = [n for n in Tables.names() if not getattr(golden, n).count()]
+    stored = load_tables(spark, str(tmp_path / "star"), allow_empty=empty)
     for name in Tables.names():
         assert rows(getattr(stored, name)) == rows(getattr(golden, name))
 
@@ -106,14 +110,37 @@ def test_json_text_keeps_nulls_and_order(spark):
     assert to_json_rows(df).head()[0] == '{"b":null,"a":"x"}'
 
 
-def test_jdbc_options():
-    assert jdbc_url("db", 3307, "registro").startswith("jdbc:mysql://db:3307/registro?")
-    slices = jdbc_slices("cnpj", 4)
-    assert len(set(slices)) == 4 and all("COALESCE" in s for s in slices)
-    # The predicates are disjoint and cover every key, NULL included.
-    for key in ("11.111.111/0001-11", "", None):
-        value = 0 if key is None else crc32(key.encode())
-        assert sum(value % 4 == i for i in range(4)) == 1
+def test_an_optional_column_is_read_from_json_only_if_named(spark, golden, tmp_path):
+    for name in Tables.names():
+        getattr(golden, name).drop(INSPECTION_EXTRA).write.json(str(tmp_path / name))
+    with pytest.raises(ValueError, match=INSPECTION_EXTRA):
+        ops.service_totals(load_tables(spark, str(tmp_path), "json"), "ecv", extended=True)
+
+
+def test_a_table_without_files_raises(spark, golden, tmp_path):
+    for name in Tables.names():
+        getattr(golden, name).write.parquet(str(tmp_path / "star" / name))
+    lost = shutil.copytree(tmp_path / "star", tmp_path / "lost", ignore=lambda d, names: names if d.endswith("servicos_ecv") else [])
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        load_tables(spark, str(lost))
+    stored = load_tables(spark, str(lost), allow_empty=["servicos_ecv"], optional=[INSPECTION_EXTRA])
+    assert stored.servicos_ecv.count() == 0 and INSPECTION_EXTRA in stored.servicos_ecv.columns
+
+
+def test_feature_lines(spark, tmp_path):
+    features = [{"type": "Feature", "properties": {"id": str(k), "name": f"N{k}"}, "geometry": {"x": [k]}} for k in range(3)]
+    (tmp_path / "f.jsonl").write_text("\n".join(map(json.dumps, features)))
+    assert rows(read_feature_lines(spark, str(tmp_path / "f.jsonl"))) == [(str(k), f"N{k}") for k in range(3)]
+
+
+def test_jdbc_options(spark):
+    url = jdbc_url("db", 3307, "registro")
+    assert url.startswith("jdbc:mysql://db:3307/registro?") and "useCursorFetch=true" in url
+    assert JdbcRange("id", 0, 90, 9).options() == {"column": "id", "lowerBound": 0, "upperBound": 90, "numPartitions": 9}
+    first, *rest = key_ranges("cnpj", ["1", "5'"])
+    assert "IS NULL" in first and rest == ["cnpj >= '1' AND cnpj < '5\'\''", "cnpj >= '5\'\''"]
+    with pytest.raises(ValueError, match="servicos_ecv"):
+        load_tables_jdbc(spark, url, {}, {"servicos_cfc": JdbcRange("id", 0, 9, 2)})
 
 
 def test_schemas_name_every_table():
