@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,11 +94,6 @@ def select_areas(df: DataFrame, ids: Sequence[int | str] | DataFrame, id_col: st
     return df.where(F.col(id_col).isin(numbers)) if numbers else df.where(F.lit(False))
 
 
-def _flag(df: DataFrame, ids: DataFrame, id_col: str, name: str) -> DataFrame:
-    hits = ids.select(F.col("id_municipio").cast("string").alias("_id"), F.lit(True).alias(name))
-    return df.join(hits, F.col(id_col).cast("string") == F.col("_id"), "left").drop("_id")
-
-
 def highlight(
     df: DataFrame,
     entities: DataFrame,
@@ -121,12 +117,20 @@ def highlight(
     out = df
     if ids:
         classes.append(("municipio", F.col(id_col).cast("string").isin([str(i) for i in ids])))
+    # Both look-ups are flags of one pass over the entities.
+    flags: dict[str, Column] = {}
     if razao_social:
-        out = _flag(out, areas_by_name(entities, razao_social, trim_stored), id_col, "_por_nome")
+        name = trim_blanks(F.col("razao_social")) if trim_stored else F.col("razao_social")
+        flags["_por_nome"] = F.coalesce(name == F.lit(razao_social), F.lit(False))
         classes.append(("razao_social", F.col("_por_nome")))
     if cnpj:
-        out = _flag(out, areas_by_cnpj(entities, cnpj, normalize_stored), id_col, "_por_cnpj")
+        identifier = format_cnpj(F.col("cnpj")) if normalize_stored else F.col("cnpj")
+        flags["_por_cnpj"] = F.coalesce(identifier == format_cnpj(F.lit(cnpj)), F.lit(False))
         classes.append(("cnpj", F.col("_por_cnpj")))
+    if flags:
+        found = entities.where(reduce(lambda a, b: a | b, flags.values()))
+        found = found.groupBy(F.col("id_municipio").cast("string").alias("_id")).agg(*[F.max(c).alias(n) for n, c in flags.items()])
+        out = out.join(found, F.col(id_col).cast("string") == F.col("_id"), "left").drop("_id")
     if precedence == "last":
         classes.reverse()
     name = F.lit(None).cast("string")
