@@ -37,9 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, so that other columns cannot clash with those of an operator."""
-    return docs.select(*(docs[n] for n in names))
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into pieces of at most so many rows, so that a worker unpacks few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import stored
+from quadrante.llm.common import slices, stored
 
 #: ASCII letters to lower case, ASCII digits and bytes beyond ASCII kept, the rest to blanks.
 _FOLD = bytes(
@@ -154,7 +154,7 @@ def _scanner(block):
 
     def mark(batches):
         grams = block.value
-        for batch in batches:
+        for batch in slices(batches):
             columns = {name: [] for name in kinds}
             for text, at, items in zip(batch["text"].to_pylist(), batch["at"].to_pylist(), batch["items"].to_pylist()):
                 found = words(text.encode("utf-8", "replace") if text else None)
@@ -209,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_gram
 def _range_marker(block):
     def mark(batches):
         grams = block.value
-        for batch in batches:
+        for batch in slices(batches):
             at = []
             for text, ranges in zip(pa.RecordBatch.from_struct_array(batch["row"])["text"].to_pylist(), batch["at"].to_pylist()):
                 found = grams.hits(words(text.encode("utf-8", "replace") if text else None))[0]
@@ -220,7 +220,7 @@ def _range_marker(block):
 
 
 def _cut_ranges(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = pa.RecordBatch.from_struct_array(batch["row"])
         texts, keep = rows["text"].to_pylist(), []
         for k, at in enumerate(batch["at"].to_pylist()):
@@ -233,7 +233,7 @@ def _cut_ranges(batches):
 def _remover(block):
     def remove(batches):
         grams = block.value
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep = batch["text"].to_pylist(), []
             changed = False
             for k, text in enumerate(texts):

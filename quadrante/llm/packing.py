@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.tokens import crc_of_ids, tokenized
+from quadrante.llm.tokens import WORDS, crc_of_ids, tokenized
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 256
 
@@ -115,13 +115,14 @@ class _Packer:
         self.next += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, with_ids: bool = True, words: int = WORDS) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with
-    ``with_ids``, the piece's ``ids`` (array of int). Sequences have ``size`` ids or a power of two below it."""
+    ``with_ids``, the piece's ``ids`` (array of int). Sequences have ``size`` ids or a power of two below it. ``words``:
+    see ``tokenized``."""
     if size < 1 or size & (size - 1):
         raise ValueError(f"size must be a power of two, not {size}")
     places = lambda ids: [pa.array(curve_places(ids), pa.int64())]
-    tokens = tokenized(docs, tokenizer_path, end_id, places, ", x0 long")
+    tokens = tokenized(docs, tokenizer_path, end_id, places, ", x0 long", words)
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4

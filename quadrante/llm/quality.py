@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrante.llm.common import slices
+
 THRESHOLD = 0.7
 FEATURES = 18
 _KIND = np.zeros(256, np.uint8)  # letters and bytes beyond ASCII stay 0
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 20_000) -> Model
     chosen = chosen.unionByName(bounded(ids, "unlabelled").distinct()).groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
     def featured(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["kinds"], batch["rank"], pa.array(found, pa.list_(pa.float64()))], ["id", "kinds", "rank", "x"]
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = score_texts(model, batch["text"].to_pylist())
             predicted = pa.array((values >= THRESHOLD).astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(values), predicted], ["doc_id", "held_out", "score", "predicted"])
@@ -199,7 +201,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(score_texts(model, batch["text"].to_pylist()) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

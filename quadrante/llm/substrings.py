@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import stored
+from quadrante.llm.common import slices, stored
 from quadrante.llm.decontaminate import replaced
 
 _BLANK = r"[ \t\r\f\v]"
@@ -44,31 +44,29 @@ def units(text: str) -> list[str]:
 
 
 def _digests(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            digests, counts, positions, rows = [], [], [], []
-            for row, text in enumerate(part["text"].to_pylist()):
-                for position, unit in enumerate(units(text)):
-                    found = unit.lower().split()
-                    if found:
-                        digests.append(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "replace")))
-                        counts.append(len(found))
-                        positions.append(position)
-                        rows.append(row)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            taken = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part["doc_id"].take(taken),
-                    part["rank"].take(taken),
-                    pa.array(positions, pa.int32()),
-                    pa.array(counts, pa.int32()),
-                    pa.array(np.ascontiguousarray(halves[:, 0])),
-                    pa.array(np.ascontiguousarray(halves[:, 1])),
-                ],
-                ["doc_id", "rank", "position", "words", "d1", "d2"],
-            )
+    for batch in slices(batches, 256):
+        digests, counts, positions, rows = [], [], [], []
+        for row, text in enumerate(batch["text"].to_pylist()):
+            for position, unit in enumerate(units(text)):
+                found = unit.lower().split()
+                if found:
+                    digests.append(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "replace")))
+                    counts.append(len(found))
+                    positions.append(position)
+                    rows.append(row)
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        taken = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["doc_id"].take(taken),
+                batch["rank"].take(taken),
+                pa.array(positions, pa.int32()),
+                pa.array(counts, pa.int32()),
+                pa.array(np.ascontiguousarray(halves[:, 0])),
+                pa.array(np.ascontiguousarray(halves[:, 1])),
+            ],
+            ["doc_id", "rank", "position", "words", "d1", "d2"],
+        )
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
@@ -132,7 +130,7 @@ def substring_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     ``[start, end)`` of the original text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns: dict[str, list] = {"text": [], "n_units": [], "n_removed": [], "removed": []}
             for text, positions, counts in zip(*(batch[n].to_pylist() for n in ("text", "positions", "counts"))):
                 kept, spans, all_units, gone = split_text(text, positions or [], counts or [], min_words) if text else (text, [], 0, 0)
@@ -151,7 +149,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs``, all columns, with the kept texts; a document that loses its last word is dropped."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = pa.RecordBatch.from_struct_array(batch["row"])
             texts, keep = rows["text"].to_pylist(), []
             for k, (positions, counts) in enumerate(zip(batch["positions"].to_pylist(), batch["counts"].to_pylist())):

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import stored
+from quadrante.llm.common import slices, stored
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
 _PLAIN = re.compile(rf"(?:[{_LATIN}]++|[{_MARKS}]++|\n(?=[{_LATIN}{_MARKS}]))+\Z")
 _PARTS = re.compile(rf"[{_LATIN}]+|[{_MARKS}]+|\n")
+#: Words that a worker remembers at most; more take more memory and less time.
+WORDS = 1_200_000
 _ALONE = "\x00"  # begins the key of what has no blank before it
 _workers: dict[tuple, "WordTokenizer"] = {}
 
@@ -36,7 +38,7 @@ class WordTokenizer:
     A key of the memory stands for itself with a blank before it, or without one if it begins with ``_ALONE``.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, limit: int = WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -133,32 +135,31 @@ class WordTokenizer:
         return [np.array(e.ids, self.type).tobytes() for e in encoded]
 
 
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str, limit: int) -> WordTokenizer:
     """The tokenizer of this Python worker, kept between tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _workers:
-        _workers[path] = WordTokenizer(path)
-    return _workers[path]
+    if (path, limit) not in _workers:
+        _workers[path, limit] = WordTokenizer(path, limit)
+    return _workers[path, limit]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, extra=None, extra_schema: str = "") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, extra=None, extra_schema: str = "", words: int = WORDS) -> DataFrame:
     """``(seq, doc_id, n, ids)`` for each row of ``docs``, stored: ``ids`` are little-endian ids of two bytes, or
     of four where the vocabulary needs them, with ``end_id`` last; ``seq`` numbers the rows and tells
-    equal ones apart. ``extra`` maps the arrays of a batch to more columns. A null text is empty."""
+    equal ones apart. ``extra`` maps the arrays of a batch to more columns. ``words`` bounds the memory of a worker,
+    about 200 bytes each. A null text is empty."""
 
     def encode(batches):
-        tokenizer = worker_tokenizer(path)
+        tokenizer = worker_tokenizer(path, words)
         end = np.array([end_id], tokenizer.type).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = [x + end for x in tokenizer.encode(part["text"].to_pylist())]
-                n = pa.array([len(x) // tokenizer.width for x in ids], pa.int64())
-                more = extra([np.frombuffer(x, tokenizer.type) for x in ids]) if extra else []
-                names = ["seq", "doc_id", "n", "ids", *(f"x{i}" for i in range(len(more)))]
-                yield pa.RecordBatch.from_arrays([part["seq"], part["doc_id"], n, pa.array(ids, pa.binary()), *more], names)
+        for part in slices(batches):
+            ids = [x + end for x in tokenizer.encode(part["text"].to_pylist())]
+            n = pa.array([len(x) // tokenizer.width for x in ids], pa.int64())
+            more = extra([np.frombuffer(x, tokenizer.type) for x in ids]) if extra else []
+            names = ["seq", "doc_id", "n", "ids", *(f"x{i}" for i in range(len(more)))]
+            yield pa.RecordBatch.from_arrays([part["seq"], part["doc_id"], n, pa.array(ids, pa.binary()), *more], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("seq"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return stored(rows.mapInArrow(encode, f"seq long, doc_id long, n long, ids binary{extra_schema}"))
