@@ -52,7 +52,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, with their ids."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, words=400_000)
 
 
 STAGES = [
