@@ -105,8 +105,9 @@ def id_counts(tokens: DataFrame, width: int) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                own = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
+            for k in range(0, batch.num_rows, 1000):
+                ids = b"".join(x.as_buffer() for x in batch["ids"].slice(k, 1000))
+                own = np.bincount(np.frombuffer(ids, f"<u{width}"))
                 if len(own) > len(total):
                     own[: len(total)] += total
                     total = own
