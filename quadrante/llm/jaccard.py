@@ -10,8 +10,7 @@ exact (up to the equality of 64-bit hashes) and finds no pair twice:
    many documents share are frequent and come late, so they bring few sets together.
 3. *Lists.* Prefix shingles are dealt to buckets in packed form; those of one set only go. Shingles that
    the sketch calls hot skip the buckets, as their lists have no bound.
-4. *Groups.* Each set joins the group of the most central set that it shares a prefix shingle with (the
-   one whose prefix shingles have the longest lists), as similar sets meet there; groups over
+4. *Groups.* Each set joins the group of the longest list that it is in, as similar sets meet there; groups over
    ``group_sets`` sets are dealt to several by hash.
 5. *Matrix.* Shingle -> group rows give, for each (set, group), how many prefix shingles the set has in the group's
    token union. Pairs below the bound of step 2 are dropped; only the groups left are opened.
@@ -44,22 +43,10 @@ SKETCH_BITS = 22
 _CHUNKS = 64
 _BUCKET_TOKENS = 400_000
 _QUERY_BLOCK = 1024
+_HOT_LENGTH = 512  # at least so many occurrences make a shingle hot, whose list is not counted
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(256)], np.uint64)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered up to a limit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hash_of = _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -70,7 +57,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     found = text.encode("utf-8", "replace").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hash_of.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     size = min(words, len(hashes))
     total = np.full(len(hashes) - size + 1, size, np.uint64)
     for k in range(size):
@@ -141,7 +128,7 @@ def _sketch_levels(rows: DataFrame) -> tuple[np.ndarray, int]:
     counts = np.concatenate([np.frombuffer(zlib.decompress(parts[k]), np.int64) for k in range(_CHUNKS)])
     mean = max(1.0, counts.mean())
     levels = np.clip(4 * np.log2(np.maximum(counts, 1) / mean), 0, 255).astype(np.uint8)
-    return levels, int(4 * np.log2(max(8.0, 512 / mean)))
+    return levels, int(4 * np.log2(max(8.0, _HOT_LENGTH / mean)))
 
 
 def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
@@ -156,7 +143,7 @@ def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
                 own = shingle_set(text, words)
                 if len(own) == 0 or (number := set_number(own)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(number)
                 first = prefix(own, level_of, percent)
                 tokens.append(first)
@@ -183,13 +170,8 @@ def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
     return run
 
 
-def _unpack(tokens, owners, sizes) -> pa.RecordBatch:
-    arrays = [pa.array(tokens.view(np.int64)), pa.array(owners), pa.array(sizes)]
-    return pa.RecordBatch.from_arrays(arrays, ["token", "number", "n"])
-
-
 def _repeated(key, table):
-    """The bucket's shingles that two or more sets have; of a negative bucket, all."""
+    """The bucket's shingles that two or more sets have, with the lengths of their lists; of a negative bucket, all."""
     tokens, owners, sizes = (
         np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
         for name, kind in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.int32))
@@ -199,12 +181,14 @@ def _repeated(key, table):
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
     tokens, owners, sizes = tokens[new], owners[new], sizes[new]
-    if key[0].as_py() < 0:
-        return pa.Table.from_batches([_unpack(tokens, owners, sizes)])
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     lengths = np.diff(np.append(starts, len(tokens)))
-    keep = np.repeat(lengths > 1, lengths)
-    return pa.Table.from_batches([_unpack(tokens[keep], owners[keep], sizes[keep])])
+    lengths = np.repeat(lengths, lengths).astype(np.int32)
+    if key[0].as_py() < 0:
+        lengths = np.full(len(tokens), _HOT_LENGTH, np.int32)
+    keep = lengths > 1
+    columns = {"token": tokens.view(np.int64), "number": owners, "n": sizes, "length": lengths}
+    return pa.table({name: pa.array(values[keep]) for name, values in columns.items()})
 
 
 def _opened(percent: int):
@@ -300,33 +284,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, group
     packed = texts.select("text").mapInArrow(
         _token_rows(levels, hot, words, percent, buckets), "bucket long, tokens binary, owners binary, sizes binary"
     )
-    lists = stored(packed.groupBy("bucket").applyInArrow(_repeated, "token long, number long, n int"))
-
-    # Central sets lead: their prefix shingles have long lists.
-    lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
-    weighed = lists.join(lengths.where("length > 1"), "token")
-    score = weighed.groupBy("number").agg((F.sum("length") / F.max("n")).alias("score"), F.count("*").alias("shared"), F.max("n").alias("n"))
-    # A set with too few shared prefix shingles links with nothing (step 2; a partner may be smaller by percent).
-    score = stored(score.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10))).drop("shared"))
-    kept = weighed.select("token", "number", "n").join(score.select("number", "score"), "number")
-    kept = stored(kept)
-    leader = kept.groupBy("token").agg(F.max(F.struct("score", "number")).alias("leader"), F.count("*").alias("length"))
-    led = kept.join(leader.where("length > 1").drop("length"), "token")
-    group = led.groupBy("number").agg(F.max("leader")["number"].alias("lead"), F.max("n").alias("n"))
-    sizes = group.groupBy("lead").agg(F.count("*").alias("sets"))
+    lists = stored(packed.groupBy("bucket").applyInArrow(_repeated, "token long, number long, n int, length int"))
+
+    # Sets meet in the group of the longest list that they are in.
+    info = lists.groupBy("number").agg(
+        F.count("*").alias("shared"), F.max("n").alias("n"), F.max(F.struct("length", "token"))["token"].alias("lead")
+    )
+    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10))
+    # Fewer shared prefix shingles than any partner must have (a partner may be smaller by percent): no links.
+    info = stored(info.where(F.col("shared") >= least).drop("shared"))
+    sizes = info.groupBy("lead").agg(F.count("*").alias("sets"))
     part = F.pmod(F.xxhash64("number"), F.greatest(F.lit(1), F.ceil(F.col("sets") / group_sets)))
-    group = stored(group.join(sizes, "lead").select("number", "n", F.xxhash64("lead", part).alias("group")))
+    group = stored(info.join(sizes, "lead").select("number", "n", F.xxhash64("lead", part).alias("group")))
 
     # Token-group matrix: which groups' unions hold a prefix shingle, and sizes there.
-    cells = kept.select("token", "number").join(group, "number")
+    cells = stored(lists.select("token", "number").join(group, "number"))
     matrix = cells.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"))
     apart = (F.col("x.group") < F.col("g.group")) | ((F.col("x.group") == F.col("g.group")) & (F.col("g.sets") > 1))
-    fits = apart & (100 * F.col("g.most") >= percent * F.col("x.n")) & (
-        100 * F.col("x.n") >= percent * F.col("g.least")
-    )
+    fits = apart & (100 * F.col("g.most") >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * F.col("g.least"))
     met = cells.alias("x").join(matrix.alias("g"), (F.col("x.token") == F.col("g.token")) & fits)
     met = met.groupBy("x.number", F.col("g.group").alias("group")).agg(F.count("*").alias("shared"), F.max("x.n").alias("n"))
-    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10))
     opened = stored(met.where(F.col("shared") >= least).select("number", "group"))
 
     # The sets of what is left, from their texts.
