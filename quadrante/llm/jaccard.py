@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import connected_components, stored
+from quadrante.llm.common import connected_components, slices, stored
 
 SKETCH_BITS = 22
 _CHUNKS = 64
@@ -93,7 +93,7 @@ def _sets_and_sketch(words: int):
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             numbers, sizes = [], []
             for text in batch["text"].to_pylist():
                 tokens = shingle_set(text, words)
@@ -139,7 +139,7 @@ def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
         seen: set[int] = set()
         for batch in batches:
             tokens, owners, sizes = [], [], []
-            for text in batch["text"].to_pylist():
+            for text in (t for part in slices([batch]) for t in part["text"].to_pylist()):
                 own = shingle_set(text, words)
                 if len(own) == 0 or (number := set_number(own)) in seen:
                     continue
@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, group
 
 def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> DataFrame:
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t, words) for t in batch["text"].to_pylist()]
             numbers = pa.array([set_number(t) for t in found], pa.int64())
             yield pa.RecordBatch.from_arrays([numbers, pa.array([t.tobytes() for t in found], pa.binary())], ["number", "tokens"])
