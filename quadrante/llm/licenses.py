@@ -122,7 +122,10 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     vocabulary = sorted({t for r in listed for t in r["terms"]})
     labels = [UNKNOWN, *TEMPLATES]
     # Bounded: the paragraphs with the smallest hashes, half to train on, half to calibrate with.
-    drawn = paragraphs(docs).select("paragraph").orderBy(F.xxhash64("paragraph"), "paragraph").limit(sample)
+    # The bound is found on the hashes alone, so no text is sorted or sent to one task.
+    hashed = paragraphs(docs).select("paragraph", F.xxhash64("paragraph").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    drawn = hashed.where(F.col("h") <= F.lit(last).cast("long")).select("paragraph").distinct()
     drawn = stored(_with_terms(drawn.withColumn("n", F.xxhash64("paragraph", F.lit(1)))))
     plain = drawn.where(best_overlap(spark, "pairs") < 0.5)
     half = F.pmod("n", F.lit(2))
