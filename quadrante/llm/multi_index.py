@@ -243,7 +243,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93, recall: float = 0.
     counts = same.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"), F.max("size").alias("size")).first()
     if not counts["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    taken = same.orderBy(F.xxhash64("seq"), "seq").limit(sample).select("label", "size", "unit").collect()
+    # The bound is found on the hashes alone, so no vectors are sorted in one task.
+    hashed = F.xxhash64("seq")
+    last = same.select(hashed.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    taken = same.where(hashed <= F.lit(last)).select("seq", "label", "size", "unit").collect()
+    taken.sort(key=lambda row: row["seq"])
     width = counts["size"] + counts["size"] % 2
     units = np.zeros((len(taken), width))
     for k, row in enumerate(taken):
