@@ -6,7 +6,14 @@ Passages that were pasted into other text are cut alike everywhere, up to the en
 sentences. Units are normalised (lower case, single blanks) and their 128-bit digests grouped over all
 documents; the earliest occurrence by ``(doc_id, text hash, position)`` is kept. A run of neighbouring
 units that all have an earlier occurrence is removed if it has ``min_words`` words or more, so chance repeats of
-short sentences stay.
+short sentences stay. This is the rule of the registered query and its SQL.
+
+``whole=True``, the default of ``remove_repeats``, does more and less. Units of many words are cut further behind
+words chosen by their hashes, so a passage pasted into a sentence, or into text without marks and capitals,
+is cut alike everywhere but for fewer than ``2 * _WINDOW`` words at its two ends, which stay. And what is compared
+is not a unit but the shortest row of neighbouring pieces, from each piece on and up to each piece, that has ``min_words``
+words, so nothing goes that does not stand in one earlier place with so many words in a row. Letters of scripts
+without blanks count as words.
 
 Two shuffles of digests and positions, then one of the texts with the positions to remove. The digests are
 combined in each task first, and only repeated ones are joined back, where adaptive execution splits the rows of
@@ -43,6 +50,74 @@ def units(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(starts, ends) if b > a]
 
 
+#: Of so many words in a row, one is chosen to cut behind; shorter units than two such windows stay whole.
+_WINDOW = 8
+#: Words, and letters of scripts that set no blanks between words (Thai to Khmer, kana, ideographs).
+_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|"
+                   r"[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
+
+
+def pieces(text: str) -> tuple[list[str], list[int]]:
+    """The units of a text, long ones cut behind each word with the smallest hash of ``_WINDOW`` neighbours, and the
+    words of each; joined they give the text."""
+    out, counts = [], []
+    for unit in units(text):
+        found = list(_WORD.finditer(unit))
+        cuts = []
+        if len(found) >= 2 * _WINDOW:
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(m[0].lower().encode("utf-8", "replace")) for m in found), np.uint64, len(found))
+            last = np.lib.stride_tricks.sliding_window_view(hashes, _WINDOW)[:, ::-1].argmin(axis=1)
+            chosen = np.unique(np.arange(len(last)) + _WINDOW - 1 - last) + 1
+            cuts = [int(k) for k in chosen if k < len(found)]
+        at = 0
+        for a, b in zip([0, *cuts], [*cuts, len(found)]):
+            end = found[b].start() if b < len(found) else len(unit)
+            out.append(unit[at:end])
+            counts.append(b - a)
+            at = end
+    return out, counts
+
+
+def groups(counts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """``(first, behind last)``: the shortest rows of pieces from each piece on, and up to each piece, with enough words."""
+    found, total, a = set(), 0, 0
+    for b, count in enumerate(counts):
+        total += count
+        while total - counts[a] >= min_words:  # up to b
+            total -= counts[a]
+            a += 1
+        if total >= min_words and count:
+            found.add((a, b + 1))
+    total, b = 0, len(counts)
+    for a in range(len(counts) - 1, -1, -1):
+        total += counts[a]
+        while total - counts[b - 1] >= min_words:  # from a on
+            b -= 1
+            total -= counts[b]
+        if total >= min_words and counts[a]:
+            found.add((a, b))
+    return sorted(found)
+
+
+def _group_digests(min_words: int):
+    """Like ``_digests``, of ``groups``; ``words`` is the number of pieces."""
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            digests, sizes, positions, rows = [], [], [], []
+            for row, text in enumerate(batch["text"].to_pylist()):
+                cut, counts = pieces(text)
+                plain = [" ".join(x.lower().split()).encode("utf-8", "replace") for x in cut]
+                for a, b in groups(counts, min_words):
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(filter(None, plain[a:b]))))
+                    sizes.append(b - a)
+                    positions.append(a)
+                    rows.append(row)
+            yield _batch(batch, digests, sizes, positions, rows)
+
+    return run
+
+
 def _digests(batches):
     for batch in slices(batches, 256):
         digests, counts, positions, rows = [], [], [], []
@@ -54,27 +129,31 @@ def _digests(batches):
                     counts.append(len(found))
                     positions.append(position)
                     rows.append(row)
-        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        taken = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["doc_id"].take(taken),
-                batch["rank"].take(taken),
-                pa.array(positions, pa.int32()),
-                pa.array(counts, pa.int32()),
-                pa.array(np.ascontiguousarray(halves[:, 0])),
-                pa.array(np.ascontiguousarray(halves[:, 1])),
-            ],
-            ["doc_id", "rank", "position", "words", "d1", "d2"],
-        )
-
-
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rank, positions, counts)``: units of each document that occur earlier, with their words; documents
-    without such units are left out."""
+        yield _batch(batch, digests, counts, positions, rows)
+
+
+def _batch(batch, digests, counts, positions, rows) -> pa.RecordBatch:
+    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    taken = pa.array(rows, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            batch["doc_id"].take(taken),
+            batch["rank"].take(taken),
+            pa.array(positions, pa.int32()),
+            pa.array(counts, pa.int32()),
+            pa.array(np.ascontiguousarray(halves[:, 0])),
+            pa.array(np.ascontiguousarray(halves[:, 1])),
+        ],
+        ["doc_id", "rank", "position", "words", "d1", "d2"],
+    )
+
+
+def repeated_units(docs: DataFrame, min_words: int = 8, whole: bool = False) -> DataFrame:
+    """``(doc_id, rank, positions, counts)``: units of each document that occur earlier, with their words (``whole``: groups,
+    with their pieces); documents without such units are left out."""
     texts = docs.where(docs["text"] != "").select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("rank"), docs["text"].alias("text"))
     schema = "doc_id long, rank long, position int, words int, d1 long, d2 long"
-    rows = stored(texts.mapInArrow(_digests, schema))
+    rows = stored(texts.mapInArrow(_group_digests(min_words) if whole else _digests, schema))
     # Null ids last: structs compare field by field.
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rank", "position")
     first = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -99,10 +178,16 @@ def removed_units(positions: list[int], counts: list[int], min_words: int) -> se
     return out
 
 
-def split_text(text: str, positions: list[int], counts: list[int], min_words: int) -> tuple[str, list[tuple[int, int]], int, int]:
-    """Kept text, removed code-point spans (neighbours merged), units in all and removed."""
-    cut = units(text)
-    gone = removed_units(positions, counts, min_words)
+def split_text(
+    text: str, positions: list[int], counts: list[int], min_words: int, whole: bool = False
+) -> tuple[str, list[tuple[int, int]], int, int]:
+    """Kept text, removed code-point spans (neighbours merged), units (``whole``: pieces) in all and removed."""
+    if whole:
+        cut = pieces(text)[0]
+        gone = {k for a, n in zip(positions, counts) for k in range(a, a + n)}
+    else:
+        cut = units(text)
+        gone = removed_units(positions, counts, min_words)
     spans: list[list[int]] = []
     kept, at = [], 0
     for k, unit in enumerate(cut):
@@ -117,15 +202,15 @@ def split_text(text: str, positions: list[int], counts: list[int], min_words: in
     return "".join(kept), [(a, b) for a, b in spans], len(cut), len(gone)
 
 
-def _with_repeats(docs: DataFrame) -> DataFrame:
+def _with_repeats(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
     """``docs`` as a struct ``row`` next to the repeated units of its text."""
-    repeats = repeated_units(docs).select(F.col("doc_id").alias("id"), "rank", "positions", "counts")
+    repeats = repeated_units(docs, min_words, whole).select(F.col("doc_id").alias("id"), "rank", "positions", "counts")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("rank"))
     return rows.join(repeats, same, "left").select("row", "positions", "counts")
 
 
-def substring_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def substring_spans(docs: DataFrame, min_words: int = 8, whole: bool = False) -> DataFrame:
     """``doc_id, text, n_units, n_removed, removed``: the kept text of each row, and ``removed`` code-point ranges
     ``[start, end)`` of the original text."""
 
@@ -133,19 +218,19 @@ def substring_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
         for batch in slices(batches):
             columns: dict[str, list] = {"text": [], "n_units": [], "n_removed": [], "removed": []}
             for text, positions, counts in zip(*(batch[n].to_pylist() for n in ("text", "positions", "counts"))):
-                kept, spans, all_units, gone = split_text(text, positions or [], counts or [], min_words) if text else (text, [], 0, 0)
+                kept, spans, all_units, gone = split_text(text, positions or [], counts or [], min_words, whole) if text else (text, [], 0, 0)
                 for name, value in zip(columns, (kept, all_units, gone, [{"start": a, "end": b} for a, b in spans])):
                     columns[name].append(value)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             kinds = (pa.string(), pa.int64(), pa.int64(), span)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(v, k) for v, k in zip(columns.values(), kinds))], ["doc_id", *columns])
 
-    rows = _with_repeats(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")))
+    rows = _with_repeats(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), min_words, whole)
     rows = rows.select("row.doc_id", "row.text", "positions", "counts")
     return rows.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:int,end:int>>")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 8, whole: bool = True) -> DataFrame:
     """``docs``, all columns, with the kept texts; a document that loses its last word is dropped."""
 
     def run(batches):
@@ -154,8 +239,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
             texts, keep = rows["text"].to_pylist(), []
             for k, (positions, counts) in enumerate(zip(batch["positions"].to_pylist(), batch["counts"].to_pylist())):
                 if positions:
-                    texts[k] = split_text(texts[k], positions, counts, min_words)[0]
+                    texts[k] = split_text(texts[k], positions, counts, min_words, whole)[0]
                 keep.append(not positions or bool(texts[k].strip()))
             yield replaced(rows, texts).filter(pa.array(keep))
 
-    return _with_repeats(docs).mapInArrow(run, docs.schema)
+    return _with_repeats(docs, min_words, whole).mapInArrow(run, docs.schema)

@@ -81,3 +81,22 @@ def test_rows_without_ids_rank_last(documents):
 
 def test_no_documents(documents):
     assert substring_spans(documents([])).count() == 0 and remove_repeats(documents([])).count() == 0
+
+
+def whole(documents, rows):
+    return {r["doc_id"]: r["text"] for r in remove_repeats(documents(rows)).collect()}
+
+
+def test_passages_inside_long_sentences_go(documents):
+    passage = prose(50, 60, False).lower()
+    texts = [f"{prose(51 + k, 40, False).lower()} {passage} {prose(61 + k, 300, False).lower()}" for k in range(3)]
+    greek = "".join(chr(0x3B1 + ord(c) - 97) if c.isalpha() else c for c in passage)
+    ideographs = "".join(chr(0x4E00 + 7 * (k * k % 997)) for k in range(80))
+    rows = [*enumerate(texts), (5, greek), (6, f"{greek} {''.join(chr(0x3B1 + k) for k in range(9))}")]
+    rows += [(7, ideographs), (8, f"天地玄黄{ideographs}宇宙洪荒")]
+    got = whole(documents, rows)
+    assert got[0] == texts[0] and got[5] == greek and got[7] == ideographs
+    for k in (1, 2):
+        left = got[k].split()
+        assert 340 <= len(left) < 340 + 32 and left[:40] == texts[k].split()[:40] and left[-300:] == texts[k].split()[-300:]
+    assert len(got[6].split()) < 1 + 32 and len(got[8]) < 8 + 32
