@@ -100,3 +100,16 @@ def test_passages_inside_long_sentences_go(documents):
         left = got[k].split()
         assert 340 <= len(left) < 340 + 32 and left[:40] == texts[k].split()[:40] and left[-300:] == texts[k].split()[-300:]
     assert len(got[6].split()) < 1 + 32 and len(got[8]) < 8 + 32
+
+
+def test_text_that_only_stands_in_scattered_places_stays(documents):
+    names = "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida".split()
+    together = " ".join(names)
+    rows = [*((k, f"{n} {prose(70 + k, 20, False).lower()}") for k, n in enumerate(names)), (20, together), (21, together), (22, f"Zoe {together} Zoe")]
+    got = whole(documents, rows)
+    assert got[20] == together and 21 not in got and got[22] == "Zoe Zoe"
+
+
+def test_tail_of_a_repeated_row_goes(documents):
+    line = f"{prose(90, 9, False)}.\nYes it is.\nNo."
+    assert whole(documents, [(1, line), (2, f"{line}\nnew words")])[2] == "new words"
