@@ -17,7 +17,7 @@ text over the limit is a shard of its own; an empty table has no shards; other c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrante.llm.common import stored
@@ -70,6 +70,18 @@ def assign_shards(docs: DataFrame, limit: int, step: int = 16) -> DataFrame:
     rows = docs.select(
         docs["doc_id"], place(docs["doc_id"], docs["text"]).alias("place"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("bytes")
     )
+    placed = _placed(rows, limit, step)
+    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("row")
+    placed = placed.select("doc_id", "depth", "prefix", "bytes", "per_shard", "alone", row)
+    return placed.select("doc_id", F.col("depth").cast("long").alias("depth"), "prefix", _overflow().alias("overflow"), "bytes")
+
+
+def _overflow() -> F.Column:
+    return F.when(F.col("alone"), F.floor(F.col("row") / F.col("per_shard"))).otherwise(0).cast("long")
+
+
+def _placed(rows: DataFrame, limit: int, step: int) -> DataFrame:
+    """``(doc_id, place, bytes)`` once with its ``copies`` and shard: ``depth, prefix``, and if it is ``alone`` there, the rows ``per_shard``."""
     rows = stored(rows.groupBy("doc_id", "place", "bytes").agg(F.count("*").alias("copies")))
     sizes = rows.select("place", (F.col("bytes") * F.col("copies")).alias("bytes"))
     shards = stored(directory(sizes, limit, step))
@@ -78,15 +90,31 @@ def assign_shards(docs: DataFrame, limit: int, step: int = 16) -> DataFrame:
     keyed = keyed.withColumn("prefix", F.expr(f"shiftright(place, {BITS} - depth)"))
     placed = keyed.join(shards.select("depth", "prefix", F.col("bytes").alias("total")), ["depth", "prefix"])
     per_shard = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
-    alone = F.col("total") > limit
-    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("row")
-    placed = placed.select("doc_id", "depth", "prefix", "bytes", per_shard.alias("per_shard"), alone.alias("alone"), row)
-    overflow = F.when(F.col("alone"), F.floor(F.col("row") / F.col("per_shard"))).otherwise(0).cast("long")
-    return placed.select("doc_id", F.col("depth").cast("long").alias("depth"), "prefix", overflow.alias("overflow"), "bytes")
+    return placed.select("doc_id", "place", "bytes", "copies", "depth", "prefix", per_shard.alias("per_shard"), (F.col("total") > limit).alias("alone"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int) -> None:
-    """Writes ``docs``, all columns, as one Parquet folder per shard (``shard=depth-prefix-overflow``)."""
-    shards = assign_shards(docs, limit).select("doc_id", F.concat_ws("-", "depth", "prefix", "overflow").alias("shard")).distinct()
-    rows = docs.join(shards.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, step: int = 16) -> None:
+    """Writes ``docs``, all columns, each row once, as one Parquet folder per shard (``shard=depth-prefix-overflow``).
+
+    Rows find their shard by id and place. Only rows of overflow chains are numbered: inside each task of the stored
+    input, from the copies in the tasks before on, so no chain is gathered.
+    """
+    bytes_ = F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long")
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    seq = F.monotonically_increasing_id().alias("seq")
+    rows = stored(docs.select(row, docs["doc_id"].alias("doc_id"), place(docs["doc_id"], docs["text"]).alias("place"), bytes_.alias("bytes"), seq))
+    # Stored, so that both uses below see one number for each row: the upper bits are the task that wrote it.
+    placed = _placed(rows.select("doc_id", "place", "bytes"), limit, step)
+    placed = stored(placed.select(F.struct("doc_id", "place", "bytes").alias("key"), "depth", "prefix", "per_shard", "alone"))
+    rows = rows.select("row", F.struct("doc_id", "place", "bytes").alias("key"), "seq", F.shiftright("seq", 33).alias("task"))
+    alone = placed.where("alone").select("key").alias("p")
+    chains = stored(rows.select("key", "seq", "task").alias("r").join(alone, F.expr("r.key <=> p.key"), "left_semi"))
+    before = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chains.groupBy("key", "task").agg(F.count("*").alias("copies")).withColumn("start", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("key", "task").orderBy("seq")) - 1
+    numbered = chains.withColumn("inside", inside).alias("c").join(starts.alias("s"), F.expr("c.key <=> s.key and c.task = s.task"))
+    numbered = numbered.select(F.col("c.seq").alias("seq"), (F.col("inside") + F.col("start")).alias("row_no"))
+    dealt = rows.alias("r").join(placed.alias("p"), F.expr("r.key <=> p.key")).select("r.row", "r.seq", "p.depth", "p.prefix", "p.per_shard", "p.alone")
+    dealt = dealt.join(numbered, "seq", "left").withColumnRenamed("row", "doc").withColumnRenamed("row_no", "row")
+    dealt = dealt.select("doc.*", F.concat_ws("-", "depth", "prefix", _overflow()).alias("shard"))
+    dealt.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -92,3 +92,13 @@ def test_plan_is_native(corpus):
 def test_no_documents(documents):
     docs = documents([])
     assert scan_licenses(docs, train(docs)).count() == 0 and paragraphs(docs).count() == 0
+
+
+def test_rows_with_repeated_or_no_ids_are_written_once(spark, documents, tmp_path):
+    rows = [*((7, prose(k, 30)) for k in range(20)), *((None, prose(100 + k, 30)) for k in range(20)), *((8, "same text " * 20) for _ in range(25)), (9, None), (None, None), (9, None)]
+    write_shards(documents(rows).repartition(5), str(tmp_path / "shards"), 1500)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+    assert back.groupBy("shard").agg({"n_chars": "sum"}).where("`sum(n_chars)` > 1500").count() == 0
+    got = back.where("doc_id = 8").groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [4, 7, 7, 7]
