@@ -33,6 +33,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return one_row_per_id(kept).unionByName(nameless)
 
 
+def near_duplicate_rows_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked rows stays, whatever its id: ids may repeat or be null."""
+    return jaccard.one_per_component(docs)
+
+
 def one_row_per_id(docs: DataFrame) -> DataFrame:
     """Of rows with one ``doc_id``, the one with the smallest hash; combined in each task first."""
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
@@ -57,7 +62,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
+    ("near_duplicates", near_duplicate_rows_stage),
     ("substrings", substring_stage),
     ("benchmark", benchmark_stage),
     ("packing", packing_stage),

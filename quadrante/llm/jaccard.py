@@ -100,13 +100,13 @@ def _sets_and_sketch(words: int):
                 sizes.append(len(tokens))
                 numbers.append(set_number(tokens) if len(tokens) else None)
                 np.add.at(sketch, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield out(0, batch["doc_id"], pa.array(numbers, pa.int64()), sizes, [None] * len(sizes))
+            yield out(0, batch["doc_id"], batch["hash"], pa.array(numbers, pa.int64()), sizes, [None] * len(sizes))
         chunks = [zlib.compress(part.tobytes(), 1) for part in np.split(sketch, _CHUNKS)]
-        yield out(1, pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int64()), [0] * _CHUNKS, chunks)
+        yield out(1, pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int64()), [0] * _CHUNKS, chunks)
 
-    def out(kind, ids, numbers, sizes, chunks):
-        arrays = [pa.array([kind] * len(sizes), pa.int32()), ids, numbers, pa.array(sizes, pa.int64()), pa.array(chunks, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["kind", "doc_id", "number", "n", "chunk"])
+    def out(kind, ids, hashes, numbers, sizes, chunks):
+        arrays = [pa.array([kind] * len(sizes), pa.int32()), ids, hashes, numbers, pa.array(sizes, pa.int64()), pa.array(chunks, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "doc_id", "hash", "number", "n", "chunk"])
 
     return run
 
@@ -272,12 +272,38 @@ def _link(queries, members, sets, sizes, union, number, percent: int, forest: _F
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, group_sets: int = 256) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``; component: smallest ``doc_id`` reachable by links."""
+    own, named = _named_sets(docs, words, percent, group_sets)
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = named.join(smallest, "component").select("number", "component_id")
+    out = own.join(final, "number", "left")
+    component = F.when(F.col("number").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80, group_sets: int = 256) -> DataFrame:
+    """``docs``, all columns, one row of each component: that with the smallest ``doc_id``, nulls last, then the smallest
+    text hash, then the smallest hash of the row. Rows without words are linked to none and all stay."""
+    own, named = _named_sets(docs, words, percent, group_sets)
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")
+    first = own.join(named.select("number", "component"), "number").groupBy("component").agg(F.min(place).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("id"), F.col("first.hash").alias("hash")).distinct()
+    wordless = docs["text"].isNull() | ~docs["text"].rlike(r"[^ \t\n\x0B\f\r]")
+    rows = docs.where(~wordless).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash"))
+    rows = rows.join(first, same, "left_semi")
+    # Equal ids and texts: one row, combined in each task first.
+    rows = rows.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.select("row.*").unionByName(docs.where(wordless))
+
+
+def _named_sets(docs: DataFrame, words: int, percent: int, group_sets: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, number, n, hash)`` of each row, ``number`` null without words, and ``(number, least, component)`` of each set."""
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    rows = stored(texts.mapInArrow(_sets_and_sketch(words), "kind int, doc_id long, number long, n long, chunk binary"))
+    rows = stored(texts.withColumn("hash", F.xxhash64("text")).mapInArrow(_sets_and_sketch(words), "kind int, doc_id long, hash long, number long, n long, chunk binary"))
     levels, hot = _sketch_levels(rows)
     levels = spark.sparkContext.broadcast(levels)
-    own = rows.where("kind = 0").select("doc_id", "number", "n")
+    own = rows.where("kind = 0").select("doc_id", "number", "n", "hash")
 
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent + 10) / 100 / _BUCKET_TOKENS))
@@ -311,10 +337,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, group
         opened.select("group").distinct().join(group.select("group", "number"), "group").select("number")
     ).distinct()
     chosen = own.join(wanted, "number").groupBy("number").agg(F.min("doc_id").alias("doc_id"))
-    return _finish(texts, own, chosen, opened, group, words, percent)
+    return own, _finish(texts, own, chosen, opened, group, words, percent)
 
 
 def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> DataFrame:
+    """``(number, least, component)`` of each set, with its smallest ``doc_id``."""
+
     def sets(batches):
         for batch in slices(batches):
             found = [shingle_set(t, words) for t in batch["text"].to_pylist()]
@@ -338,9 +366,4 @@ def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> Data
     roots = connected_components(links)
     named = own.groupBy("number").agg(F.min("doc_id").alias("least"))
     named = named.where("number is not null").join(roots.withColumnRenamed("node", "number"), "number", "left")
-    named = stored(named.select("number", "least", F.coalesce("component", "number").alias("component")))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(smallest, "component").select("number", "component_id")
-    out = own.join(final, "number", "left")
-    component = F.when(F.col("number").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return stored(named.select("number", "least", F.coalesce("component", "number").alias("component")))

@@ -62,3 +62,14 @@ def test_stages_on_an_empty_table(documents, spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0 and prose(1, 3)
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(documents, spark):
+    base, other = prose(80, 60), prose(81, 60)
+    rows = [(5, base), (5, other), (5, base), (3, prose(82, 60)), (9, base), (None, other), (None, prose(83, 60)), (None, prose(83, 60)), (4, None), (None, " ")]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    docs = documents(rows)
+    kept = stage(spark, docs, SF)
+    assert kept.schema == docs.schema
+    wanted = [(5, base), (5, other), (3, prose(82, 60)), (None, prose(83, 60)), (4, None), (None, " ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(wanted, key=str)
