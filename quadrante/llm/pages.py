@@ -1,7 +1,7 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-Pages are range-sorted by host and path, so that a page's nearest URLs of its host are its neighbours in a partition.
-Of the two neighbours that with the longer common path start is its pair (the earlier one on a tie). Both
+Pages are range-sorted by host and path, so that a page's nearest URLs of its host are its neighbours. The first
+and last page of each partition meet those of the partitions beside it in a second step, so partitions do not show in the result. Of the two neighbours that with the longer common path start is its pair (the earlier one on a tie). Both
 pages are turned into text lines, one per block element, and aligned by the longest common subsequence of
 (line, place), where the place is the path of container elements: shared lines are the template and are deleted.
 
@@ -13,7 +13,7 @@ otherwise what the difference leaves is the text.
 
 A hot host is spread over partitions (the sort goes on with path and page). A task holds one Arrow batch and a page.
 
-Defined results: a null or empty page has an empty text; a page that is alone with its host in its partition has no
+Defined results: a null or empty page has an empty text; a page that is alone with its host has no
 pair, so nothing is shared; a null or relative URL counts as a host of its own kind; equal rows pair with
 each other, and only marked lines go then if they have no ``article`` or ``main``: pages equal to their pair
 are compared with no one; an empty table gives no rows; other columns are ignored.
@@ -27,9 +27,12 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrante.llm.common import slices, stored
+
 #: Elements whose text is no line of the page.
 _SILENT = frozenset("head script style noscript template iframe object svg canvas audio video math select option textarea button".split())
 #: Elements that hold something other than the main text.
@@ -208,8 +211,16 @@ def _common(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages``."""
+_EDGES = pa.schema(
+    [
+        *(("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())),
+        *((n, pa.string()) for n in ("host", "path", "html", "inner_host", "inner_path", "inner_html")),
+    ]
+)
+
+
+def extract_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``pages``; ``partitions`` of the sort, if given, change no text."""
 
     def located(batches):
         for batch in batches:
@@ -218,34 +229,70 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *batch.columns], ["host", "path", *batch.schema.names]
             )
 
-    def paired(batches):
-        before = current = None  # (host, path, page_id, url, lines)
-        rows = []
-
-        def text_of(page, previous, following):
-            near = [p for p in (previous, following) if p and p[0] == page[0]]
-            pair = max(near, key=lambda p: _common(p[1], page[1])) if near else None
-            return page[2], page[3], main_text(page[4], pair[4] if pair else None)
+    def text_of(page, previous, following):
+        near = [p for p in (previous, following) if p and p[0] == page[0]]
+        pair = max(near, key=lambda p: _common(p[1], page[1])) if near else None
+        text = main_text(lines_of(page[4]) if page[5] is None else page[5], (lines_of(pair[4]) if pair[5] is None else pair[5]) if pair else None)
+        return page[2], page[3], text
 
-        for batch in batches:
+    def paired(batches):
+        """Texts of the pages inside the partition; its first and last page go on with their neighbour."""
+        part = TaskContext.get().partitionId()
+        before = current = None  # (host, path, page_id, url, html, lines)
+        rows: list[dict] = []
+
+        def edge(page, inner, first, last):
+            host, path, page_id, url, html, _ = page
+            names = ("inner_host", "inner_path", "inner_html")
+            own = {"page_id": page_id, "url": url, "part": part, "first": first, "last": last, "host": host, "path": path, "html": html}
+            return own | (dict(zip(names, (inner[0], inner[1], inner[4] or ""))) if inner else {})
+
+        def inside(page, previous, following):
+            page_id, url, text = text_of(page, previous, following)
+            return {"page_id": page_id, "url": url, "text": text}
+
+        for batch in slices(batches):
             for host, path, page_id, url, html in zip(*(batch[n].to_pylist() for n in ("host", "path", "page_id", "url", "html"))):
-                after = (host, path, page_id, url, lines_of(html))
+                after = (host, path, page_id, url, html, lines_of(html))
                 if current:
-                    rows.append(text_of(current, before, after))
+                    rows.append(inside(current, before, after) if before else edge(current, after, True, False))
                 before, current = current, after
             if rows:
-                yield out(rows)
+                yield pa.RecordBatch.from_pylist(rows, _EDGES)
                 rows = []
         if current:
-            yield out([text_of(current, before, None)])
-
-    def out(rows):
-        ids, urls, texts = zip(*rows)
-        columns = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_pylist([edge(current, before, before is None, True)], _EDGES)
+
+    def finished(batches):
+        """Texts of first and last pages, with the neighbours in other partitions."""
+        for batch in slices(batches, 50):
+            rows = []
+            for r in batch.to_pylist():
+                inner, left, right = (
+                    (r[f"{n}_host"], r[f"{n}_path"], None, None, r[f"{n}_html"], None) if r[f"{n}_host"] is not None else None
+                    for n in ("inner", "left", "right")
+                )
+                page = (r["host"], r["path"], r["page_id"], r["url"], r["html"], None)
+                page_id, url, text = text_of(page, left if r["first"] else inner, right if r["last"] else inner)
+                rows.append({"page_id": page_id, "url": url, "text": text})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_EDGES)[:3]))
 
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
     rows = rows.mapInArrow(located, "host string, path string, page_id long, url string, html string")
     order = ["host", "path", "page_id", F.xxhash64("html")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(paired, "page_id long, url string, text string, n_chars long")
+    rows = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    schema = "page_id long, url string, text string, part int, first boolean, last boolean, host string, path string, html string, "
+    rows = stored(rows.mapInArrow(paired, schema + "inner_host string, inner_path string, inner_html string"))
+
+    # Two rows of a partition at most. The partitions that hold rows, in order: numbers only.
+    edges = rows.where("part is not null")
+    parts = sorted(r["part"] for r in edges.select("part").distinct().collect())
+    beside = list(zip(parts, [None, *parts[:-1]], [*parts[1:], None]))
+    beside = pages.sparkSession.createDataFrame(beside, "part int, left_part int, right_part int")
+    met = edges.join(beside, "part")
+    for side, end in (("left", "last"), ("right", "first")):
+        names = (F.col(n).alias(f"{side}_{n}") for n in ("part", "host", "path", "html"))
+        met = met.join(edges.where(end).select(*names), f"{side}_part", "left")
+    texts = met.mapInArrow(finished, "page_id long, url string, text string").unionByName(rows.where("part is null").select("page_id", "url", "text"))
+    # Code points, as Python counts them.
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -84,3 +84,13 @@ def test_alignment_of_long_random_pages():
 def test_marked_lines_go_without_a_pair():
     own = lines_of("<div id='sidebar'>s</div><header>h</header><div role='navigation'>n</div><p hidden>x</p><p>text</p>")
     assert main_text(own, None) == "text"
+
+
+def test_partitions_do_not_show(spark):
+    def html(k):
+        return f"<body><div>Top</div><div><div>Story {k}</div></div><div>All rights</div></body>"
+
+    pages = [(k, f"http://a/en/{k:02}", html(k), "h", "t") for k in range(12)] + [(20, "http://b/", html(20), "h", "t")]
+    for partitions in (1, 5, 40):
+        got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, SCHEMA), partitions).collect()}
+        assert got == {k: f"Story {k}" for k in range(12)} | {20: "Top\n\nStory 20\n\nAll rights"}
