@@ -7,8 +7,9 @@ pages are turned into text lines, one per block element, and aligned by the long
 
 Two exact checks follow, as templates also vary within a host and articles also repeat lines. A shared line inside
 ``article`` or ``main`` is content and stays. A line that the page itself marks as something else - navigation,
-header, footer, aside, form, dialog, script, style, or a container whose class, id or role says advert, menu,
-sidebar, notice, comments - goes, shared or not. If a page has an ``article`` or ``main``, lines outside go too;
+header, footer, aside, form, dialog, script, style, or a container of which a whole class, id or role name says advert, menu,
+sidebar, notice, comments - goes, shared or not; an ``article`` or ``main`` ends what its wrappers' names say, and an ``article``
+named as a comment is one. A ``head`` left open ends where the body begins. If a page has an ``article`` or ``main``, lines outside go too;
 otherwise what the difference leaves is the text.
 
 A hot host is spread over partitions (the sort goes on with path and page). A task holds one Arrow batch and a page.
@@ -45,12 +46,21 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an open element of the key is closed by, as its end tag may be left out.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
+_LAYOUT = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
     r"sidebar|side|aside|related|widget|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|"
-    r"comments?|replies|disqus|complementary|contentinfo|pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"comments?|replies|disqus|complementary|contentinfo|pagination|pager|skip)"
 )
+#: Whole names; of longer ones those that say whose or where the thing is (``site-header``, but not ``entry-header`` or ``with-sidebar``).
+_MARKED = re.compile(rf"(?:(?:site|global|top|bottom|left|right|user|reader|cookie|social)[_-])?{_LAYOUT}(?:[_-](?:area|bar|box|list|section|wrapper))?", re.IGNORECASE)
+#: Names of a reader's comment, also on an ``article``.
+_COMMENT = re.compile(r"(?:(?:user|reader)[_-])?(?:comments?|reply|replies)(?:[_-](?:body|content|entry|item|list))?|disqus", re.IGNORECASE)
+#: Names of things whose own articles are teasers.
+_TEASER = re.compile(r"(?:(?:left|right)[_-])?(?:related|widget|sidebar|aside|promo|sponsor(?:ed)?|ads?|adverts?|banner|newsletter)", re.IGNORECASE)
+#: Elements that a ``head`` can hold; any other ends one that was left open.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())
+#: How strongly a line is marked: by a wrapper that any ``article`` or ``main`` ends, by one that only ``main`` ends, for good.
+_WRAPPER, _SECTION, _HIDDEN = 1, 2, 3
 _SPACE = re.compile(r"\s+")
 
 
@@ -60,7 +70,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, str, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, marked, main
+        self.open: list[tuple[str, int, bool]] = []  # tag, marked, main
         self.parts: list[str] = []
         self.silent = 0
 
@@ -69,11 +79,13 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                _, marked, main = self.open[-1] if self.open else ("", False, False)
+                _, marked, main = self.open[-1] if self.open else ("", 0, False)
                 place = "/".join(t for t, _, _ in self.open if t in _BLOCK and t != "p")
-                self.lines.append((text, place, marked, main))
+                self.lines.append((text, place, bool(marked), main))
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in _IN_HEAD:
+            self._close_head(tag == "body")
         if tag in _BLOCK:
             self._flush()
             self._close_open_p()
@@ -87,17 +99,30 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.parts.append("\n")
             return
-        _, marked, main = self.open[-1] if self.open else ("", False, False)
+        _, marked, main = self.open[-1] if self.open else ("", 0, False)
+        if not main and (tag == "main" and marked <= _SECTION or tag == "article" and marked <= _WRAPPER):
+            marked = 0
         main = main or tag in _MAIN
-        if not marked:
-            named = " ".join(v for n, v in attrs if n in ("class", "id", "role", "itemprop") and v)
-            body = tag in ("html", "body") or tag in _MAIN
-            marked = tag in _ASIDE or tag == "header" and not main or not body and bool(named) and bool(_MARKED.search(named))
-            marked = marked or any(n == "hidden" for n, _ in attrs)
-            main = main or "articleBody" in named
+        names = [x for n, v in attrs if n in ("class", "id", "role", "itemprop") and v for x in v.split()]
+        if tag in _ASIDE and tag != "form" or tag != "body" and any(map(_COMMENT.fullmatch, names)):
+            marked = max(marked, _SECTION)
+        elif tag == "form" or tag == "header" and not main:
+            marked = max(marked, _WRAPPER)
+        elif tag not in ("html", "body", "header") and tag not in _MAIN and any(map(_MARKED.fullmatch, names)):
+            marked = max(marked, _SECTION if any(map(_TEASER.fullmatch, names)) else _WRAPPER)
+        if any(n == "hidden" for n, _ in attrs):
+            marked = _HIDDEN
+        main = main or "articleBody" in names
         self.open.append((tag, marked, main))
         self.silent += tag in _SILENT
 
+    def _close_head(self, always: bool = False) -> None:
+        """The body begins, said or not."""
+        if self.open and (self.open[-1][0] == "head" or always):
+            k = next((k for k, (tag, _, _) in enumerate(self.open) if tag == "head"), None)
+            if k is not None:
+                self._pop(k)
+
     def _close_open_p(self) -> None:
         """A block ends an open paragraph, with the inline elements that it left open."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -127,6 +152,8 @@ class _Lines(HTMLParser):
                 return  # the end of an inline element that a block has closed
 
     def handle_data(self, data: str) -> None:
+        if self.silent and data.strip():
+            self._close_head()
         if not self.silent:
             self.parts.append(data)
 

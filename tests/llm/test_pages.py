@@ -94,3 +94,25 @@ def test_partitions_do_not_show(spark):
     for partitions in (1, 5, 40):
         got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, SCHEMA), partitions).collect()}
         assert got == {k: f"Story {k}" for k in range(12)} | {20: "Top\n\nStory 20\n\nAll rights"}
+
+
+def test_wrappers_do_not_mark_the_main_text():
+    def text(html):
+        return main_text(lines_of(html), None)
+
+    assert text("<div class='layout with-sidebar'><main><p>a</main><div class='sidebar'>s</div></div>") == "a"
+    assert text("<div id='search'><article><p>a</article></div>") == "a"
+    assert text("<form><div class='site-header'>h</div><main><p>a</main></form>") == "a"
+    assert text("<article><header class='entry-header'><h1>Title</h1></header><p>a</article>") == "Title\n\na"
+    assert text("<main><p>a</main><aside><article>b</article></aside><div hidden><article>c</article></div>") == "a"
+    assert text("<article><p>a</article><div class='related'><article>b</article></div>") == "a"
+
+
+def test_a_head_left_open_ends_at_the_body():
+    for body in ("<body><p>a", "<p>a", "<div>a</div>", "a"):
+        assert main_text(lines_of(f"<html><head><title>T</title><meta charset=utf-8>{body}"), None) == "a"
+
+
+def test_comment_articles_go():
+    html = "<article><p>a</article><article class='comment'><p>b</article><article class='post'><p>c<article id='x' class='comment-body odd'>d</article></article>"
+    assert main_text(lines_of(html), None) == "a\n\nc"
