@@ -1,10 +1,12 @@
 """License scans: a trained classifier of paragraphs, built of Spark's own expressions only.
 
-Paragraphs are the lines of a text. Features are the words and word pairs that occur in the templates
+Paragraphs are the lines of a text, and joined neighbouring lines between blank ones where a notice is wrapped over them:
+of the rows of lines that hold ``overlap`` of a template's word pairs, the shortest, under the number of their
+first line. Features are the words and word pairs that occur in the templates
 of any family; a multinomial logistic regression with a small L2 penalty gives the probabilities of the families and of
 ``unknown``. It is trained on the templates, alone and set into paragraphs of the corpus, against
 paragraphs of the corpus and fixed phrases that speak of licences without granting one. ``unknown`` is calibrated:
-on other paragraphs of the corpus that share no half of a template, the probability that all but one in
+on all lines of the corpus that share no half of a template, the probability that all but one in
 ``1 / strictness`` stay under becomes the threshold, but 0.5 at least. A prediction over the threshold is confirmed when
 ``overlap`` of the word pairs of one of the family's templates stand in the paragraph.
 
@@ -102,6 +104,43 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return exploded.where(F.trim("paragraph") != "")
 
 
+def wrapped(docs: DataFrame, overlap: float = 0.8) -> DataFrame:
+    """``(doc_id, paragraph_no, paragraph, words, pairs, terms, shares)``: shortest rows of two or more neighbouring lines that hold ``overlap`` of
+    the word pairs of a template, with the largest share of each family; ``paragraph_no`` is that of the first line.
+
+    Rows of lines are only tried in blocks that hold as much as a whole, up to as many lines with words as the longest template has words.
+    """
+    spark = docs.sparkSession
+    listed = [(r["family"], sorted(set(r["pairs"])), len(r["words"])) for r in templates(spark).select("family", "pairs", "words").collect()]  # fixed
+    longest = max(n for _, _, n in listed)
+    # Lines of marks only (an empty line of a comment) part no block.
+    numbered = docs.select(docs["doc_id"], F.expr(r"filter(transform(split(text, '\n'), (x, i) -> struct(i as no, x as line)), p -> trim(p.line) = '' or p.line rlike '[0-9A-Za-z\\x80-\\x{10FFFF}]')").alias("lines"))
+    ends = F.expr("array_append(filter(transform(lines, (p, i) -> if(trim(p.line) = '', i, -1)), i -> i >= 0), size(lines))")
+    blocks = numbered.withColumn("ends", ends).select("doc_id", "lines", "ends", F.posexplode("ends").alias("k", "end"))
+    begin = "if(k = 0, 0, ends[k - 1] + 1)"
+    blocks = blocks.where(F.expr(f"end - {begin} >= 2")).select("doc_id", F.expr(f"slice(lines, {begin} + 1, end - {begin})").alias("lines"))
+    blocks = _with_terms(blocks.withColumn("paragraph", F.expr("array_join(transform(lines, p -> p.line), ' ')")))
+    blocks = blocks.where(best_overlap(spark, "pairs") >= overlap).select("doc_id", "lines")
+    rows = blocks.select("doc_id", "lines", F.posexplode("lines").alias("at", "first"))
+    sizes = F.explode(F.expr(f"sequence(2, least({longest}, size(lines) - at))")).alias("size")
+    rows = rows.where("at + 2 <= size(lines)").select("doc_id", F.col("first.no").alias("paragraph_no"), "lines", "at", sizes)
+
+    def joined(start: str, size: str) -> F.Column:
+        return F.expr(f"array_join(transform(slice(lines, {start} + 1, {size}), p -> p.line), ' ')")
+
+    def shares(pairs: str) -> F.Column:
+        known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, own)).alias("pairs")) for f, own, _ in listed))
+        return F.transform(known, lambda t: F.struct(t["family"].alias("family"), (F.size(F.array_intersect(F.col(pairs), t["pairs"])) / F.size(t["pairs"])).alias("share")))
+
+    for name, text in (("later", joined("at + 1", "size - 1")), ("shorter", joined("at", "size - 1")), ("own", joined("at", "size"))):
+        rows = _with_terms(rows.withColumn("paragraph", text)).withColumn(name, shares("pairs"))
+        if name != "own":
+            rows = rows.drop("words", "pairs", "terms")
+    enough = f"filter(arrays_zip(own, later, shorter), t -> t.own.share >= {overlap} and t.later.share < {overlap} and t.shorter.share < {overlap})"
+    rows = rows.withColumn("shares", F.expr(f"transform({enough}, t -> t.own)")).where(F.size("shares") > 0)
+    return rows.select("doc_id", "paragraph_no", "paragraph", "words", "pairs", "terms", "shares")
+
+
 class LicenseModel:
     def __init__(self, vectorizer, classifier, labels: list[str], threshold: float) -> None:
         self.vectorizer, self.classifier, self.labels, self.threshold = vectorizer, classifier, labels, threshold
@@ -121,7 +160,7 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     listed = given.select("family", "terms", "paragraph").collect()  # the fixed templates
     vocabulary = sorted({t for r in listed for t in r["terms"]})
     labels = [UNKNOWN, *TEMPLATES]
-    # Bounded: the paragraphs with the smallest hashes, half to train on, half to calibrate with.
+    # Bounded: the paragraphs with the smallest hashes, half of which are trained on.
     # The bound is found on the hashes alone, so no text is sorted or sent to one task.
     hashed = paragraphs(docs).select("paragraph", F.xxhash64("paragraph").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
@@ -147,7 +186,10 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     training = training.join(F.broadcast(sizes), "label").withColumn("weight", 1 / F.col("size"))
     classifier = LogisticRegression(family="multinomial", regParam=0.0002, maxIter=60, weightCol="weight", standardization=False).fit(training)
     model = LicenseModel(vectorizer, classifier, labels, 0.5)
-    limits = model.scored(plain.where(half == 1)).agg(F.percentile("score", F.lit(1 - strictness)).alias("limit")).first()
+    # All lines; scores are counted to a millionth first, so the percentile sees a bounded number of rows.
+    every = _with_terms(paragraphs(docs)).where(best_overlap(spark, "pairs") < 0.5)
+    counted = model.scored(every).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    limits = counted.agg(F.percentile("score", F.lit(1 - strictness), F.col("n")).alias("limit")).first()
     model.threshold = max(0.5, limits["limit"] or 0.5)
     return model
 
@@ -156,4 +198,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.8) ->
     """``doc_id, paragraph_no, family, score, overlap`` of each paragraph with a confirmed licence."""
     found = model.scored(_with_terms(paragraphs(docs))).where(F.col("score") > model.threshold)
     found = found.withColumn("overlap", best_overlap(docs.sparkSession, "pairs", "family")).where(F.col("overlap") >= overlap)
-    return found.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "family", "score", "overlap")
+    over = model.scored(wrapped(docs, overlap)).where(F.col("score") > model.threshold)
+    over = over.withColumn("overlap", F.array_max(F.expr("transform(filter(shares, t -> t.family = family), t -> t.share)"))).where(F.col("overlap") >= overlap)
+    both = found.select("doc_id", "paragraph_no", "family", "score", "overlap").unionByName(over.select("doc_id", "paragraph_no", "family", "score", "overlap"))
+    return both.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "family", "score", "overlap")

@@ -102,3 +102,14 @@ def test_rows_with_repeated_or_no_ids_are_written_once(spark, documents, tmp_pat
     assert back.groupBy("shard").agg({"n_chars": "sum"}).where("`sum(n_chars)` > 1500").count() == 0
     got = back.where("doc_id = 8").groupBy("shard").count().collect()
     assert sorted(r["count"] for r in got) == [4, 7, 7, 7]
+
+
+def test_wrapped_notices_are_found(documents):
+    bsd, mit = TEMPLATES["BSD"][1].split(), TEMPLATES["MIT"][2].split()
+    lines = [f"{prose(1, 12)}", "", *(f"# {' '.join(bsd[k : k + 7])}" for k in range(0, len(bsd), 7)), "#", *(" ".join(mit[k : k + 9]) for k in range(0, len(mit), 9)), "", prose(2, 12)]
+    rows = [(1, "\n".join(lines)), (2, prose(3, 12)), *((10 + k, "\n".join(prose(100 * k + j, 12) for j in range(6))) for k in range(30))]
+    docs = documents(rows)
+    got = sorted((r["doc_id"], r["family"], r["paragraph_no"]) for r in scan_licenses(docs, train(docs)).collect())
+    assert {(d, f) for d, f, _ in got} == {(1, "BSD"), (1, "MIT")}
+    at = {f: {n for _, g, n in got if g == f} for f in ("BSD", "MIT")}
+    assert at["BSD"] <= {2, 3} and at["MIT"] <= set(range(2 + -(-len(bsd) // 7) + 1, len(lines)))
