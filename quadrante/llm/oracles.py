@@ -81,5 +81,49 @@ SELECT doc_id, CAST(b.depth AS BIGINT) AS depth, b.prefix AS prefix,
 """
 
 
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS length,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')]),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+  FROM turns GROUP BY conv_id
+), plans AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.length, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.base
+), rebuilt AS (
+  SELECT p.conv_id, t.place AS depth, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.base AND t.place <= p.taken
+  UNION ALL
+  SELECT p.conv_id, t.place - p.h + p.taken, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.conv_id AND t.place > p.h
+), keyed AS (
+  SELECT conv_id, depth, strlen(text) AS n_bytes,
+    string_agg(md5(role) || md5(text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS k
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM plans
+), sized AS (
+  SELECT *, max(depth) OVER (PARTITION BY conv_id) AS size, min(conv_id) OVER (PARTITION BY k) AS node FROM keyed
+), nodes AS (
+  SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS own, coalesce(any_value(k), '') AS k,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256
+  FROM sized GROUP BY node, depth
+), linked AS (
+  SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = left(n.k, 64 * (n.depth - 1))
+), children AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), weighed AS (
+  SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c USING (node, depth)
+), totals AS (
+  SELECT s.node, s.depth, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum(w.own) AS saved
+  FROM weighed w JOIN sized s ON s.conv_id = w.node AND s.depth <= w.depth GROUP BY s.node, s.depth
+)
+SELECT node::BIGINT AS conv_id, depth::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs, n_children, n_leaves,
+  saved::BIGINT AS saved_tokens, ends_sha256
+FROM weighed JOIN totals USING (node, depth)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op3_sharding": OP3, "op8_substring_dedup": OP8}
+    return {"op2_decontaminate": OP2, "op3_sharding": OP3, "op8_substring_dedup": OP8, "op11_conversation_trie": OP11}

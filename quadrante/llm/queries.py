@@ -89,6 +89,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_multi_index": op9_multi_index,
     "op10_quality": op10_quality,
+    "op11_conversation_trie": op11_conversation_trie,
     "pipeline": pipeline,
 }
 
