@@ -101,6 +101,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrante.llm.suffix_dedup import remove_repeated_strings
+
+    return remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_token_alignment": op12_token_alignment,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "pipeline": pipeline,
 }
 
