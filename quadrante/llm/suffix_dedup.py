@@ -60,30 +60,31 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) | np.uint64(1)
 
 
-def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
-    """``best`` (``np.minimum`` or ``np.maximum``) of each ``width`` neighbours, from block prefixes and suffixes."""
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, from block prefixes and suffixes."""
     n = len(values) - width + 1
     rows = np.resize(values, -(-len(values) // width) * width)
     rows[len(values) :] = values[-1]
     rows = rows.reshape(-1, width)
-    up = best.accumulate(rows, axis=1).ravel()
-    down = best.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(down[:n], up[width - 1 : width - 1 + n])
+    up = np.minimum.accumulate(rows, axis=1).ravel()
+    down = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
 def sampled(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions of texts that lie one after the other in ``data`` and end at ``ends``, and their hashes."""
-    width = length - gram + 1
+    """Sampled positions of texts that lie one after the other in ``data`` and end at ``ends``, and their hashes: in each string
+    the first of those with the smallest upper bits of the hash."""
+    width, bits = length - gram + 1, (_CHUNK + length).bit_length()
+    low_bits = np.uint64((1 << bits) - 1)
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for low in range(0, max(0, len(data) - length + 1), _CHUNK):
         high = min(low + _CHUNK, len(data) - length + 1)
         own = gram_hashes(data[low : high - 1 + length], gram)
-        least = sliding(own, width, np.minimum)
+        least = sliding_least((own & ~low_bits) | np.arange(len(own), dtype=np.uint64), width)
         starts = np.arange(low, high)
-        inside = starts + length <= ends[np.searchsorted(ends, starts, side="right")]
-        least = np.where(inside, least, np.uint64(0))
-        around = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-        chosen = np.flatnonzero((own == around) & (around > 0))
+        least = least[starts + length <= ends[np.searchsorted(ends, starts, side="right")]]
+        # The place of the first smallest one does not fall from one string to the next unless a smaller one comes in.
+        chosen = np.unique(least[np.flatnonzero(np.diff(least, prepend=~least[:1]))] & low_bits).astype(np.int64)
         places.append(chosen + low)
         hashes.append(own[chosen])
     at, first = np.unique(np.concatenate(places), return_index=True)
@@ -284,6 +285,9 @@ def nodes(shared: list[int], size: int):
 def extensions(rights: list[bytes], backs: list[bytes], length: int) -> list[tuple[int, int]]:
     """For each suffix the bytes to the left and to the right of it that stand with another of the group, (0, 0) if no
     ``length`` of them do."""
+    if len(rights) == 2:
+        both = (common_prefix(*backs), common_prefix(*rights))
+        return [both if sum(both) >= length else (0, 0)] * 2
     order, shared = deep_shallow(rights)
     by_left, shared_left = deep_shallow(backs)
     rank = [0] * len(backs)
@@ -367,7 +371,8 @@ def repeats(texts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
 
     alike = held.groupBy("gram", "around").agg(F.sum("n").alias("times"), F.min(F.struct("t1", "tp")).alias("at"))
     alike = stored(alike.select("gram", "around", (F.col("times") > 1).alias("done"), "at.t1", "at.tp"))
-    kinds = alike.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # Nothing is asked of a gram of one surrounding, or of which each surrounding has a copy.
+    kinds = alike.groupBy("gram").agg(F.count("*").alias("kinds"), F.bool_and("done").alias("known")).where("kinds > 1 and not known").drop("known")
     wanted = lookup_join(alike, kinds, ["gram"])
     place = F.col("tp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place")
     half = F.shiftrightunsigned("tp", 32).alias("t2")
@@ -391,16 +396,25 @@ def repeats(texts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
     return spans.groupBy("t1", "t2").agg(F.collect_list("s").alias("found"))  # of one text
 
 
-def merged_spans(found: list[dict], size: int, length: int) -> list[tuple[int, int]]:
-    """Maximal runs ``[start, end)`` of bytes that go, from the extensions around positions."""
-    spans: list[list[int]] = []
-    ranges = [(max(0, s["place"] - s["l"]), min(size, s["place"] + s["r"]), s["n"] - 1) for s in found]
-    for low, high in sorted((low, high + more) for low, high, more in ranges if high - low >= length):
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], high)
-        else:
-            spans.append([low, high])
-    return [tuple(s) for s in spans]
+def merged_spans(found: pa.ListArray, sizes: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """Of each text, of so many bytes, the maximal runs ``[start, end)`` that go, from the extensions around positions."""
+    counts = np.array(found.value_lengths().fill_null(0), np.int64)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    values = found.flatten()
+    place, n, left, right = (values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "n", "l", "r"))
+    low, high = np.maximum(0, place - left), np.minimum(sizes[text], place + right)
+    held = np.flatnonzero(high - low >= length)
+    base = np.cumsum(sizes + 1) - (sizes + 1)  # texts lie behind one another, one byte apart
+    low, high, text = (low + base[text])[held], (high + n - 1 + base[text])[held], text[held]
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]])) if len(low) else np.zeros(0, np.int64)
+    starts, ends = low[first], high[np.append(first[1:], len(low)) - 1] if len(low) else low
+    owner = np.searchsorted(base, starts, side="right") - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(sizes))]
+    for k, a, b in zip(owner.tolist(), (starts - base[owner]).tolist(), (ends - base[owner]).tolist()):
+        out[k].append((a, b))
+    return out
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, with_text: bool = False) -> DataFrame:
@@ -424,9 +438,9 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
         coder = zstandard.ZstdDecompressor()
         for batch in slices(batches, 128):
             out = []
-            for raw, places in zip(batch["data"].to_pylist(), batch["found"].to_pylist()):
-                data = coder.decompress(raw)
-                spans = merged_spans(places or [], len(data), length)
+            texts = [coder.decompress(raw) for raw in batch["data"].to_pylist()]
+            gone = merged_spans(batch["found"], np.array([len(t) for t in texts], np.int64), length)
+            for data, spans in zip(texts, gone):
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 row = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
