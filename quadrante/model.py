@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -199,21 +200,36 @@ OPTIONAL_COLUMNS = {"servicos_ecv": _long_columns(INSPECTION_EXTRA)}
 
 @dataclass(frozen=True)
 class Tables:
-    """The nine tables of the star schema; every operator reads only the ones it needs."""
-
-    municipios: DataFrame
-    credenciados: DataFrame
-    servicos_cfc: DataFrame
-    servicos_clinicas: DataFrame
-    servicos_ecv: DataFrame
-    servicos_epiv: DataFrame
-    servicos_patio: DataFrame
-    populacao: DataFrame
-    frotas: DataFrame
+    """The nine tables of the star schema; every operator reads only the ones it needs.
+
+    A table may be given as a function, which is called when the table is first used: listing the files and reading the schema of
+    tables that a query does not touch costs nothing.
+    """
+
+    municipios: DataFrame | Callable[[], DataFrame]
+    credenciados: DataFrame | Callable[[], DataFrame]
+    servicos_cfc: DataFrame | Callable[[], DataFrame]
+    servicos_clinicas: DataFrame | Callable[[], DataFrame]
+    servicos_ecv: DataFrame | Callable[[], DataFrame]
+    servicos_epiv: DataFrame | Callable[[], DataFrame]
+    servicos_patio: DataFrame | Callable[[], DataFrame]
+    populacao: DataFrame | Callable[[], DataFrame]
+    frotas: DataFrame | Callable[[], DataFrame]
+
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        if name in Tables.__dataclass_fields__ and callable(value):
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
 
     def services(self, tipo: str) -> DataFrame:
         return getattr(self, service_type(tipo).table)
 
+    def with_tables(self, **changed: DataFrame | Callable[[], DataFrame]) -> Tables:
+        """These tables with others in their place; none is resolved by it."""
+        return Tables(**{n: changed.get(n, object.__getattribute__(self, n)) for n in Tables.names()})
+
     @classmethod
     def names(cls) -> tuple[str, ...]:
         return tuple(f.name for f in fields(cls))

@@ -55,9 +55,10 @@ def entity_totals(tables: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("total_credenciados"))
     )
     population = tables.populacao.select("id_municipio", "populacao").distinct()
-    counted = distinct_areas(tables).join(counts, "id_municipio", "left")
     zero = F.lit(0).cast("bigint")
-    return left_join_many(counted, population, ["id_municipio"]).select(
+    # The populations come first: what they multiply is then on the left of the next join, where Spark can split it.
+    populated = left_join_many(distinct_areas(tables), population, ["id_municipio"])
+    return lookup_join(populated, counts, ["id_municipio"], "left").select(
         "id_municipio",
         F.col("nome").alias("nome_municipio"),
         F.coalesce("total_credenciados", zero).alias("total_credenciados"),

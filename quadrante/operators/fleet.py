@@ -20,9 +20,7 @@ def latest_fleet(tables: Tables) -> DataFrame:
     The latest year is taken per area; several rows of that year all stay, and so do several
     population rows. Areas without a fleet have counts 0 and year NULL. Equal area rows stay apart.
 
-    The latest year, one row per area, is attached to the areas first. An area that has one is then
-    certain to find its fleet rows, so the left join splits into an inner join, led by the fleet, and
-    the areas without a year.
+    The latest year, one row per area, is attached to the areas first; the fleet rows follow by area and year.
     """
     fleet = tables.frotas.select("id_municipio", F.col("ano").alias("ano_frota"), *VEHICLE_COLUMNS)
     fleet = fleet.where(F.col("id_municipio").isNotNull() & F.col("ano_frota").isNotNull())
@@ -31,9 +29,7 @@ def latest_fleet(tables: Tables) -> DataFrame:
     population = tables.populacao.select("id_municipio", "populacao")
     settled = left_join_many(areas, population, ["id_municipio"])
     dated = lookup_join(settled, years, ["id_municipio"], "left")
-    with_fleet = lookup_join(fleet, dated.where(F.col("ano_frota").isNotNull()), ["id_municipio", "ano_frota"])
-    without = dated.where(F.col("ano_frota").isNull())
-    return with_fleet.unionByName(without, allowMissingColumns=True).select(
+    return left_join_many(dated, fleet, ["id_municipio", "ano_frota"]).select(
         "id_municipio",
         "nome_municipio",
         zero_if_null(F.col("populacao").cast("bigint")).alias("populacao"),

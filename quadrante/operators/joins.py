@@ -9,11 +9,18 @@ by it and gets no such shuffle, which would leave a hot key of the other side to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPREAD = "_espalhamento"
+_HOT, _FOUND = "_quente", "_achado"
+
+#: A key is hot from this part of the rows on; its rows are dealt over as many places.
+HOT_KEYS = 32
+#: Keys that the sketch of hot keys counts at a time.
+TRACKED_KEYS = 4096
 
 # Key types whose equal values have equal hashes (unlike floats or collated strings).
 _HASHABLE = {"string", "tinyint", "smallint", "int", "bigint", "date"}
@@ -36,13 +43,38 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     return joined.drop(_SPREAD)
 
 
+def _null_free(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: hashes of the keys that hold more than one part in ``HOT_KEYS`` of ``rows``, from a sketch of fixed size.
+
+    The sketch counts an item too often at most, never misses one of that size, and no item is in it that is not in the rows.
+    """
+    hashes = rows.where(_null_free(keys)).select(F.xxhash64(*keys).alias("h"))
+    found = hashes.agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"), F.count("*").alias("n"))
+    large = F.filter("top", lambda x: x["count"] * HOT_KEYS > F.col("n"))
+    return found.select(F.coalesce(F.transform(large, lambda x: x["item"]), F.array().cast("array<bigint>")).alias("hot"))
+
+
 def left_join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``one LEFT JOIN many`` where ``many`` has the hot keys.
+    """``one LEFT JOIN many`` where ``many`` has the hot keys; each side is read and shuffled once.
 
-    The right side of a left join cannot be split, so the matches come from an inner join with
-    ``many`` on the left, and the rest of ``one`` from an anti join with the distinct keys of
-    ``many``.
+    The right side of a left join cannot be split, so the rows of hot keys are dealt over ``HOT_KEYS`` places by a hash of the row, and
+    the rows of ``one`` with such keys go to each of these. A place that got none gives no row: a hot key is known to
+    have rows in another. Equal rows go to one place; make them distinct before where a key may hold many of them. Keys that differ in
+    type, or are of a type not safe to hash, are joined plainly.
     """
-    matched = lookup_join(many, one, keys)
-    missing = one.join(many.select(*keys).distinct(), list(keys), "left_anti")
-    return matched.unionByName(missing, allowMissingColumns=True)
+    left, right = ({c.lower(): t for c, t in df.dtypes} for df in (one, many))
+    types = [(left[k.lower()], right[k.lower()]) for k in keys]
+    if any(a != b or a not in _HASHABLE for a, b in types):
+        return one.join(many, list(keys), "left")
+    hot = hot_keys(many, keys)
+    is_hot = F.coalesce(F.array_contains(hot.scalar(), F.xxhash64(*keys)) & _null_free(keys), F.lit(False))
+    places = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(HOT_KEYS - 1))).otherwise(F.array(F.lit(0)))
+    spread = one.withColumn(_HOT, is_hot).withColumn(_SPREAD, F.explode(places))
+    place = F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(HOT_KEYS))).otherwise(F.lit(0)).cast("int")
+    dealt = many.withColumn(_SPREAD, place).withColumn(_FOUND, F.lit(True))
+    joined = spread.join(dealt, [*keys, _SPREAD], "left")
+    return joined.where(F.col(_FOUND).isNotNull() | ~F.col(_HOT)).drop(_SPREAD, _HOT, _FOUND)

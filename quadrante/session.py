@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution chooses broadcast joins by measured size, splits skewed join partitions and
@@ -25,3 +28,16 @@ def build_session(app_name: str = "quadrante", **extra: str) -> SparkSession:
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for tables that a job writes and reads again: below ``spark.checkpoint.dir``, which all machines share.
+
+    Without that setting only a session in one process has a folder that it shares with itself.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quadrante-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

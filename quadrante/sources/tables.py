@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from pyspark.sql.types import StructType
 from quadrante.model import OPTIONAL_COLUMNS, SCHEMAS, Tables
 from quadrante.sources.rows import require_columns
 
+#: Where ``write_tables`` describes the tables, and how.
+DESCRIPTION = "esquema"
+DESCRIPTION_SCHEMA = "tabela string, esquema string, arquivos bigint"
+
 FILE_FORMATS = ("parquet", "csv", "json", "orc")
 
 # Table names of the relational source.
@@ -41,8 +47,33 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def _build(read: Callable[[str], DataFrame]) -> Tables:
-    return Tables(**{name: conform(read(name), name) for name in Tables.names()})
+def _lazily(read: Callable[[str], DataFrame]) -> Tables:
+    return Tables(**{name: partial(lambda n: conform(read(n), n), name) for name in Tables.names()})
+
+
+def _described(spark: SparkSession, path: str) -> dict[str, tuple[StructType, int]] | None:
+    """Schema and number of files of each table, as ``write_tables`` left them beside the tables; None where it did not."""
+    try:
+        rows = spark.read.schema(DESCRIPTION_SCHEMA).json(f"{path}/{DESCRIPTION}").collect()  # one row a table
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return {r["tabela"]: (StructType.fromJson(json.loads(r["esquema"])), r["arquivos"]) for r in rows}
+
+
+def _load_described(spark: SparkSession, path: str, described: Mapping[str, tuple[StructType, int]], allow_empty: Sequence[str]) -> Tables:
+    def read(name: str) -> DataFrame:
+        if name not in described:
+            raise FileNotFoundError(f"{path}/{DESCRIPTION} does not name {name}")
+        schema, files = described[name]
+        df = spark.read.schema(schema).parquet(f"{path}/{name}")
+        found = len(df.inputFiles())
+        if found < files and not (found == 0 and name in allow_empty):
+            raise FileNotFoundError(f"{path}/{name} has {found} of {files} files")
+        return df
+
+    return _lazily(read)
 
 
 def load_tables(
@@ -52,8 +83,12 @@ def load_tables(
     optional: Sequence[str] = (),
     allow_empty: Sequence[str] = (),
 ) -> Tables:
-    """Read ``{path}/{table}`` for each table. Self-describing formats bring their own schema and are
-    cast; CSV (with header) and JSON are read as text columns and cast, so that no inference pass runs.
+    """Read ``{path}/{table}`` for each table.
+
+    A star that ``write_tables`` wrote carries its schemas: it is read with these, so that no file is opened before a query runs, a
+    table is looked at when it is first used, and one without rows is known from one without files, which raises.
+    Other self-describing files bring their own schema and are cast; CSV (with header) and JSON are read as text
+    columns and cast, so that no inference pass runs. These are looked at at once.
 
     JSON rows name their columns one by one, so an optional column is read from JSON only if ``optional``
     names it. A table without any file raises, as lost data must not read as zeros; ``allow_empty`` names
@@ -61,6 +96,9 @@ def load_tables(
     """
     if fmt not in FILE_FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {', '.join(FILE_FORMATS)}")
+    described = _described(spark, path) if fmt == "parquet" else None
+    if described is not None:
+        return _load_described(spark, path, described, allow_empty)
 
     def read(name: str) -> DataFrame:
         reader = spark.read.format(fmt)
@@ -79,7 +117,7 @@ def load_tables(
             extra = [f for f in OPTIONAL_COLUMNS.get(name, []) if f.name in optional]
             return spark.createDataFrame([], StructType([*SCHEMAS[name].fields, *extra]))
 
-    return _build(read)
+    return Tables(**{name: conform(read(name), name) for name in Tables.names()})
 
 
 def jdbc_url(host: str = "127.0.0.1", port: int = 3306, database: str = "", driver: str = "mysql") -> str:
@@ -135,4 +173,4 @@ def load_tables_jdbc(
             return spark.read.jdbc(url, table_names[name], properties=options, **split.options())
         return spark.read.jdbc(url, table_names[name], predicates=list(split), properties=options)
 
-    return _build(read)
+    return _lazily(read)

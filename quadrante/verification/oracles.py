@@ -496,6 +496,7 @@ def oracle_statements() -> dict[str, str]:
         valores=_view_values("servicos_clinicas"),
         quebras=_breaks("servicos_clinicas"),
     )
+    out["load_tables"] = out["perfil"]
     return out
 
 

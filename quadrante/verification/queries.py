@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +11,9 @@ from quadrante import operators as ops
 from quadrante import plans
 from quadrante.functions.numbers import format_number_ptbr
 from quadrante.model import TYPE_NAMES, VIEWS, Tables
-from quadrante.sinks import to_json_rows
-from quadrante.sources import parse_features, parse_json_rows
+from quadrante.session import scratch_dir
+from quadrante.sinks import to_json_rows, write_tables
+from quadrante.sources import load_tables, parse_features, parse_json_rows
 from quadrante.verification.registry import YEAR, formatted_entities, registry_features, registry_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ def _on_tables(build: Callable[[Tables], DataFrame]) -> Query:
 
 
 def _with_formatted(tables: Tables) -> Tables:
-    return replace(tables, credenciados=formatted_entities(tables))
+    return tables.with_tables(credenciados=lambda: formatted_entities(tables))
 
 
 def _exploded_map(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,16 +37,19 @@ def _exploded_map(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _choropleth(view: str) -> Query:
-    return lambda spark, sf_dir: plans.choropleth(
-        registry_tables(spark, sf_dir), registry_features(spark, sf_dir), view, YEAR
-    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = registry_tables(spark, sf_dir)
+        return plans.choropleth(tables, registry_features(spark, sf_dir, tables), view, YEAR)
+
+    return run
 
 
 def _highlighted(precedence: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = registry_tables(spark, sf_dir)
         return plans.choropleth(
-            _with_formatted(registry_tables(spark, sf_dir)),
-            registry_features(spark, sf_dir),
+            _with_formatted(tables),
+            registry_features(spark, sf_dir, tables),
             "visao_geral",
             YEAR,
             ids=FILTER_IDS,
@@ -90,6 +93,17 @@ def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_json_rows(events, "props", "k bigint", required=["event_id", "k"])
 
 
+def _stored_star(build: Callable[[Tables], DataFrame]) -> Query:
+    """A query over the star schema written by ``write_tables`` and read back by ``load_tables``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch_dir(spark)}/estrela"
+        write_tables(registry_tables(spark, sf_dir), path)
+        return build(load_tables(spark, path))
+
+    return run
+
+
 def _dirty_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as entities: the whole text as identifier, each piece between full stops as a name."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -139,6 +153,7 @@ def all_queries() -> dict[str, Query]:
         "perfil_um": _on_tables(lambda t: to_json_rows(plans.area_profile(t, LOOKUP_ID, YEAR))),
         "servicos_long_um": _on_tables(lambda t: ops.service_rows(t, "visao_geral", YEAR, LOOKUP_ID)),
         "secao_credenciados_um": _on_tables(lambda t: plans.section_entities(t, "visao_geral", YEAR, LOOKUP_ID)),
+        "load_tables": _stored_star(lambda t: plans.profile_rows(t, YEAR)),
         "servicos_long": _on_tables(lambda t: ops.service_rows(t, "visao_geral", YEAR)),
         "secao_credenciados": _on_tables(lambda t: plans.section_entities(t, "visao_geral", YEAR)),
         "clean_entities": _on_tables(lambda t: ops.clean_entities(t.credenciados)),
