@@ -20,6 +20,7 @@ from quadrante.operators.filters import (
 )
 from quadrante.operators.fleet import fleet_rows, latest_fleet, nest_fleet
 from quadrante.operators.latest import latest_per_key, one_per_key
+from quadrante.operators.reduction import reduced_year, write_reduction
 from quadrante.operators.services import service_details, service_rows, service_totals
 
 __all__ = [
@@ -44,6 +45,7 @@ __all__ = [
     "name_options",
     "nest_fleet",
     "one_per_key",
+    "reduced_year",
     "require_row",
     "select_areas",
     "service_details",
@@ -51,4 +53,5 @@ __all__ = [
     "service_rows",
     "service_totals",
     "with_buckets",
+    "write_reduction",
 ]

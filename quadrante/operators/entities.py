@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quadrante.functions.text import order_by_name
 from quadrante.model import DEFAULT_YEAR, SERVICE_TYPES, Tables, service_type
 from quadrante.operators.areas import distinct_areas, with_area_names
-from quadrante.operators.joins import left_join_many, lookup_join
+from quadrante.operators.joins import left_join_many, lookup_join, semi_join_within
 
 
 def entity_rows(tables: Tables) -> DataFrame:
@@ -43,7 +43,7 @@ def active_entities(
     """Distinct cnpj with a fact of this type in the year; among those of ``only``, if given."""
     facts = tables.services(tipo).where((F.col("ano") == F.lit(ano)) & F.col("cnpj").isNotNull())
     if only is not None:
-        facts = facts.join(only, "cnpj", "left_semi")
+        facts = semi_join_within(facts, only, "cnpj")
     return facts.select("cnpj").distinct()
 
 

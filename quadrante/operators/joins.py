@@ -78,3 +78,15 @@ def left_join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> Data
     dealt = many.withColumn(_SPREAD, place).withColumn(_FOUND, F.lit(True))
     joined = spread.join(dealt, [*keys, _SPREAD], "left")
     return joined.where(F.col(_FOUND).isNotNull() | ~F.col(_HOT)).drop(_SPREAD, _HOT, _FOUND)
+
+
+def semi_join_within(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is in ``few``, which Spark reads with the least and the largest of those keys as filters.
+
+    Where the rows are stored in the order of the key, files and row groups outside that range are not read.
+    """
+    least, largest = few.agg(F.min(key).alias("end")), few.agg(F.max(key).alias("end"))
+    # The test has no effect; without it Spark merges both subqueries into one of two fields, and does not push fields to the scan.
+    largest = largest.where("end is not null")
+    inside = (F.col(key) >= least.scalar()) & (F.col(key) <= largest.scalar())
+    return rows.where(inside).join(few, key, "left_semi")

@@ -25,7 +25,7 @@ from quadrante.model import (
     service_type,
 )
 from quadrante.operators.areas import distinct_areas, with_area_names
-from quadrante.operators.joins import lookup_join
+from quadrante.operators.joins import lookup_join, semi_join_within
 
 DETAIL_TYPE = "array<struct<tipo:string,quantidade:bigint>>"
 
@@ -47,7 +47,7 @@ def _facts_of_year(
     if extended and st.name == "ecv" and INSPECTION_EXTRA not in facts.columns:
         raise ValueError(f"{st.table} has no column {INSPECTION_EXTRA}")
     if only is not None:
-        facts = facts.join(only, "cnpj", "left_semi")
+        facts = semi_join_within(facts, only, "cnpj")
     return facts.select(
         "cnpj",
         F.lit(1).cast("bigint").alias(active_flag(st)),
@@ -95,26 +95,35 @@ def area_sums(
     ano: int = DEFAULT_YEAR,
     extended: bool = False,
     id_municipio: int | None = None,
+    yearly: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per area with services: the summed quantities of the given types (may be NULL)."""
+    """One row per area with services: the summed quantities of the given types (may be NULL).
+
+    ``yearly``: a frame of ``reduced_year``, read in place of the facts.
+    """
     entities, only = entity_copies(tables), None
     if id_municipio is not None:
         entities = entities.where(F.col("id_municipio") == F.lit(int(id_municipio)))
         only = entities.select("cnpj")
-    joined = lookup_join(entities, entity_year(tables, types, ano, extended, only), ["cnpj"])
+    if yearly is None:
+        yearly = entity_year(tables, types, ano, extended, only)
+    elif only is not None:
+        yearly = semi_join_within(yearly, only, "cnpj")
+    joined = lookup_join(entities, yearly, ["cnpj"])
     return joined.groupBy("id_municipio").agg(*repeated_sums(types))
 
 
 def service_totals(
-    tables: Tables, tipo: str, ano: int = DEFAULT_YEAR, extended: bool = False
+    tables: Tables, tipo: str, ano: int = DEFAULT_YEAR, extended: bool = False, yearly: DataFrame | None = None
 ) -> DataFrame:
     """Every area with the totals of one service type, 0 where there are none.
 
-    ``extended`` adds the twelfth inspection measure to type ``ecv``.
+    ``extended`` adds the twelfth inspection measure to type ``ecv``. ``yearly``: a frame of ``reduced_year`` for this type and
+    year, read in place of the facts.
     """
     st = service_type(tipo)
     columns = [c.column for c in st.components]
-    totals = with_area_names(tables, area_sums(tables, [st], ano, extended), sums=columns, counts=())
+    totals = with_area_names(tables, area_sums(tables, [st], ano, extended, yearly=yearly), sums=columns, counts=())
     if st.total_column in columns:
         return totals
     return totals.withColumn(st.total_column, reduce(lambda a, b: a + b, [F.col(c) for c in columns]))

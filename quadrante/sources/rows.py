@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -25,6 +25,34 @@ def parse_json_rows(df: DataFrame, column: str, schema: str, required: Sequence[
     return require_columns(parsed.select(*others, f"{column}.*"), required)
 
 
+_CORRUPT = "_texto_invalido"
+
+
+def decode_json_rows(df: DataFrame, column: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """Like ``parse_json_rows``, but no row is lost and none raises: the text stays in its column, and ``motivo`` says why it was not
+    decoded (NULL where it was): it is missing, it is no JSON object of this schema, or a required column is absent or null.
+    """
+    fields = StructType.fromDDL(schema)
+    require_columns(df.sparkSession.createDataFrame([], fields), required)
+    wide = StructType([*fields.fields]).add(_CORRUPT, StringType())
+    parsed = df.withColumn("_lido", F.from_json(F.col(column), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    reason = F.when(F.col(column).isNull(), "texto ausente")
+    reason = reason.when(F.col("_lido").isNull() | F.col(f"_lido.{_CORRUPT}").isNotNull(), "JSON inválido")
+    for name in required:
+        reason = reason.when(F.col(f"_lido.{name}").isNull(), f"coluna ausente: {name}")
+    return parsed.select(*df.columns, *(F.col(f"_lido.{f.name}").alias(f.name) for f in fields), reason.alias("motivo"))
+
+
+def accepted_rows(decoded: DataFrame, column: str) -> DataFrame:
+    """The rows that ``decode_json_rows`` could read, as ``parse_json_rows`` gives them."""
+    return decoded.where(F.col("motivo").isNull()).drop(column, "motivo")
+
+
+def rejected_rows(decoded: DataFrame, column: str, schema: str) -> DataFrame:
+    """The others, with their text and the reason: together with the accepted ones all that went in."""
+    return decoded.where(F.col("motivo").isNotNull()).drop(*(f.name for f in StructType.fromDDL(schema)))
+
+
 def read_json_rows(
     spark: SparkSession,
     path: str,

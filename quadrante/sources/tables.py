@@ -147,6 +147,22 @@ def key_ranges(column: str, cuts: Sequence[str]) -> list[str]:
     return [f"{column} < {quoted[0]} OR {column} IS NULL", *middle, f"{column} >= {quoted[-1]}"]
 
 
+def equal_cuts(stored: DataFrame, column: str, partitions: int, width: int = 14) -> list[str]:
+    """Values of a key of ``width`` digits that cut ``stored`` into so many ranges of about equal depth, for ``key_ranges``.
+
+    The quantiles come from a sketch of fixed size over all rows; keys that are no numbers are left out of it, not out of the ranges. Where
+    a single key fills several ranges its cut comes once, so there may be fewer.
+    """
+    if partitions < 1:
+        raise ValueError("one partition at least")
+    shares = [k / partitions for k in range(1, partitions)]
+    if not shares:
+        return []
+    number = F.expr(f"try_cast({column} AS decimal({width}, 0))").cast("bigint")
+    cuts = stored.select(F.percentile_approx(number, shares, 100 * partitions).alias("cuts")).first()["cuts"]  # at most ``partitions``
+    return sorted({str(c).zfill(width) for c in cuts or []})
+
+
 def load_tables_jdbc(
     spark: SparkSession,
     url: str,

@@ -496,7 +496,25 @@ def oracle_statements() -> dict[str, str]:
         valores=_view_values("servicos_clinicas"),
         quebras=_breaks("servicos_clinicas"),
     )
-    out["load_tables"] = out["perfil"]
+    damaged = (
+        "SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN left(props, length(props) - 1)"
+        """ WHEN event_id % 7 = 0 THEN replace(props, '"k"', '"x"') ELSE props END AS props FROM events"""
+    )
+    out["eventos_aceitos"] = (
+        f"SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ({damaged})"
+        " WHERE json_valid(props) AND json_extract(props, '$.k') IS NOT NULL"
+    )
+    out["eventos_rejeitados"] = (
+        "SELECT event_id, event_type, props, CASE WHEN props IS NULL THEN 'texto ausente' WHEN NOT json_valid(props) THEN 'JSON inválido'"
+        f" ELSE 'coluna ausente: k' END AS motivo FROM ({damaged})"
+        " WHERE props IS NULL OR NOT json_valid(props) OR json_extract(props, '$.k') IS NULL"
+    )
+    # The same results from tables that were written and read back.
+    for stored, direct in (
+        ("load_tables", "perfil"), ("perfil_um_gravado", "perfil_um"), ("municipios_por_cnpj_gravado", "municipios_por_cnpj"),
+        ("servicos_mantidos", "servicos_clinicas"),
+    ):
+        out[stored] = out[direct]
     return out
 
 

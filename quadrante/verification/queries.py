@@ -13,7 +13,7 @@ from quadrante.functions.numbers import format_number_ptbr
 from quadrante.model import TYPE_NAMES, VIEWS, Tables
 from quadrante.session import scratch_dir
 from quadrante.sinks import to_json_rows, write_tables
-from quadrante.sources import load_tables, parse_features, parse_json_rows
+from quadrante.sources import accepted_rows, decode_json_rows, load_tables, parse_features, parse_json_rows, rejected_rows
 from quadrante.verification.registry import YEAR, formatted_entities, registry_features, registry_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,26 @@ def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_json_rows(events, "props", "k bigint", required=["event_id", "k"])
 
 
+EVENT_SCHEMA = "k bigint"
+
+
+def _damaged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, decoded; the text of some is missing, cut off, or names another column."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n, props = F.col("event_id"), F.col("props")
+    damaged = F.when(n % 11 != 0, F.when(n % 5 == 0, F.expr("left(props, length(props) - 1)")).when(n % 7 == 0, F.replace(props, F.lit('"k"'), F.lit('"x"'))).otherwise(props))
+    return decode_json_rows(events.select("event_id", "event_type", damaged.alias("props")), "props", EVENT_SCHEMA, ["k"])
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals from a reduced store of which the year was written with other facts first and then replaced."""
+    tables, path = registry_tables(spark, sf_dir), f"{scratch_dir(spark)}/reducao"
+    before = tables.with_tables(servicos_clinicas=lambda: tables.servicos_clinicas.where("exames_medicos > 100"))
+    ops.write_reduction(before, path, [YEAR - 1, YEAR])
+    ops.write_reduction(tables, path, [YEAR])
+    return ops.service_totals(tables, "clinicas", YEAR, yearly=ops.reduced_year(spark, path, "clinicas", YEAR))
+
+
 def _stored_star(build: Callable[[Tables], DataFrame]) -> Query:
     """A query over the star schema written by ``write_tables`` and read back by ``load_tables``."""
 
@@ -175,6 +195,13 @@ def all_queries() -> dict[str, Query]:
         ),
         "feicoes_geojson": _feature_texts,
         "eventos_json": _event_rows,
+        "eventos_aceitos": lambda spark, sf_dir: accepted_rows(_damaged_events(spark, sf_dir), "props"),
+        "eventos_rejeitados": lambda spark, sf_dir: rejected_rows(_damaged_events(spark, sf_dir), "props", EVENT_SCHEMA),
+        "servicos_mantidos": _maintained,
+        "perfil_um_gravado": _stored_star(lambda t: to_json_rows(plans.area_profile(t, LOOKUP_ID, YEAR))),
+        "municipios_por_cnpj_gravado": _stored_star(
+            lambda t: ops.areas_by_cnpj(ops.entity_rows(t), FILTER_CNPJ, normalize_stored=True)
+        ),
         "limpeza_documentos": _dirty_cleaned,
         "opcoes_nomes_documentos": lambda spark, sf_dir: ops.name_options(_dirty_entities(spark, sf_dir)),
         "opcoes_cnpj_documentos": lambda spark, sf_dir: ops.cnpj_options(
