@@ -75,10 +75,23 @@ def words(text) -> F.Column:
     return F.expr(r"regexp_extract_all(lower(" + text + r"), '[0-9]+(?:\\.[0-9]+)*|[^\\x00-\\x60\\x7B-\\x7F]+', 0)")
 
 
+def _once(rows: DataFrame, **columns) -> DataFrame:
+    """``rows`` with more columns, computed once a row: as the output of a generator they are not put into the expressions that use
+    them, as those of a projection are, where a lambda would compute them again for each element."""
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return rows.select("*", F.inline(F.array(made)))
+
+
 def _with_terms(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("words", words("paragraph"))
-    rows = NGram(n=2, inputCol="words", outputCol="pairs").transform(rows)
-    return rows.withColumn("terms", F.concat("words", "pairs"))
+    rows = _once(rows, words=words("paragraph"))
+    rows = NGram(n=2, inputCol="words", outputCol="_pairs").transform(rows)
+    return _once(rows, pairs=F.col("_pairs")).drop("_pairs").withColumn("terms", F.concat("words", "pairs"))
+
+
+def _with_held(rows: DataFrame) -> DataFrame:
+    """``rows`` (with pairs) with ``held``: their word pairs that stand in any template, few as a rule."""
+    listed = templates(rows.sparkSession).select(F.explode("pairs").alias("p")).distinct().orderBy("p").collect()  # fixed
+    return _once(rows, held=F.array_intersect("pairs", F.array(*(F.lit(r["p"]) for r in listed))))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -88,13 +101,13 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def best_overlap(spark: SparkSession, pairs: str, family: str | None = None) -> F.Column:
-    """Largest share of a template's word pairs that stand in ``pairs``; of the templates of ``family`` only, if given."""
+    """Largest share of a template's word pairs that stand in the column ``pairs``; of the templates of ``family`` only, if given."""
     listed = [(r["family"], sorted(set(r["pairs"]))) for r in templates(spark).select("family", "pairs").collect()]  # fixed
     known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, own)).alias("pairs")) for f, own in listed))
     if family:
         known = F.filter(known, lambda t: t["family"] == F.col(family))
     shares = F.transform(known, lambda t: F.size(F.array_intersect(F.col(pairs), t["pairs"])) / F.size(t["pairs"]))
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
+    return F.when(F.size(pairs) > 0, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -119,23 +132,29 @@ def wrapped(docs: DataFrame, overlap: float = 0.8) -> DataFrame:
     blocks = numbered.withColumn("ends", ends).select("doc_id", "lines", "ends", F.posexplode("ends").alias("k", "end"))
     begin = "if(k = 0, 0, ends[k - 1] + 1)"
     blocks = blocks.where(F.expr(f"end - {begin} >= 2")).select("doc_id", F.expr(f"slice(lines, {begin} + 1, end - {begin})").alias("lines"))
-    blocks = _with_terms(blocks.withColumn("paragraph", F.expr("array_join(transform(lines, p -> p.line), ' ')")))
-    blocks = blocks.where(best_overlap(spark, "pairs") >= overlap).select("doc_id", "lines")
-    rows = blocks.select("doc_id", "lines", F.posexplode("lines").alias("at", "first"))
-    sizes = F.explode(F.expr(f"sequence(2, least({longest}, size(lines) - at))")).alias("size")
-    rows = rows.where("at + 2 <= size(lines)").select("doc_id", F.col("first.no").alias("paragraph_no"), "lines", "at", sizes)
-
-    def joined(start: str, size: str) -> F.Column:
-        return F.expr(f"array_join(transform(slice(lines, {start} + 1, {size}), p -> p.line), ' ')")
+    blocks = _with_held(_with_terms(blocks.withColumn("paragraph", F.expr("array_join(transform(lines, p -> p.line), ' ')"))))
+    blocks = blocks.where(best_overlap(spark, "held") >= overlap).select("doc_id", "lines")
+    # A row keeps the lines that a notice can reach, not the block. The shortest row of lines begins with one that adds a pair.
+    rows = blocks.select("doc_id", "lines", F.posexplode("lines").alias("at", "first")).where("at + 2 <= size(lines)")
+    rows = rows.select("doc_id", F.col("first.no").alias("paragraph_no"), F.expr(f"transform(slice(lines, at + 1, {longest}), p -> p.line)").alias("lines"))
+    rows = _with_held(_with_terms(_once(rows, near=F.col("lines")).drop("lines").withColumn("paragraph", F.expr("near[0] || ' ' || near[1]"))))
+    rows = rows.where(F.size("held") > 0).select("doc_id", "paragraph_no", "near", F.explode(F.expr("sequence(2, size(near))")).alias("size"))
 
     def shares(pairs: str) -> F.Column:
         known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, own)).alias("pairs")) for f, own, _ in listed))
         return F.transform(known, lambda t: F.struct(t["family"].alias("family"), (F.size(F.array_intersect(F.col(pairs), t["pairs"])) / F.size(t["pairs"])).alias("share")))
 
-    for name, text in (("later", joined("at + 1", "size - 1")), ("shorter", joined("at", "size - 1")), ("own", joined("at", "size"))):
-        rows = _with_terms(rows.withColumn("paragraph", text)).withColumn(name, shares("pairs"))
-        if name != "own":
-            rows = rows.drop("words", "pairs", "terms")
+    # The whole row first, as few of them hold enough.
+    for name, part in (("own", "slice(near, 1, size)"), ("later", "slice(near, 2, size - 1)"), ("shorter", "slice(near, 1, size - 1)")):
+        text = F.expr(f"array_join({part}, ' ')")
+        if name == "own":
+            rows = _with_held(_with_terms(rows.withColumn("paragraph", text)))
+            rows = rows.where(best_overlap(spark, "held") >= overlap).withColumnRenamed("held", "h_own")
+            rows = rows.withColumnsRenamed({c: f"own_{c}" for c in ("paragraph", "words", "pairs", "terms")})
+        else:
+            rows = _with_held(_with_terms(rows.withColumn("paragraph", text))).withColumnRenamed("held", f"h_{name}").drop("paragraph", "words", "pairs", "terms")
+    rows = rows.withColumnsRenamed({f"own_{c}": c for c in ("paragraph", "words", "pairs", "terms")})
+    rows = _once(rows, **{name: shares(f"h_{name}") for name in ("own", "later", "shorter")})
     enough = f"filter(arrays_zip(own, later, shorter), t -> t.own.share >= {overlap} and t.later.share < {overlap} and t.shorter.share < {overlap})"
     rows = rows.withColumn("shares", F.expr(f"transform({enough}, t -> t.own)")).where(F.size("shares") > 0)
     return rows.select("doc_id", "paragraph_no", "paragraph", "words", "pairs", "terms", "shares")
@@ -166,7 +185,7 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
     drawn = hashed.where(F.col("h") <= F.lit(last).cast("long")).select("paragraph").distinct()
     drawn = stored(_with_terms(drawn.withColumn("n", F.xxhash64("paragraph", F.lit(1)))))
-    plain = drawn.where(best_overlap(spark, "pairs") < 0.5)
+    plain = _with_held(drawn).where(best_overlap(spark, "held") < 0.5).drop("held")
     half = F.pmod("n", F.lit(2))
 
     names = F.array(*(F.lit(x) for x in labels))
@@ -187,7 +206,7 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     classifier = LogisticRegression(family="multinomial", regParam=0.0002, maxIter=60, weightCol="weight", standardization=False).fit(training)
     model = LicenseModel(vectorizer, classifier, labels, 0.5)
     # All lines; scores are counted to a millionth first, so the percentile sees a bounded number of rows.
-    every = _with_terms(paragraphs(docs)).where(best_overlap(spark, "pairs") < 0.5)
+    every = _with_held(_with_terms(paragraphs(docs))).where(best_overlap(spark, "held") < 0.5)
     counted = model.scored(every).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
     limits = counted.agg(F.percentile("score", F.lit(1 - strictness), F.col("n")).alias("limit")).first()
     model.threshold = max(0.5, limits["limit"] or 0.5)
@@ -196,8 +215,10 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.8) -> DataFrame:
     """``doc_id, paragraph_no, family, score, overlap`` of each paragraph with a confirmed licence."""
-    found = model.scored(_with_terms(paragraphs(docs))).where(F.col("score") > model.threshold)
-    found = found.withColumn("overlap", best_overlap(docs.sparkSession, "pairs", "family")).where(F.col("overlap") >= overlap)
+    # Most lines hold too little of any template, whatever the score.
+    near = _with_held(_with_terms(paragraphs(docs))).where(best_overlap(docs.sparkSession, "held") >= overlap)
+    found = model.scored(near).where(F.col("score") > model.threshold)
+    found = found.withColumn("overlap", best_overlap(docs.sparkSession, "held", "family")).where(F.col("overlap") >= overlap)
     over = model.scored(wrapped(docs, overlap)).where(F.col("score") > model.threshold)
     over = over.withColumn("overlap", F.array_max(F.expr("transform(filter(shares, t -> t.family = family), t -> t.share)"))).where(F.col("overlap") >= overlap)
     both = found.select("doc_id", "paragraph_no", "family", "score", "overlap").unionByName(over.select("doc_id", "paragraph_no", "family", "score", "overlap"))
