@@ -14,10 +14,12 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a folder of this process is used.
+    Where that setting is absent, a session in one process uses a folder of this machine; any other raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         if key not in _own_dirs:
             _own_dirs[key] = tempfile.mkdtemp(prefix="quadrante-")
