@@ -7,9 +7,13 @@ of any family; a multinomial logistic regression with a small L2 penalty gives t
 ``unknown``. It is trained on the templates, alone and set into paragraphs of the corpus, against
 paragraphs of the corpus and fixed phrases that speak of licences without granting one. ``unknown`` is calibrated:
 on all lines of the corpus that share no half of a template, the probability that all but one in
-``1 / strictness`` stay under becomes the threshold, but 0.5 at least. A prediction over the threshold is confirmed when
+``1 / strictness`` stay under becomes the threshold, scores under 0.5 counting as 0.5. A prediction over the threshold is confirmed when
 ``overlap`` of the word pairs of one of the family's templates stand in the paragraph.
 
+Few lines can hold enough of a template, or be scored over 0.5. ``anchors`` chooses words without one of which
+neither is possible, from the templates and the weights of the model; only lines (and texts, for wrapped notices) with such a
+word are cut into words and scored. That is a bound, so no result depends on it.
+
 Everything runs on the JVM as narrow steps over the documents; training uses at most ``sample`` paragraphs, those with
 the smallest hashes. A paragraph is scored whole, whatever its length.
 
@@ -20,6 +24,8 @@ trained on templates and phrases alone); other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
@@ -68,6 +74,7 @@ DECOYS = [
     "Students of MIT released a version under the general terms.",
 ]
 UNKNOWN = "unknown"
+_listed: dict[str, list[tuple[str, list[str], int]]] = {}
 
 
 def words(text) -> F.Column:
@@ -90,8 +97,8 @@ def _with_terms(rows: DataFrame) -> DataFrame:
 
 def _with_held(rows: DataFrame) -> DataFrame:
     """``rows`` (with pairs) with ``held``: their word pairs that stand in any template, few as a rule."""
-    listed = templates(rows.sparkSession).select(F.explode("pairs").alias("p")).distinct().orderBy("p").collect()  # fixed
-    return _once(rows, held=F.array_intersect("pairs", F.array(*(F.lit(r["p"]) for r in listed))))
+    listed = sorted({p for _, pairs, _ in _known(rows.sparkSession) for p in pairs})
+    return _once(rows, held=F.array_intersect("pairs", F.array(*map(F.lit, listed))))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -100,16 +107,52 @@ def templates(spark: SparkSession) -> DataFrame:
     return _with_terms(spark.createDataFrame(rows, "family string, paragraph string"))
 
 
+def _known(spark: SparkSession) -> list[tuple[str, list[str], int]]:
+    """``(family, distinct word pairs, number of words)`` of each of the fixed templates, cut into words once a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _listed:
+        rows = templates(spark).select("family", "pairs", "words").collect()  # fixed
+        _listed[key] = [(r["family"], sorted(set(r["pairs"])), len(r["words"])) for r in rows]
+    return _listed[key]
+
+
 def best_overlap(spark: SparkSession, pairs: str, family: str | None = None) -> F.Column:
     """Largest share of a template's word pairs that stand in the column ``pairs``; of the templates of ``family`` only, if given."""
-    listed = [(r["family"], sorted(set(r["pairs"]))) for r in templates(spark).select("family", "pairs").collect()]  # fixed
-    known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, own)).alias("pairs")) for f, own in listed))
+    known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, own)).alias("pairs")) for f, own, _ in _known(spark)))
     if family:
         known = F.filter(known, lambda t: t["family"] == F.col(family))
     shares = F.transform(known, lambda t: F.size(F.array_intersect(F.col(pairs), t["pairs"])) / F.size(t["pairs"]))
     return F.when(F.size(pairs) > 0, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def anchors(families: list[list[tuple[float, str]]], limits: list[float], common: dict[str, int] | None = None) -> list[str]:
+    """Words such that in each family (``(weight, term)`` of words and word pairs) the positive weights of the terms without any of
+    them come to less than the family's limit, or all of its words. Those rare by ``common``, else long ones, are preferred."""
+    chosen: set[str] = set()
+    for terms, limit in zip(families, limits):
+        left = [(weight, set(term.split(" "))) for weight, term in terms if weight > 0]
+        while (left := [(w, own) for w, own in left if own.isdisjoint(chosen)]) and sum(w for w, _ in left) >= limit:
+            gain: dict[str, float] = {}
+            for weight, own in left:
+                for word in own:
+                    gain[word] = gain.get(word, 0.0) + weight
+            cost = {word: 1 + common.get(word, 0) if common else 1 / len(word) ** 3 for word in gain}
+            chosen.add(max(gain, key=lambda word: (gain[word] / cost[word], word)))
+    return sorted(chosen)
+
+
+def with_any(rows: DataFrame, text: str, chosen: list[str]) -> DataFrame:
+    """``rows`` with ``able``: whether one of ``chosen`` stands in the column ``text``, also inside a word."""
+    found = reduce(lambda a, b: a | b, [F.contains(F.col("_lowered"), F.lit(word)) for word in chosen], F.lit(False))
+    return _once(rows, _lowered=F.lower(text)).withColumn("able", found).drop("_lowered")
+
+
+def template_anchors(spark: SparkSession, overlap: float) -> list[str]:
+    """Words without one of which no text holds ``overlap`` of the word pairs of a template."""
+    listed = [pairs for _, pairs, _ in _known(spark)]
+    return anchors([[(1.0, p) for p in own] for own in listed], [overlap * len(own) for own in listed])
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``(doc_id, paragraph_no, paragraph)``: lines that are not blank, numbered among all lines of their text."""
     lines = docs.select(docs["doc_id"], F.split(docs["text"], "\n").alias("lines"))
@@ -124,15 +167,18 @@ def wrapped(docs: DataFrame, overlap: float = 0.8) -> DataFrame:
     Rows of lines are only tried in blocks that hold as much as a whole, up to as many lines with words as the longest template has words.
     """
     spark = docs.sparkSession
-    listed = [(r["family"], sorted(set(r["pairs"])), len(r["words"])) for r in templates(spark).select("family", "pairs", "words").collect()]  # fixed
+    listed = _known(spark)
     longest = max(n for _, _, n in listed)
+    known_words = template_anchors(spark, overlap)
+    docs = with_any(docs.select(docs["doc_id"], docs["text"]), "text", known_words).where("able")
     # Lines of marks only (an empty line of a comment) part no block.
     numbered = docs.select(docs["doc_id"], F.expr(r"filter(transform(split(text, '\n'), (x, i) -> struct(i as no, x as line)), p -> trim(p.line) = '' or p.line rlike '[0-9A-Za-z\\x80-\\x{10FFFF}]')").alias("lines"))
     ends = F.expr("array_append(filter(transform(lines, (p, i) -> if(trim(p.line) = '', i, -1)), i -> i >= 0), size(lines))")
     blocks = numbered.withColumn("ends", ends).select("doc_id", "lines", "ends", F.posexplode("ends").alias("k", "end"))
     begin = "if(k = 0, 0, ends[k - 1] + 1)"
     blocks = blocks.where(F.expr(f"end - {begin} >= 2")).select("doc_id", F.expr(f"slice(lines, {begin} + 1, end - {begin})").alias("lines"))
-    blocks = _with_held(_with_terms(blocks.withColumn("paragraph", F.expr("array_join(transform(lines, p -> p.line), ' ')"))))
+    blocks = _once(blocks, paragraph=F.expr("array_join(transform(lines, p -> p.line), ' ')"))
+    blocks = _with_held(_with_terms(with_any(blocks, "paragraph", known_words).where("able")))
     blocks = blocks.where(best_overlap(spark, "held") >= overlap).select("doc_id", "lines")
     # A row keeps the lines that a notice can reach, not the block. The shortest row of lines begins with one that adds a pair.
     rows = blocks.select("doc_id", "lines", F.posexplode("lines").alias("at", "first")).where("at + 2 <= size(lines)")
@@ -173,6 +219,14 @@ class LicenseModel:
         return found.withColumn("family", F.element_at(names, F.array_position("_p", F.col("score")).cast("int"))).drop("_p")
 
 
+    def anchors(self, common: dict[str, int] | None = None) -> list[str]:
+        """Words without one of which no family is likelier than ``unknown``, so that no score exceeds 0.5."""
+        weights, bias = self.classifier.coefficientMatrix.toArray(), self.classifier.interceptVector.toArray()
+        terms = self.vectorizer.vocabulary
+        families = [[(float(w), t) for w, t in zip(own - weights[0], terms)] for own in weights[1:]]
+        return anchors(families, [float(bias[0] - b) - 1e-6 for b in bias[1:]], common)
+
+
 def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> LicenseModel:
     spark = docs.sparkSession
     given = templates(spark)
@@ -205,9 +259,14 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
     training = training.join(F.broadcast(sizes), "label").withColumn("weight", 1 / F.col("size"))
     classifier = LogisticRegression(family="multinomial", regParam=0.0002, maxIter=60, weightCol="weight", standardization=False).fit(training)
     model = LicenseModel(vectorizer, classifier, labels, 0.5)
-    # All lines; scores are counted to a millionth first, so the percentile sees a bounded number of rows.
-    every = _with_held(_with_terms(paragraphs(docs))).where(best_overlap(spark, "held") < 0.5)
-    counted = model.scored(every).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    # All lines: those that may exceed 0.5 are scored, the others only counted. Scores are counted to a millionth first, so the
+    # percentile sees a bounded number of rows.
+    common = {r["word"]: r["n"] for r in plain.select(F.explode("words").alias("word")).groupBy("word").count().withColumnRenamed("count", "n").collect()}
+    able = sorted({*model.anchors(common), *template_anchors(spark, 0.5)})
+    lines = with_any(paragraphs(docs).select("paragraph"), "paragraph", able)
+    every = _with_held(_with_terms(lines.select(F.when(F.col("able"), F.col("paragraph")).otherwise("").alias("paragraph"))))
+    scores = model.scored(every.where(best_overlap(spark, "held") < 0.5)).select(F.greatest(F.round("score", 6), F.lit(0.5)).alias("score"))
+    counted = scores.groupBy("score").agg(F.count("*").alias("n"))
     limits = counted.agg(F.percentile("score", F.lit(1 - strictness), F.col("n")).alias("limit")).first()
     model.threshold = max(0.5, limits["limit"] or 0.5)
     return model
@@ -216,7 +275,10 @@ def train(docs: DataFrame, sample: int = 2000, strictness: float = 0.001) -> Lic
 def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.8) -> DataFrame:
     """``doc_id, paragraph_no, family, score, overlap`` of each paragraph with a confirmed licence."""
     # Most lines hold too little of any template, whatever the score.
-    near = _with_held(_with_terms(paragraphs(docs))).where(best_overlap(docs.sparkSession, "held") >= overlap)
+    known_words = template_anchors(docs.sparkSession, overlap)
+    texts = with_any(docs.select(docs["doc_id"], docs["text"]), "text", known_words).where("able")
+    lines = with_any(paragraphs(texts), "paragraph", known_words).where("able")
+    near = _with_held(_with_terms(lines)).where(best_overlap(docs.sparkSession, "held") >= overlap)
     found = model.scored(near).where(F.col("score") > model.threshold)
     found = found.withColumn("overlap", best_overlap(docs.sparkSession, "held", "family")).where(F.col("overlap") >= overlap)
     over = model.scored(wrapped(docs, overlap)).where(F.col("score") > model.threshold)
