@@ -174,15 +174,19 @@ def wrapped(docs: DataFrame, overlap: float = 0.8) -> DataFrame:
     # Lines of marks only (an empty line of a comment) part no block.
     numbered = docs.select(docs["doc_id"], F.expr(r"filter(transform(split(text, '\n'), (x, i) -> struct(i as no, x as line)), p -> trim(p.line) = '' or p.line rlike '[0-9A-Za-z\\x80-\\x{10FFFF}]')").alias("lines"))
     ends = F.expr("array_append(filter(transform(lines, (p, i) -> if(trim(p.line) = '', i, -1)), i -> i >= 0), size(lines))")
-    blocks = numbered.withColumn("ends", ends).select("doc_id", "lines", "ends", F.posexplode("ends").alias("k", "end"))
-    begin = "if(k = 0, 0, ends[k - 1] + 1)"
-    blocks = blocks.where(F.expr(f"end - {begin} >= 2")).select("doc_id", F.expr(f"slice(lines, {begin} + 1, end - {begin})").alias("lines"))
+    # The blocks of a text are cut as one array, so that no row but the text's own holds all its lines.
+    cut = "transform(ends, (e, k) -> slice(lines, if(k = 0, 0, ends[k - 1] + 1) + 1, e - if(k = 0, 0, ends[k - 1] + 1)))"
+    blocks = _once(numbered, ends=ends).select("doc_id", F.explode(F.expr(f"filter({cut}, b -> size(b) >= 2)")).alias("lines"))
     blocks = _once(blocks, paragraph=F.expr("array_join(transform(lines, p -> p.line), ' ')"))
     blocks = _with_held(_with_terms(with_any(blocks, "paragraph", known_words).where("able")))
     blocks = blocks.where(best_overlap(spark, "held") >= overlap).select("doc_id", "lines")
-    # A row keeps the lines that a notice can reach, not the block. The shortest row of lines begins with one that adds a pair.
-    rows = blocks.select("doc_id", "lines", F.posexplode("lines").alias("at", "first")).where("at + 2 <= size(lines)")
-    rows = rows.select("doc_id", F.col("first.no").alias("paragraph_no"), F.expr(f"transform(slice(lines, at + 1, {longest}), p -> p.line)").alias("lines"))
+    # A row keeps the lines that a notice can reach, not the block, and only where one of the words that each notice needs is in
+    # reach. The shortest row of lines begins with one that adds a pair.
+    needed = F.transform("lines", lambda p: reduce(lambda a, b: a | b, [F.contains(F.lower(p["line"]), F.lit(word)) for word in known_words], F.lit(False)))
+    blocks = _once(blocks, needed=needed)
+    starts = f"filter(sequence(0, size(lines) - 2), at -> array_contains(slice(needed, at + 1, {longest}), true))"
+    near = f"transform({starts}, at -> struct(lines[at].no as paragraph_no, transform(slice(lines, at + 1, {longest}), p -> p.line) as lines))"
+    rows = blocks.select("doc_id", F.inline(F.expr(near)))
     rows = _with_held(_with_terms(_once(rows, near=F.col("lines")).drop("lines").withColumn("paragraph", F.expr("near[0] || ' ' || near[1]"))))
     rows = rows.where(F.size("held") > 0).select("doc_id", "paragraph_no", "near", F.explode(F.expr("sequence(2, size(near))")).alias("size"))
 
