@@ -12,8 +12,10 @@ exact (up to the equality of 64-bit hashes) and finds no pair twice:
    the sketch calls hot skip the buckets, as their lists have no bound.
 4. *Groups.* Each set joins the group of the longest list that it is in, as similar sets meet there; groups over
    ``group_sets`` sets are dealt to several by hash.
-5. *Matrix.* Shingle -> group rows give, for each (set, group), how many prefix shingles the set has in the group's
-   token union. Pairs below the bound of step 2 are dropped; only the groups left are opened.
+5. *Matrix.* Shingle -> group rows give, for each set and group, how many prefix shingles the set has in the group's
+   token union (of groups with the same longest list, in their common union). As ``l`` of them are needed, one is not among the
+   set's ``l - 1`` longest lists: candidates come from the other lists alone, and the longest ones are only counted for
+   candidates. Pairs below the bound of step 2 are dropped; only the groups left are opened.
 6. *Verification.* An opened group meets its query sets in one task, block by block: the union of its members'
    sets bounds each query again, then products of 0/1 matrices over the shared shingles give all
    intersections. Tasks return a spanning forest of the links they find, never the pairs.
@@ -34,14 +36,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import connected_components, slices, stored
+from quadrante.llm.common import connected_components, discard, slices, stored
 
 SKETCH_BITS = 22
 _CHUNKS = 64
-_BUCKET_TOKENS = 400_000
+_BUCKET_TOKENS = 1_000_000
 _QUERY_BLOCK = 1024
 _HOT_LENGTH = 512  # at least so many occurrences make a shingle hot, whose list is not counted
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(256)], np.uint64)
@@ -157,14 +159,18 @@ def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
             bucket = (_mixed(dealt) % np.uint64(buckets)).astype(np.int64)
             bucket = np.where(is_hot, -1 - bucket, bucket)
             order = np.lexsort((owners, bucket))
-            ends = np.flatnonzero(np.diff(bucket[order], append=buckets)) + 1
-            cuts = list(zip([0, *ends[:-1]], ends))
+            bucket, tokens, owners, sizes = (x[order] for x in (bucket, tokens, owners, sizes))
+            ends = np.flatnonzero(np.diff(bucket, append=buckets)) + 1
+            # Each set once for its shingles in a bucket.
+            change = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owners[1:] != owners[:-1]))))
+            runs = np.diff(np.append(change, len(bucket))).astype(np.int32)
+            owners, sizes = owners[change], sizes[change]
+            cuts = [0, *ends]
+            marks = np.searchsorted(change, cuts)
+            parts = [(tokens, cuts), (owners, marks), (sizes, marks), (runs, marks)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(bucket[order[a]]) for a, _ in cuts], pa.int64()),
-                    *(pa.array([x[order[a:b]].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, owners, sizes)),
-                ],
-                ["bucket", "tokens", "owners", "sizes"],
+                [pa.array(bucket[ends - 1], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()) for x, at in parts)],
+                ["bucket", "tokens", "owners", "sizes", "runs"],
             )
 
     return run
@@ -172,10 +178,11 @@ def _token_rows(levels, hot: int, words: int, percent: int, buckets: int):
 
 def _repeated(key, table):
     """The bucket's shingles that two or more sets have, with the lengths of their lists; of a negative bucket, all."""
-    tokens, owners, sizes = (
+    tokens, owners, sizes, runs = (
         np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-        for name, kind in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.int32))
+        for name, kind in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.int32), ("runs", np.int32))
     )
+    owners, sizes = np.repeat(owners, runs), np.repeat(sizes, runs)
     order = np.lexsort((owners, tokens))
     tokens, owners, sizes = tokens[order], owners[order], sizes[order]
     new = np.ones(len(tokens), bool)
@@ -308,7 +315,7 @@ def _named_sets(docs: DataFrame, words: int, percent: int, group_sets: int) -> t
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent + 10) / 100 / _BUCKET_TOKENS))
     packed = texts.select("text").mapInArrow(
-        _token_rows(levels, hot, words, percent, buckets), "bucket long, tokens binary, owners binary, sizes binary"
+        _token_rows(levels, hot, words, percent, buckets), "bucket long, tokens binary, owners binary, sizes binary, runs binary"
     )
     lists = stored(packed.groupBy("bucket").applyInArrow(_repeated, "token long, number long, n int, length int"))
 
@@ -321,23 +328,36 @@ def _named_sets(docs: DataFrame, words: int, percent: int, group_sets: int) -> t
     info = stored(info.where(F.col("shared") >= least).drop("shared"))
     sizes = info.groupBy("lead").agg(F.count("*").alias("sets"))
     part = F.pmod(F.xxhash64("number"), F.greatest(F.lit(1), F.ceil(F.col("sets") / group_sets)))
-    group = stored(info.join(sizes, "lead").select("number", "n", F.xxhash64("lead", part).alias("group")))
-
-    # Token-group matrix: which groups' unions hold a prefix shingle, and sizes there.
-    cells = stored(lists.select("token", "number").join(group, "number"))
-    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"))
-    apart = (F.col("x.group") < F.col("g.group")) | ((F.col("x.group") == F.col("g.group")) & (F.col("g.sets") > 1))
+    group = stored(info.join(sizes, "lead").select("number", "n", "lead", F.xxhash64("lead", part).alias("group")))
+
+    # Token-group matrix: which groups' unions hold a prefix shingle, and sizes there. Groups with one lead count as one.
+    cells = lists.select("token", "number", "length").join(group.select("number", "n", "lead"), "number")
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("length"), "token"))  # a set's own prefix
+    cells = stored(cells.select("token", "number", "n", "lead", (place < least).alias("long")))
+    discard(lists, info)
+    matrix = cells.groupBy("token", "lead").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"))
+    apart = (F.col("x.lead") < F.col("g.lead")) | ((F.col("x.lead") == F.col("g.lead")) & (F.col("g.sets") > 1))
     fits = apart & (100 * F.col("g.most") >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * F.col("g.least"))
-    met = cells.alias("x").join(matrix.alias("g"), (F.col("x.token") == F.col("g.token")) & fits)
-    met = met.groupBy("x.number", F.col("g.group").alias("group")).agg(F.count("*").alias("shared"), F.max("x.n").alias("n"))
-    opened = stored(met.where(F.col("shared") >= least).select("number", "group"))
+    met = cells.where("not long").alias("x").join(matrix.alias("g"), (F.col("x.token") == F.col("g.token")) & fits)
+    met = stored(met.groupBy("x.number", "x.n", F.col("g.lead").alias("lead")).agg(F.count("*").alias("shared")))
+    more = cells.where("long").select("token", "number").join(met.select("number", "lead"), "number")
+    more = more.join(matrix.select("token", "lead"), ["token", "lead"]).groupBy("number", "lead").agg(F.count("*").alias("more"))
+    met = met.join(more, ["number", "lead"], "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= least)
+    met = met.select("number", "n", "lead").join(group.select("number", F.col("lead").alias("own_lead"), F.col("group").alias("own")), "number")
+    spans = group.groupBy("lead", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    ordered = (F.col("own_lead") != F.col("lead")) | (F.col("own") <= F.col("group"))
+    opened = stored(met.join(spans, "lead").where(fits & ordered).select("number", "group"))
+    discard(cells)
 
     # The sets of what is left, from their texts.
     wanted = opened.select("number").unionByName(
         opened.select("group").distinct().join(group.select("group", "number"), "group").select("number")
     ).distinct()
     chosen = own.join(wanted, "number").groupBy("number").agg(F.min("doc_id").alias("doc_id"))
-    return own, _finish(texts, own, chosen, opened, group, words, percent)
+    named = _finish(texts, own, chosen, opened, group, words, percent)
+    discard(opened, group)
+    return own, named
 
 
 def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> DataFrame:
@@ -366,4 +386,6 @@ def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> Data
     roots = connected_components(links)
     named = own.groupBy("number").agg(F.min("doc_id").alias("least"))
     named = named.where("number is not null").join(roots.withColumnRenamed("node", "number"), "number", "left")
-    return stored(named.select("number", "least", F.coalesce("component", "number").alias("component")))
+    named = stored(named.select("number", "least", F.coalesce("component", "number").alias("component")))
+    discard(payload)
+    return named
