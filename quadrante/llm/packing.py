@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quadrante.llm.tokens import WORDS, crc_of_ids, tokenized
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 256
+_COUNTED = 1 << 18  # ids that are counted at once, about
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -60,9 +61,14 @@ def curve_places(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert key of each document's ids."""
     projection = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
     vectors = np.zeros((len(ids), BUCKETS))
-    for k, own in enumerate(ids):
-        hashed = (own.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(24)
-        vectors[k] = np.bincount(hashed, minlength=BUCKETS)
+    sizes = np.array([len(own) for own in ids])
+    # One count for many documents: a cell for each document and bucket.
+    cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + _COUNTED, _COUNTED)))
+    for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+        if a < b:
+            hashed = (np.concatenate(ids[a:b]).astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(24)
+            hashed += np.repeat(np.arange(b - a, dtype=np.uint32) << np.uint32(8), sizes[a:b])
+            vectors[a:b] = np.bincount(hashed, minlength=BUCKETS * (b - a)).reshape(-1, BUCKETS)
     vectors = np.sqrt(vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     spread = (vectors - vectors.mean(axis=1, keepdims=True)) @ projection

@@ -3,7 +3,7 @@
 Both supported kinds of file split a text at every blank before a word, whatever stands around it. So
 the pieces between blanks are encoded on their own and remembered, as natural text repeats its words;
 the library does all encoding. Texts in which a blank stands before white space or at the end are
-given to the library whole.
+given to the library whole. Of the texts of a slice, Arrow numbers the distinct pieces and puts their ids together.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ from quadrante.llm.common import slices, stored
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
 _PLAIN = re.compile(rf"(?:[{_LATIN}]++|[{_MARKS}]++|\n(?=[{_LATIN}{_MARKS}]))+\Z")
+#: A mark behind a letter and before a blank or the end, and a lone line break between letters or marks, are words of their own to both kinds.
+_MARK = re.compile(rf"(?<=[{_LATIN}])([.,;:!?])(?=[ \n]|\Z)")
+_BREAK = re.compile(rf"(?<=[{_LATIN}{_MARKS}])\n(?=[{_LATIN}{_MARKS}])")
 _PARTS = re.compile(rf"[{_LATIN}]+|[{_MARKS}]+|\n")
 #: Words that a worker remembers at most; more take more memory and less time.
 WORDS = 1_200_000
@@ -33,7 +37,8 @@ _workers: dict[tuple, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Encodes texts to little-endian ids of ``width`` bytes, with a memory of at most about ``limit`` words.
+    """Encodes texts to little-endian ids of ``width`` bytes, with a memory of at most about ``limit`` words. It has two
+    generations: when the younger is half of that, it becomes the older, whose words come back if they are met again.
 
     A key of the memory stands for itself with a blank before it, or without one if it begins with ``_ALONE``.
     """
@@ -52,6 +57,7 @@ class WordTokenizer:
         self.special = [token["content"] for token in described["added_tokens"]]
         self.limit = limit
         self.of: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         collects = gc.isenabled()
@@ -63,41 +69,37 @@ class WordTokenizer:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        values: list[list[bytes | None]] = []
-        missing: set[str] = set()
-        get = self.of.get
-        for text in texts:
-            cut = self._cut(text)
-            found = list(map(get, cut)) if cut else []
-            if None in found:
-                missing.update([p for p, v in zip(cut, found) if v is None])
-            pieces.append(cut)
-            values.append(found)
+        marked = [self._marked(text) for text in texts]
+        lists = pc.split_pattern(pa.array([m for m in marked if m], pa.large_string()), " ")
+        # Each distinct piece of these texts is looked up once; Arrow puts the ids of all pieces behind each other.
+        flat = lists.flatten().dictionary_encode()
+        pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.of.get, pieces))
+        missing = {p for p, v in zip(pieces, values) if v is None}
         # A blank before white space (or at the end) is no cut: such texts go to the library whole.
         odd = {p for p in missing if not p or p[0].isspace()}
-        if odd:
-            pieces = [None if p and not odd.isdisjoint(p) else p for p in pieces]
         learnt = self._learn(missing - odd)
-        whole = iter(self._library([t for t, p in zip(texts, pieces) if p is None]))
-        out = []
-        for cut, found in zip(pieces, values):
-            if cut is None:
-                out.append(next(whole))
-            elif None in found:
-                out.append(b"".join([learnt[p] if v is None else v for p, v in zip(cut, found)]))
-            else:
-                out.append(b"".join(found))
-        return out
-
-    def _cut(self, text: str | None) -> list[str] | None:
+        ids = pa.array([learnt.get(p, b"") if v is None else v for p, v in zip(pieces, values)], pa.large_binary()).take(flat.indices)
+        at = np.asarray(lists.offsets)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[at].tolist() if len(ids) else [0] * len(at)
+        data = memoryview(ids.buffers()[2] or b"")
+        is_odd = np.array([p in odd for p in pieces], bool)[np.asarray(flat.indices)] if odd else np.zeros(len(flat), bool)
+        held = np.diff(np.concatenate(([0], np.cumsum(is_odd)))[at]).tolist()
+        cut = iter([None if n else bytes(data[x:y]) for x, y, n in zip(ends, ends[1:], held)])
+        out = [b"" if m == "" else None if m is None else next(cut) for m in marked]
+        whole = iter(self._library([t for t, ids in zip(texts, out) if ids is None]))
+        return [next(whole) if ids is None else ids for ids in out]
+
+    def _marked(self, text: str | None) -> str | None:
+        """The text with blanks before all its words; None if it must go to the library whole."""
         if not text:
-            return []
+            return ""
         if not self.splits or _ALONE in text or any(token in text for token in self.special):
             return None
-        pieces = text.split(" ")
-        pieces[0] = _ALONE + pieces[0]
-        return pieces
+        text = _MARK.sub(f" {_ALONE}\\1", text)
+        if "\n" in text:
+            text = _BREAK.sub(f" {_ALONE}\n {_ALONE}", text)
+        return _ALONE + text
 
     def _keys(self, piece: str) -> list[str]:
         """Keys whose ids, one after the other, are those of the piece."""
@@ -117,14 +119,21 @@ class WordTokenizer:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces; words and words with a mark are remembered."""
-        keys = {piece: self._keys(piece) for piece in pieces}
-        if len(self.of) > self.limit:
-            self.of.clear()
-        new = list({k for own in keys.values() for k in own} - self.of.keys())
-        self.of.update(zip(new, self._library([k[1:] if k[:1] == _ALONE else " " + k for k in new])))
-        of = self.of
-        learnt = {piece: of[own[0]] if len(own) == 1 else b"".join([of[k] for k in own]) for piece, own in keys.items()}
-        of.update((piece, ids) for piece, ids in learnt.items() if len(keys[piece]) <= 2)
+        if len(self.of) > self.limit // 2:
+            self.older, self.of = self.of, {}
+        of, older = self.of, self.older
+        learnt = {piece: older[piece] for piece in pieces if piece in older}
+        of.update(learnt)
+        keys = {piece: self._keys(piece) for piece in pieces if piece not in learnt}
+        new = {k for own in keys.values() for k in own if k not in of}
+        known = {k: older[k] for k in new if k in older}
+        of.update(known)
+        new = list(new - known.keys())
+        of.update(zip(new, self._library([k[1:] if k[:1] == _ALONE else " " + k for k in new])))
+        for piece, own in keys.items():
+            learnt[piece] = ids = of[own[0]] if len(own) == 1 else b"".join([of[k] for k in own])
+            if len(own) <= 2:
+                of[piece] = ids
         return learnt
 
     def _library(self, texts: list[str]) -> list[bytes]:
