@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_each_dealt_operator_has_one_query():
     names = list(llm_queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert [f.__name__ for _, f in corpus_pipeline.STAGES][0] == "quality_stage" and len(corpus_pipeline.STAGES) == 5
 
 
@@ -22,7 +22,7 @@ def test_each_dealt_operator_has_one_query():
 def test_queries_equal_their_sql(spark, name):
     got = llm_queries()[name](spark, SF).toPandas()
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = connection.execute(llm_oracles()[name]).df()
     columns = sorted(want.columns)
