@@ -27,7 +27,7 @@ def test_queries_equal_their_sql(spark, name):
     want = connection.execute(llm_oracles()[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    a, b = (x[columns].sort_values(columns).reset_index(drop=True).astype(str) for x in (got, want))
+    a, b = (x[columns].convert_dtypes().sort_values(columns).reset_index(drop=True).astype(str) for x in (got, want))
     assert a.equals(b)
 
 
