@@ -29,39 +29,65 @@ FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 OP8 = r"""
-WITH broken AS (
-  SELECT doc_id, text, regexp_replace(text, '([ \t\r\f\v]*\n\s*)', '\1' || chr(31), 'g') AS t FROM documents
-), ended AS (
-  SELECT doc_id, text, regexp_replace(regexp_replace(t, '([.!?])([ \t\r\f\v]+)([^ \t\r\f\v\n\x1F])', '\1\2' || chr(31) || '\3', 'g'),
-    '([.!?])([ \t\r\f\v]+)([^ \t\r\f\v\n\x1F])', '\1\2' || chr(31) || '\3', 'g') AS t FROM broken
-), capital AS (
-  SELECT doc_id, text, regexp_replace(t, '([ \t\r\f\v]+)([A-ZÀ-ÖØ-Þ])', '\1' || chr(31) || '\2', 'g') AS t FROM ended
+WITH marked AS (
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '(@L|[^@S@R]+)', chr(57344) || '\1', 'g'), chr(57344)), lambda w: w <> '') AS ws
+  FROM documents WHERE text <> ''
 ), listed AS (
-  SELECT doc_id, text, list_filter(string_split(t, chr(31)), lambda u: u <> '') AS us FROM capital
-), cut AS (
-  SELECT doc_id, k AS position, us[k] AS unit, trim(regexp_replace(lower(us[k]), '\s+', ' ', 'g')) AS norm
-  FROM listed, unnest(range(1, len(us) + 1)) AS t(k)
-), placed AS (
-  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, position) > 1 AS later,
-    CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words
-  FROM cut
-), grouped AS (
-  SELECT *, position - row_number() OVER (PARTITION BY doc_id, later ORDER BY position) AS run FROM placed
-), judged AS (
-  SELECT *, later AND sum(words) OVER (PARTITION BY doc_id, later, run) >= 8 AS gone FROM grouped
+  SELECT doc_id, text, CASE WHEN len(ws) > 1 AND regexp_full_match(ws[1], '[@S]*') THEN list_prepend(ws[1] || ws[2], ws[3:]) ELSE ws END AS ws FROM marked
+), words AS (
+  SELECT doc_id, k, ws[k] AS w, lower(regexp_extract(ws[k], '@L|[^@S@R]+')) AS word, length(ws[k]) AS size,
+    regexp_extract(ws[k - 1], '[@S]*$') AS gap, regexp_replace(ws[k - 1], '[@S]*$', '') AS before,
+    regexp_full_match(ws[k], '[@S]*') AS blank
+  FROM listed, unnest(range(1, len(ws) + 1)) AS t(k)
+), starts AS (
+  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start, left(md5(word), 16) AS h,
+    k = 1 OR gap LIKE '%' || chr(10) || '%' OR (regexp_matches(before, '[.!?]$') AND regexp_matches(gap, '^[ \t\r\f\v]'))
+      OR (regexp_matches(gap, '[ \t\r\f\v]$') AND regexp_matches(w, '^[A-ZÀ-ÖØ-Þ]')) AS head
+  FROM words WHERE NOT blank
+), united AS (
+  SELECT *, count(*) FILTER (WHERE head) OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM starts
+), windowed AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, unit) AS length, row_number() OVER (PARTITION BY doc_id, unit ORDER BY k) AS place,
+    min(struct_pack(h := h, back := -k)) OVER (PARTITION BY doc_id, unit ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS least FROM united
+), cuts AS (
+  SELECT DISTINCT doc_id, 1 - least.back AS k FROM windowed WHERE length >= 16 AND place >= 8
+), headed AS (
+  SELECT u.*, u.head OR c.k IS NOT NULL AS begins FROM united u LEFT JOIN cuts c USING (doc_id, k)
+), numbered AS (
+  SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id ORDER BY k) AS piece FROM headed
+), pieces AS (
+  SELECT doc_id, piece, min(start) AS start, max(start + size) AS stop, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS norm
+  FROM numbered GROUP BY doc_id, piece
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY piece) AS upto, sum(n) OVER (PARTITION BY doc_id ORDER BY piece) - n AS since FROM pieces
+), pairs AS (
+  SELECT x.doc_id, x.piece AS a, y.piece AS b FROM summed x ASOF JOIN summed y ON x.doc_id = y.doc_id AND x.since + 20 <= y.upto
+  UNION
+  SELECT y.doc_id, x.piece, y.piece FROM summed y ASOF JOIN summed x ON x.doc_id = y.doc_id AND y.upto - 20 >= x.since
+), spelled AS (
+  SELECT r.doc_id, a, b, min(p.start) AS start, max(p.stop) AS stop, string_agg(p.norm, ' ' ORDER BY p.piece) AS norm
+  FROM pairs r JOIN pieces p ON p.doc_id = r.doc_id AND p.piece BETWEEN a AND b GROUP BY r.doc_id, a, b
+), ranked AS (
+  SELECT *, rank() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS later FROM spelled
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.piece, p.start, p.stop FROM ranked r JOIN pieces p ON p.doc_id = r.doc_id AND p.piece BETWEEN a AND b WHERE later
+), runs AS (
+  SELECT doc_id, min(start) AS a, max(stop) AS b FROM (
+    SELECT *, piece - row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS run FROM gone) GROUP BY doc_id, run
 ), spans AS (
-  SELECT doc_id, string_agg(CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR), ',' ORDER BY a) AS removed_spans FROM (
-    SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + length(unit)) AS BIGINT) AS b FROM judged WHERE gone GROUP BY doc_id, run
-  ) GROUP BY doc_id
-), rebuilt AS (
-  SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY position) FILTER (WHERE NOT gone), '') AS kept, count(*) AS n_units,
-    count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id
+  SELECT doc_id, sum(b - a) AS n_removed, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed_spans FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT n.doc_id, coalesce(string_agg(n.w, '' ORDER BY n.k) FILTER (WHERE g.piece IS NULL), '') AS text
+  FROM numbered n LEFT JOIN gone g USING (doc_id, piece) GROUP BY n.doc_id
 )
-SELECT doc_id, coalesce(kept, text) AS text, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+SELECT doc_id, coalesce(kept.text, documents.text) AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   coalesce(removed_spans, '') AS removed_spans
-FROM documents LEFT JOIN rebuilt USING (doc_id) LEFT JOIN spans USING (doc_id)
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
+# White space, and letters of scripts that set no blanks between words.
+_SPACES = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_LETTERS = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+OP8 = OP8.replace("@L", f"[{_LETTERS}]").replace("@S", _SPACES).replace("@R", _LETTERS)
 
 OP3 = r"""
 WITH rows AS (

@@ -69,11 +69,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadrante.llm.substrings import substring_spans
+    from quadrante.llm.substrings import MIN_WORDS, substring_spans
 
-    found = substring_spans(table(spark, sf_dir, "documents"))
+    found = substring_spans(table(spark, sf_dir, "documents"), MIN_WORDS)
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])))
-    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
+    return found.select("doc_id", "text", "n_removed", spans.alias("removed_spans"))
 
 
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,246 +1,265 @@
 """Substring dedup by hashing units of text.
 
-Units are sentence-sized: a text is cut after line breaks, after a full stop, exclamation or question mark, and
-before a capital letter, always behind the white space there, so the units put together give the text.
-Passages that were pasted into other text are cut alike everywhere, up to the ends of their first and last
-sentences. Units are normalised (lower case, single blanks) and their 128-bit digests grouped over all
-documents; the earliest occurrence by ``(doc_id, text hash, position)`` is kept. A run of neighbouring
-units that all have an earlier occurrence is removed if it has ``min_words`` words or more, so chance repeats of
-short sentences stay. This is the rule of the registered query and its SQL.
-
-``whole=True``, the default of ``remove_repeats``, does more and less. Units of many words are cut further behind
-words chosen by their hashes, so a passage pasted into a sentence, or into text without marks and capitals,
-is cut alike everywhere but for fewer than ``2 * _WINDOW`` words at its two ends, which stay. And what is compared
-is not a unit but the shortest row of neighbouring pieces, from each piece on and up to each piece, that has ``min_words``
-words, so nothing goes that does not stand in one earlier place with so many words in a row. Letters of scripts
-without blanks count as words.
-
-Two shuffles of digests and positions, then one of the texts with the positions to remove. The digests are
-combined in each task first, and only repeated ones are joined back, where adaptive execution splits the rows of
-a very frequent unit; no group is gathered but the positions of one document.
-
-Defined results: a null or empty text has no units and stays as it is; equal rows (same ``doc_id`` and text) are
+Units are sentence-sized: a text is cut behind the white space that follows a line break, a full stop, exclamation or
+question mark, or precedes a capital letter. Passages that were pasted into other text are cut alike everywhere, up to the
+ends of their first and last sentences. Units of many words are cut further, behind words chosen by their hashes, so a
+passage pasted into a sentence, or into text without marks and capitals, is cut alike everywhere but for fewer than
+``2 * _WINDOW`` words at its two ends, which stay. Letters of scripts without blanks count as words.
+
+What is compared is not a piece but the shortest row of neighbouring pieces, from each piece on and up to each piece, that
+has ``min_words`` words: nothing goes that does not stand in one earlier place with so many words in a row. The words of a row
+are compared in lower case by 128 bits of hash, whatever white space is between them. The earliest row by ``(doc_id, text
+hash, position)`` stays; of the others the pieces go.
+
+Three shuffles: rows of pieces by digest, removed ranges by document, and texts to their ranges. A task keeps the
+earliest of equal rows among some 500,000 and knows the others to be later ones, so a very frequent passage
+crosses the shuffle once for each of those, not once for each document.
+
+Defined results: a null or empty text, or one without words, stays as it is; equal rows (same ``doc_id`` and text) are
 one document and get the same result; a null ``doc_id`` ranks last; rows with equal ``doc_id`` and other text are
 ranked by text hash; an empty table gives no rows; other columns are ignored (kept by ``remove_repeats``).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import slices, stored
+from quadrante.llm.common import slices
 from quadrante.llm.decontaminate import replaced
 
+#: Words that a repeat must have in a row: fewer than are left of 50 when both ends lie inside long units.
+MIN_WORDS = 20
+
 _BLANK = r"[ \t\r\f\v]"
 _CUT = re.compile(rf"{_BLANK}*\n\s*|(?<=[.!?]){_BLANK}+|{_BLANK}+(?=[A-ZÀ-ÖØ-Þ])")
-
-
-def units(text: str) -> list[str]:
-    """The units of a text; joined they give the text."""
-    ends = [m.end() for m in _CUT.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    starts = [0, *ends[:-1]]
-    return [text[a:b] for a, b in zip(starts, ends) if b > a]
-
-
-#: Of so many words in a row, one is chosen to cut behind; shorter units than two such windows stay whole.
+#: Of so many words in a row, one is chosen to cut behind; units shorter than two such windows stay whole.
 _WINDOW = 8
 #: Words, and letters of scripts that set no blanks between words (Thai to Khmer, kana, ideographs).
-_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|"
-                   r"[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
-
-
-def pieces(text: str) -> tuple[list[str], list[int]]:
-    """The units of a text, long ones cut behind each word with the smallest hash of ``_WINDOW`` neighbours, and the
-    words of each; joined they give the text."""
-    out, counts = [], []
-    for unit in units(text):
-        found = list(_WORD.finditer(unit))
-        cuts = []
-        if len(found) >= 2 * _WINDOW:
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(m[0].lower().encode("utf-8", "replace")) for m in found), np.uint64, len(found))
-            last = np.lib.stride_tricks.sliding_window_view(hashes, _WINDOW)[:, ::-1].argmin(axis=1)
-            chosen = np.unique(np.arange(len(last)) + _WINDOW - 1 - last) + 1
-            cuts = [int(k) for k in chosen if k < len(found)]
-        at = 0
-        for a, b in zip([0, *cuts], [*cuts, len(found)]):
-            end = found[b].start() if b < len(found) else len(unit)
-            out.append(unit[at:end])
-            counts.append(b - a)
-            at = end
-    return out, counts
-
-
-def groups(counts: list[int], min_words: int) -> list[tuple[int, int]]:
-    """``(first, behind last)``: the shortest rows of pieces from each piece on, and up to each piece, with enough words."""
-    found, total, a = set(), 0, 0
-    for b, count in enumerate(counts):
-        total += count
-        while total - counts[a] >= min_words:  # up to b
-            total -= counts[a]
-            a += 1
-        if total >= min_words and count:
-            found.add((a, b + 1))
-    total, b = 0, len(counts)
-    for a in range(len(counts) - 1, -1, -1):
-        total += counts[a]
-        while total - counts[b - 1] >= min_words:  # from a on
-            b -= 1
-            total -= counts[b]
-        if total >= min_words and counts[a]:
-            found.add((a, b))
-    return sorted(found)
-
-
-def _group_digests(min_words: int):
-    """Like ``_digests``, of ``groups``; ``words`` is the number of pieces."""
+_WORD = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]|"
+                   r"[^\s฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+#: Rows of pieces that a task compares among themselves before they are shuffled, and words that it cuts at a time.
+_COMBINED, _CUT_WORDS = 500_000, 200_000
+#: Odd multipliers of the two halves of a digest, and their inverses modulo 2**64.
+_FACTORS = [0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4F]
+_INVERSES = [pow(f, -1, 1 << 64) for f in _FACTORS]
+
+
+class _Hashes(dict):
+    """64 bits of the MD5 of each word in lower case; remembers a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.md5(word.lower().encode("utf-8", "replace")).digest()[:8], "big")
+        return found
+
+
+def _chosen(hashes: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Words that start a piece: the first of each unit, and in long units those behind the smallest hash of a window."""
+    n = len(hashes)
+    starts = np.ones(n, bool)
+    starts[1:] = unit[1:] != unit[:-1]
+    long = np.bincount(unit)[unit] >= 2 * _WINDOW
+    if n >= _WINDOW:
+        at = np.flatnonzero(long[: n - _WINDOW + 1] & (unit[: n - _WINDOW + 1] == unit[_WINDOW - 1 :]))
+        least, best = hashes[at], at
+        for k in range(1, _WINDOW):
+            other = hashes[at + k]
+            take = other <= least
+            least, best = np.where(take, other, least), np.where(take, at + k, best)
+        behind = best + 1
+        starts[behind[behind < n]] = True
+    return np.flatnonzero(starts)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def rows_of_pieces(texts: list[str], min_words: int, memory: dict | None = None) -> tuple[np.ndarray, ...]:
+    """``(text, start, end, d1, d2)``: of each text in turn, the code points and digests of its rows of pieces by start."""
+    memory = _Hashes() if memory is None else memory
+    places, words, units, ends, n_units = [], [], [], [], 0
+    for text in texts:
+        found = list(_WORD.finditer(text))
+        start = np.fromiter((m.start() for m in found), np.int64, len(found))
+        words.append(np.fromiter((memory[m[0]] for m in found), np.uint64, len(found)))
+        cuts = np.fromiter((m.end() for m in _CUT.finditer(text)), np.int64)
+        units.append(np.searchsorted(cuts, start, "right") + n_units)
+        n_units += len(cuts) + 1
+        if len(start):
+            start[0] = 0
+        places.append(start)
+        ends.append(len(text))
+    sizes = np.array([len(p) for p in places], np.int64)
+    hashes, place = np.concatenate(words), np.concatenate(places)
+    n = len(hashes)
+    if n == 0:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64))
+    piece = _chosen(hashes, np.concatenate(units))  # word each piece starts with
+    behind = np.append(piece[1:], n)
+    border = np.concatenate(([0], np.cumsum(sizes)))
+    owner = np.searchsorted(border, piece, "right") - 1
+    # From each piece on, and up to each piece.
+    last = np.searchsorted(behind, piece + min_words, "left")
+    a1 = np.flatnonzero(piece + min_words <= border[owner + 1])
+    b2 = np.flatnonzero(behind - min_words >= border[owner])
+    first = np.searchsorted(piece, behind[b2] - min_words, "right") - 1
+    pairs = np.unique(np.concatenate([a1 * (len(piece) + 1) + last[a1], first * (len(piece) + 1) + b2]))
+    a, b = np.divmod(pairs, len(piece) + 1)
+    i, j = piece[a], behind[b]
+    digests = []
+    for factor, inverse in zip(_FACTORS, _INVERSES):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes ^ np.uint64(factor)) * _powers(factor, n - 1), dtype=np.uint64)))
+        digests.append(_mixed((sums[j] - sums[i]) * _powers(inverse, n)[i] + (j - i).astype(np.uint64)).view(np.int64))
+    text = owner[a]
+    end = np.where(j == border[text + 1], np.array(ends, np.int64)[text], place[np.minimum(j, n - 1)])
+    return text, place[i].astype(np.int32), end.astype(np.int32), digests[0], digests[1]
+
+
+_SCHEMA = "doc_id long, rank long, start int, end int, sure boolean, d1 long, d2 long"
+
+
+def _digests(min_words: int):
+    """Rows of pieces of each document; of equal ones in a task's share all but the first are ``sure`` to go, and have
+    their own numbers in place of the digest, which no longer matters."""
+
+    def combined(ids, ranks, parts) -> pa.RecordBatch:
+        owner, start, end, d1, d2 = (np.concatenate(x) for x in zip(*parts))
+        nameless = np.array([i is None for i in ids])
+        named = np.array([i or 0 for i in ids], np.int64)
+        ranks = np.array(ranks, np.int64)
+        by = np.lexsort((ranks, named, nameless))
+        new = np.zeros(len(by), np.int64)
+        new[1:] = (ranks[by][1:] != ranks[by][:-1]) | (named[by][1:] != named[by][:-1]) | (nameless[by][1:] != nameless[by][:-1])
+        order = np.empty(len(by), np.int64)
+        order[by] = np.cumsum(new)  # equal rows have equal places
+        by = np.lexsort((start, order[owner], d2, d1))
+        owner, start, end, d1, d2 = (x[by] for x in (owner, start, end, d1, d2))
+        sure, own = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        sure[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+        own[1:] = sure[1:] & (order[owner][1:] == order[owner][:-1]) & (start[1:] == start[:-1])
+        keep = ~own
+        place = _mixed(named[owner].view(np.uint64) + np.uint64(1)) ^ _mixed(start.astype(np.uint64))
+        d1, d2 = np.where(sure, ranks[owner] ^ place.view(np.int64), d1), np.where(sure, end.astype(np.int64), d2)
+        names = pa.array(named[owner], mask=nameless[owner])
+        arrays = [names, *map(pa.array, (ranks[owner], start, end, sure, d1, d2))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "rank", "start", "end", "sure", "d1", "d2"]).filter(pa.array(keep))
 
     def run(batches):
-        for batch in slices(batches, 64):
-            digests, sizes, positions, rows = [], [], [], []
-            for row, text in enumerate(batch["text"].to_pylist()):
-                cut, counts = pieces(text)
-                plain = [" ".join(x.lower().split()).encode("utf-8", "replace") for x in cut]
-                for a, b in groups(counts, min_words):
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(filter(None, plain[a:b]))))
-                    sizes.append(b - a)
-                    positions.append(a)
-                    rows.append(row)
-            yield _batch(batch, digests, sizes, positions, rows)
+        memory = _Hashes()
+        ids, ranks, parts, held = [], [], [], 0
+        waiting, size = [], 0
+
+        def cut():
+            nonlocal waiting, size, held
+            text, *rest = rows_of_pieces(waiting, min_words, memory)
+            parts.append((text + (len(ids) - len(waiting)), *rest))
+            held += len(text)
+            waiting, size = [], 0
+
+        for batch in slices(batches):
+            for doc_id, rank, text in zip(*(batch[n].to_pylist() for n in ("doc_id", "rank", "text"))):
+                ids.append(doc_id)
+                ranks.append(rank)
+                waiting.append(text)
+                size += len(text)
+                if size >= 5 * _CUT_WORDS:
+                    cut()
+                    if held >= _COMBINED:
+                        yield combined(ids, ranks, parts)
+                        ids, ranks, parts, held = [], [], [], 0
+        if waiting:
+            cut()
+        if parts:
+            yield combined(ids, ranks, parts)
 
     return run
 
 
-def _digests(batches):
-    for batch in slices(batches, 256):
-        digests, counts, positions, rows = [], [], [], []
-        for row, text in enumerate(batch["text"].to_pylist()):
-            for position, unit in enumerate(units(text)):
-                found = unit.lower().split()
-                if found:
-                    digests.append(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "replace")))
-                    counts.append(len(found))
-                    positions.append(position)
-                    rows.append(row)
-        yield _batch(batch, digests, counts, positions, rows)
-
-
-def _batch(batch, digests, counts, positions, rows) -> pa.RecordBatch:
-    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    taken = pa.array(rows, pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [
-            batch["doc_id"].take(taken),
-            batch["rank"].take(taken),
-            pa.array(positions, pa.int32()),
-            pa.array(counts, pa.int32()),
-            pa.array(np.ascontiguousarray(halves[:, 0])),
-            pa.array(np.ascontiguousarray(halves[:, 1])),
-        ],
-        ["doc_id", "rank", "position", "words", "d1", "d2"],
-    )
-
-
-def repeated_units(docs: DataFrame, min_words: int = 8, whole: bool = False) -> DataFrame:
-    """``(doc_id, rank, positions, counts)``: units of each document that occur earlier, with their words (``whole``: groups,
-    with their pieces); documents without such units are left out."""
+def repeated_ranges(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """``(doc_id, rank, ranges)``: code-point ranges of each document that stand earlier; documents without are left out."""
     texts = docs.where(docs["text"] != "").select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("rank"), docs["text"].alias("text"))
-    schema = "doc_id long, rank long, position int, words int, d1 long, d2 long"
-    rows = stored(texts.mapInArrow(_group_digests(min_words) if whole else _digests, schema))
+    rows = texts.mapInArrow(_digests(min_words), _SCHEMA)
     # Null ids last: structs compare field by field.
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rank", "position")
-    first = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first <> last").select("d1", "d2", "first")
-    later = rows.join(first, ["d1", "d2"]).where(place != F.col("first"))
-    found = later.groupBy("doc_id", "rank").agg(F.sort_array(F.collect_set(F.struct("position", "words"))).alias("found"))
-    return found.select("doc_id", "rank", F.col("found.position").alias("positions"), F.col("found.words").alias("counts"))
-
-
-def removed_units(positions: list[int], counts: list[int], min_words: int) -> set[int]:
-    """Positions in runs of neighbours with enough words."""
-    out: set[int] = set()
-    run: list[int] = []
-    words = 0
-    for position, count in zip([*positions, -2], [*counts, 0]):
-        if run and position != run[-1] + 1:
-            if words >= min_words:
-                out.update(run)
-            run, words = [], 0
-        run.append(position)
-        words += count
+    rows = rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rank", "start")).drop("doc_id", "rank", "start")
+    earliest = F.first("place").over(Window.partitionBy("sure", "d1", "d2").orderBy("place"))
+    later = rows.withColumn("earliest", earliest).where(F.col("sure") | (F.col("place") != F.col("earliest")))
+    span = F.struct("place.start", "end")
+    return later.groupBy("place.doc_id", "place.rank").agg(F.collect_set(span).alias("ranges"))
+
+
+def merged(ranges: list[dict]) -> list[tuple[int, int]]:
+    """The ranges in order, those that touch put together."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((r["start"], r["end"]) for r in ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def split_text(
-    text: str, positions: list[int], counts: list[int], min_words: int, whole: bool = False
-) -> tuple[str, list[tuple[int, int]], int, int]:
-    """Kept text, removed code-point spans (neighbours merged), units (``whole``: pieces) in all and removed."""
-    if whole:
-        cut = pieces(text)[0]
-        gone = {k for a, n in zip(positions, counts) for k in range(a, a + n)}
-    else:
-        cut = units(text)
-        gone = removed_units(positions, counts, min_words)
-    spans: list[list[int]] = []
+def without(text: str, spans: list[tuple[int, int]]) -> str:
     kept, at = [], 0
-    for k, unit in enumerate(cut):
-        if k in gone:
-            if spans and spans[-1][1] == at:
-                spans[-1][1] += len(unit)
-            else:
-                spans.append([at, at + len(unit)])
-        else:
-            kept.append(unit)
-        at += len(unit)
-    return "".join(kept), [(a, b) for a, b in spans], len(cut), len(gone)
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return "".join([*kept, text[at:]])
 
 
-def _with_repeats(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
-    """``docs`` as a struct ``row`` next to the repeated units of its text."""
-    repeats = repeated_units(docs, min_words, whole).select(F.col("doc_id").alias("id"), "rank", "positions", "counts")
+def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` as a struct ``row`` next to the repeated ranges of its text."""
+    repeats = repeated_ranges(docs, min_words).select(F.col("doc_id").alias("id"), "rank", "ranges")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("rank"))
-    return rows.join(repeats, same, "left").select("row", "positions", "counts")
+    return rows.join(repeats, same, "left").select("row", "ranges")
 
 
-def substring_spans(docs: DataFrame, min_words: int = 8, whole: bool = False) -> DataFrame:
-    """``doc_id, text, n_units, n_removed, removed``: the kept text of each row, and ``removed`` code-point ranges
-    ``[start, end)`` of the original text."""
+def substring_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """``doc_id, text, n_removed, removed``: the kept text of each row, and ``removed`` code-point ranges ``[start, end)`` of
+    the original text with their length in all."""
 
     def run(batches):
         for batch in slices(batches):
-            columns: dict[str, list] = {"text": [], "n_units": [], "n_removed": [], "removed": []}
-            for text, positions, counts in zip(*(batch[n].to_pylist() for n in ("text", "positions", "counts"))):
-                kept, spans, all_units, gone = split_text(text, positions or [], counts or [], min_words, whole) if text else (text, [], 0, 0)
-                for name, value in zip(columns, (kept, all_units, gone, [{"start": a, "end": b} for a, b in spans])):
-                    columns[name].append(value)
+            texts, counts, removed = [], [], []
+            for text, ranges in zip(*(batch[n].to_pylist() for n in ("text", "ranges"))):
+                spans = merged(ranges or [])
+                texts.append(without(text, spans) if spans else text)
+                counts.append(sum(b - a for a, b in spans))
+                removed.append([{"start": a, "end": b} for a, b in spans])
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = (pa.string(), pa.int64(), pa.int64(), span)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(v, k) for v, k in zip(columns.values(), kinds))], ["doc_id", *columns])
+            arrays = [batch["doc_id"], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, span)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_removed", "removed"])
 
-    rows = _with_repeats(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), min_words, whole)
-    rows = rows.select("row.doc_id", "row.text", "positions", "counts")
-    return rows.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:int,end:int>>")
+    rows = _with_repeats(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), min_words)
+    return rows.select("row.doc_id", "row.text", "ranges").mapInArrow(run, "doc_id long, text string, n_removed long, removed array<struct<start:int,end:int>>")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 8, whole: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs``, all columns, with the kept texts; a document that loses its last word is dropped."""
 
     def run(batches):
         for batch in slices(batches):
             rows = pa.RecordBatch.from_struct_array(batch["row"])
             texts, keep = rows["text"].to_pylist(), []
-            for k, (positions, counts) in enumerate(zip(batch["positions"].to_pylist(), batch["counts"].to_pylist())):
-                if positions:
-                    texts[k] = split_text(texts[k], positions, counts, min_words, whole)[0]
-                keep.append(not positions or bool(texts[k].strip()))
+            for k, ranges in enumerate(batch["ranges"].to_pylist()):
+                if ranges:
+                    texts[k] = without(texts[k], merged(ranges))
+                keep.append(not ranges or bool(texts[k].strip()))
             yield replaced(rows, texts).filter(pa.array(keep))
 
-    return _with_repeats(docs, min_words, whole).mapInArrow(run, docs.schema)
+    return _with_repeats(docs, min_words).mapInArrow(run, docs.schema)

@@ -1,30 +1,69 @@
 from __future__ import annotations
 
-from quadrante.llm.substrings import remove_repeats, substring_spans, units
+import hashlib
+import random
+import re
+
+import pytest
+
+from quadrante.llm.substrings import remove_repeats, rows_of_pieces, substring_spans
 from tests.llm.conftest import odd_rows, prose
 
+LETTER = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+CAPITAL = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de]")
+
+
+def pieces(text):
+    """``(start, words)`` of each piece, word by word."""
+    found = list(re.finditer(rf"{LETTER}|(?:(?!{LETTER})\S)+", text))
+    units, at = [], 0
+    for m in found:
+        gap = text[at : m.start()]
+        marked = at and text[at - 1] in ".!?" and gap[:1] and gap[0] in " \t\r\f\v"
+        if not units or "\n" in gap or marked or gap and gap[-1] in " \t\r\f\v" and CAPITAL.match(m[0]):
+            units.append([])
+        units[-1].append((m.start(), m[0].lower()))
+        at = m.end()
+    out = []
+    for unit in units:
+        cuts = {0}
+        if len(unit) >= 16:
+            sums = [hashlib.md5(w.encode("utf-8", "replace")).digest()[:8] for _, w in unit]
+            cuts |= {1 + min(range(k, k + 8), key=lambda i: (sums[i], -i)) for k in range(len(unit) - 7)}
+        cuts = sorted(c for c in cuts if c < len(unit))
+        out += [(unit[a][0], [w for _, w in unit[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(unit)])]
+    if out:
+        out[0] = (0, out[0][1])
+    return out
+
 
 def brute(rows, min_words=8):
-    """Plainest form: walk the distinct documents in order, keep what was not seen."""
-    seen: set = set()
+    """Plainest form: spell all rows of pieces of the distinct documents in order, remove what was seen."""
+    import xxhash
+
+    seen: dict = {}
     out = {}
-    for doc, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0])):
-        cut = units(text)
-        norm = [" ".join(u.lower().split()) for u in cut]
-        later = []
-        for n in norm:
-            later.append(bool(n) and n in seen)
-            if n:
-                seen.add(n)
-        gone, k = set(), 0
-        while k < len(cut):
-            e = k
-            while e < len(cut) and later[e]:
-                e += 1
-            if sum(len(norm[i].split()) for i in range(k, e)) >= min_words:
-                gone.update(range(k, e))
-            k = max(e, k + 1)
-        out[(doc, text)] = "".join(u for i, u in enumerate(cut) if i not in gone)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 42) + 2**63) % 2**64 - 2**63
+    for doc, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]))):
+        cut = pieces(text)
+        ends = [*(s for s, _ in cut[1:]), len(text)]
+        found = set()
+        for a in range(len(cut)):
+            for b in range(a, len(cut)):
+                if sum(len(w) for _, w in cut[a : b + 1]) >= min_words:
+                    found.add((a, b))
+                    break
+        for b in range(len(cut)):
+            for a in range(b, -1, -1):
+                if sum(len(w) for _, w in cut[a : b + 1]) >= min_words:
+                    found.add((a, b))
+                    break
+        gone = set()
+        for a, b in sorted(found):
+            words = tuple(w for _, ws in cut[a : b + 1] for w in ws)
+            if seen.setdefault(words, (doc, text, a)) != (doc, text, a):
+                gone.update(range(a, b + 1))
+        out[(doc, text)] = "".join(text[s:e] for k, ((s, _), e) in enumerate(zip(cut, ends)) if k not in gone) if cut else text
     return out
 
 
@@ -42,11 +81,6 @@ def rows():
     ]
 
 
-def test_units_join_to_the_text():
-    for _, text in rows():
-        assert "".join(units(text or "")) == (text or "")
-
-
 def test_equals_brute_force(documents):
     want = brute(rows())
     for r in substring_spans(documents(rows())).collect():
@@ -55,7 +89,30 @@ def test_equals_brute_force(documents):
         assert r["text"] == (want[(r["doc_id"], text)] if text else text), r["doc_id"]
         if text:
             left = "".join(text[a:b] for a, b in zip([0, *(s["end"] for s in r["removed"])], [*(s["start"] for s in r["removed"]), len(text)]))
-            assert left == r["text"]
+            assert left == r["text"] and r["n_removed"] == len(text) - len(left)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts_equal_brute_force(documents, seed):
+    rng = random.Random(seed)
+    words = ["a", "Bee", "c.", "dee!", "\u5929", "\u5730", "Ünter", "über", "x\xa0y", "e"]
+    passages = [rng.choices(words, k=rng.randint(3, 60)) for _ in range(6)]
+    made = []
+    for k in range(40):
+        parts = [w for _ in range(rng.randint(0, 4)) for w in (rng.choice(passages) if rng.random() < 0.6 else rng.choices(words, k=rng.randint(1, 30)))]
+        made.append((rng.choice([None, k, k, k % 5]), "".join(w + rng.choice([" ", " ", "  ", "\n", " \n\t", "\u2003"]) for w in parts)))
+    for min_words in (3, 20):
+        want = brute(made, min_words)
+        got = substring_spans(documents(made), min_words).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(((d, want[(d, t)] if t else t) for d, t in made), key=str)
+
+
+def test_rows_of_pieces_do_not_depend_on_the_other_texts():
+    texts = [t for _, t in rows() if t]
+    together = rows_of_pieces(texts, 8)
+    for k, text in enumerate(texts):
+        alone = rows_of_pieces([text], 8)
+        assert all(x[together[0] == k].tolist() == y.tolist() for x, y in zip(together[1:], alone[1:]))
 
 
 def test_passages_and_lines_go_but_the_first(documents):
