@@ -8,10 +8,9 @@ stage returns as Parquet to the shared folder and gives it to the next one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quadrante.llm import decontaminate, jaccard, packing, quality, substrings
-from quadrante.llm.common import stored
+from quadrante.llm.common import discard, stored
 from quadrante.llm.queries import table, tokenizer_file
 
 
@@ -21,33 +20,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest id.
-
-    Rows without an id have no rank in their group, so they all stay unless their group has an id. Of
-    several rows with the smallest id, those with the smallest text hash stay, as one row.
-    """
-    found = jaccard.jaccard_components(docs)
-    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("leader")).distinct()
-    nameless = docs.where("doc_id is null")
-    kept = docs.join(leaders, docs["doc_id"].cast("long") == leaders["leader"], "left_semi")
-    return one_row_per_id(kept).unionByName(nameless)
-
-
-def near_duplicate_rows_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked rows stays, whatever its id: ids may repeat or be null."""
     return jaccard.one_per_component(docs)
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows with one ``doc_id``, the one with the smallest hash; combined in each task first."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    first = rows.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by("row", F.xxhash64("row.text", "row")).alias("row"))
-    return first.select("row.*")
-
-
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document, or earlier in the same one, go."""
-    return substrings.remove_repeats(docs)
+    return substrings.remove_repeats(docs, substrings.MIN_WORDS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +41,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_rows_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("substrings", substring_stage),
     ("benchmark", benchmark_stage),
     ("packing", packing_stage),
@@ -75,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
