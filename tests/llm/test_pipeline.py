@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from quadrante.llm.queries import llm_oracles, llm_queries
-from tests.llm.conftest import odd_rows, prose
+from tests.llm.conftest import prose
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_jaccard import brute as components
 
@@ -48,15 +48,6 @@ def test_stages_on_given_tables(spark):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
 
 
-def test_one_row_stays_for_odd_rows(documents, spark):
-    rows = odd_rows()
-    docs = documents(rows)
-    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
-    wanted = {d for d, _, c in components(rows) if d is not None and d == c}
-    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(wanted) and kept[0].asDict().keys() == set(docs.columns)
-
-
 def test_stages_on_an_empty_table(documents, spark):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
