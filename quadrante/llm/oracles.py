@@ -36,21 +36,20 @@ WITH marked AS (
   SELECT doc_id, text, CASE WHEN len(ws) > 1 AND regexp_full_match(ws[1], '[@S]*') THEN list_prepend(ws[1] || ws[2], ws[3:]) ELSE ws END AS ws FROM marked
 ), words AS (
   SELECT doc_id, k, ws[k] AS w, lower(regexp_extract(ws[k], '@L|[^@S@R]+')) AS word, length(ws[k]) AS size,
-    regexp_extract(ws[k - 1], '[@S]*$') AS gap, regexp_replace(ws[k - 1], '[@S]*$', '') AS before,
+    regexp_extract(ws[k - 1], '[@S]*$') AS gap,
     regexp_full_match(ws[k], '[@S]*') AS blank
   FROM listed, unnest(range(1, len(ws) + 1)) AS t(k)
 ), starts AS (
   SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start, left(md5(word), 16) AS h,
-    k = 1 OR gap LIKE '%' || chr(10) || '%' OR (regexp_matches(before, '[.!?]$') AND regexp_matches(gap, '^[ \t\r\f\v]'))
-      OR (regexp_matches(gap, '[ \t\r\f\v]$') AND regexp_matches(w, '^[A-ZÀ-ÖØ-Þ]')) AS head
+    k = 1 OR gap LIKE '%' || chr(10) || '%' AS head
   FROM words WHERE NOT blank
 ), united AS (
   SELECT *, count(*) FILTER (WHERE head) OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM starts
 ), windowed AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id, unit) AS length, row_number() OVER (PARTITION BY doc_id, unit ORDER BY k) AS place,
-    min(struct_pack(h := h, back := -k)) OVER (PARTITION BY doc_id, unit ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS least FROM united
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY k) AS place,
+    min(struct_pack(h := h, back := -k)) OVER (PARTITION BY doc_id, unit ORDER BY k ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS least FROM united
 ), cuts AS (
-  SELECT DISTINCT doc_id, 1 - least.back AS k FROM windowed WHERE length >= 16 AND place >= 8
+  SELECT DISTINCT doc_id, 1 - least.back AS k FROM windowed WHERE place >= 15
 ), headed AS (
   SELECT u.*, u.head OR c.k IS NOT NULL AS begins FROM united u LEFT JOIN cuts c USING (doc_id, k)
 ), numbered AS (

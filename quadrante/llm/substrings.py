@@ -1,10 +1,8 @@
 """Substring dedup by hashing units of text.
 
-Units are sentence-sized: a text is cut behind the white space that follows a line break, a full stop, exclamation or
-question mark, or precedes a capital letter. Passages that were pasted into other text are cut alike everywhere, up to the
-ends of their first and last sentences. Units of many words are cut further, behind words chosen by their hashes, so a
-passage pasted into a sentence, or into text without marks and capitals, is cut alike everywhere but for fewer than
-``2 * _WINDOW`` words at its two ends, which stay. Letters of scripts without blanks count as words.
+Units are lines. Those of ``_WINDOW`` words or more are cut further, behind each word that has the smallest hash of some
+``_WINDOW`` neighbours in its line, so a passage pasted into a line is cut alike everywhere but for fewer than
+``_WINDOW`` words at its two ends, which stay. Letters of scripts without blanks count as words.
 
 What is compared is not a piece but the shortest row of neighbouring pieces, from each piece on and up to each piece, that
 has ``min_words`` words: nothing goes that does not stand in one earlier place with so many words in a row. The words of a row
@@ -24,25 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrante.llm.common import slices
 from quadrante.llm.decontaminate import replaced
 
-#: Words that a repeat must have in a row: fewer than are left of 50 when both ends lie inside long units.
-MIN_WORDS = 20
-
-_BLANK = r"[ \t\r\f\v]"
-_CUT = re.compile(rf"{_BLANK}*\n\s*|(?<=[.!?]){_BLANK}+|{_BLANK}+(?=[A-ZÀ-ÖØ-Þ])")
-#: Of so many words in a row, one is chosen to cut behind; units shorter than two such windows stay whole.
-_WINDOW = 8
+#: Of so many words in a row, one is chosen to cut behind.
+_WINDOW = 15
+#: Words that a repeat must have in a row: at least so many of 50 are left without the two ends.
+MIN_WORDS = 50 - 2 * _WINDOW
 #: Words, and letters of scripts that set no blanks between words (Thai to Khmer, kana, ideographs).
-_WORD = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]|"
-                   r"[^\s฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|"
+                   r"[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
+_BREAK = re.compile("\n")
 #: Rows of pieces that a task compares among themselves before they are shuffled, and words that it cuts at a time.
 _COMBINED, _CUT_WORDS = 500_000, 200_000
 #: Odd multipliers of the two halves of a digest, and their inverses modulo 2**64.
@@ -61,20 +58,18 @@ class _Hashes(dict):
 
 
 def _chosen(hashes: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """Words that start a piece: the first of each unit, and in long units those behind the smallest hash of a window."""
+    """Words that start a piece: the first of each unit and those behind the smallest hash (the last of equal ones) of a window."""
     n = len(hashes)
     starts = np.ones(n, bool)
     starts[1:] = unit[1:] != unit[:-1]
-    long = np.bincount(unit)[unit] >= 2 * _WINDOW
-    if n >= _WINDOW:
-        at = np.flatnonzero(long[: n - _WINDOW + 1] & (unit[: n - _WINDOW + 1] == unit[_WINDOW - 1 :]))
-        least, best = hashes[at], at
-        for k in range(1, _WINDOW):
-            other = hashes[at + k]
-            take = other <= least
-            least, best = np.where(take, other, least), np.where(take, at + k, best)
-        behind = best + 1
-        starts[behind[behind < n]] = True
+    at = np.flatnonzero(unit[: n - _WINDOW + 1] == unit[_WINDOW - 1 :]) if n >= _WINDOW else np.zeros(0, np.int64)
+    least, best = hashes[at], at
+    for k in range(1, _WINDOW):
+        other = hashes[at + k]
+        take = other <= least
+        least, best = np.where(take, other, least), np.where(take, at + k, best)
+    behind = best + 1
+    starts[behind[behind < n]] = True
     return np.flatnonzero(starts)
 
 
@@ -95,9 +90,9 @@ def rows_of_pieces(texts: list[str], min_words: int, memory: dict | None = None)
     places, words, units, ends, n_units = [], [], [], [], 0
     for text in texts:
         found = list(_WORD.finditer(text))
-        start = np.fromiter((m.start() for m in found), np.int64, len(found))
-        words.append(np.fromiter((memory[m[0]] for m in found), np.uint64, len(found)))
-        cuts = np.fromiter((m.end() for m in _CUT.finditer(text)), np.int64)
+        start = np.fromiter(map(re.Match.start, found), np.int64, len(found))
+        words.append(np.fromiter(map(memory.__getitem__, map(re.Match.group, found)), np.uint64, len(found)))
+        cuts = np.fromiter((m.end() for m in _BREAK.finditer(text)), np.int64)
         units.append(np.searchsorted(cuts, start, "right") + n_units)
         n_units += len(cuts) + 1
         if len(start):
@@ -190,9 +185,17 @@ def _digests(min_words: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """``(doc_id, rank, ranges)``: code-point ranges of each document that stand earlier; documents without are left out."""
-    texts = docs.where(docs["text"] != "").select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("rank"), docs["text"].alias("text"))
+def _ranking(docs: DataFrame) -> Callable[[str], Column]:
+    """Hash of a text, which tells rows with one ``doc_id`` apart; 0 where no id repeats, as eight random bytes a row are a
+    fourth of the shuffle. The order of documents is the same either way."""
+    same = docs.groupBy(docs["doc_id"].cast("long")).count().where("count > 1")
+    return (lambda text: F.lit(0).cast("long")) if same.isEmpty() else F.xxhash64
+
+
+def repeated_ranges(docs: DataFrame, rank: Column, min_words: int = 8) -> DataFrame:
+    """``(doc_id, rank, ranges)``, ``rank`` made of ``text``: code-point ranges of each document that stand earlier; documents without are left out."""
+    texts = docs.where(docs["text"] != "").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    texts = texts.select("doc_id", rank.alias("rank"), "text")
     rows = texts.mapInArrow(_digests(min_words), _SCHEMA)
     # Null ids last: structs compare field by field.
     rows = rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rank", "start")).drop("doc_id", "rank", "start")
@@ -223,9 +226,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs`` as a struct ``row`` next to the repeated ranges of its text."""
-    repeats = repeated_ranges(docs, min_words).select(F.col("doc_id").alias("id"), "rank", "ranges")
+    rank = _ranking(docs)
+    repeats = repeated_ranges(docs, rank("text"), min_words).select(F.col("doc_id").alias("id"), "rank", "ranges")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("rank"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (rank("row.text") == F.col("rank"))
     return rows.join(repeats, same, "left").select("row", "ranges")
 
 
