@@ -52,24 +52,30 @@ _LAYOUT = (
     r"comments?|replies|disqus|complementary|contentinfo|pagination|pager|skip)"
 )
 #: Whole names; of longer ones those that say whose or where the thing is (``site-header``, but not ``entry-header`` or ``with-sidebar``).
-_MARKED = re.compile(rf"(?:(?:site|global|top|bottom|left|right|user|reader|cookie|social)[_-])?{_LAYOUT}(?:[_-](?:area|bar|box|list|section|wrapper))?", re.IGNORECASE)
+_MARKED = re.compile(rf"(?:(?:site|global|top|bottom|left|right|user|reader|cookie|social)[_-])?{_LAYOUT}(?:[_-](?:area|bar|block|box|container|list|section|slot|thread|unit|wrapper))?", re.IGNORECASE)
+#: Names that the main text's own parts have as well; there they count only for lines that the page shares with its pair.
+_AMBIGUOUS = frozenset("banner header search".split())
 #: Names of a reader's comment, also on an ``article``.
-_COMMENT = re.compile(r"(?:(?:user|reader)[_-])?(?:comments?|reply|replies)(?:[_-](?:body|content|entry|item|list))?|disqus", re.IGNORECASE)
+_COMMENT = re.compile(r"(?:(?:article|blog|post|user|reader)[_-])?(?:comments|(?:comment|reply|replies|disqus)(?:[_-](?:body|content|entry|item|list|thread))?)|comments[_-](?:body|content|list|thread)|comment", re.IGNORECASE)
 #: Names of things whose own articles are teasers.
 _TEASER = re.compile(r"(?:(?:left|right)[_-])?(?:related|widget|sidebar|aside|promo|sponsor(?:ed)?|ads?|adverts?|banner|newsletter)", re.IGNORECASE)
 #: Elements that a ``head`` can hold; any other ends one that was left open.
 _IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())
 #: How strongly a line is marked: by a wrapper that any ``article`` or ``main`` ends, by one that only ``main`` ends, for good.
-_WRAPPER, _SECTION, _HIDDEN = 1, 2, 3
+#: ``_DOUBTFUL``: by an ambiguous name inside the main text.
+_DOUBTFUL, _WRAPPER, _SECTION, _HIDDEN = 1, 2, 3, 4
+#: Elements that cannot stand in those that a page may have left open, and these.
+_ENDS_CONTROL = frozenset("article blockquote footer h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
+_CONTROL = frozenset("button option select".split())
 _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text, place, marked, main)`` for each block of text."""
+    """Collects ``(text, place, marked, main, doubtful)`` for each block of text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, str, bool, bool]] = []
+        self.lines: list[tuple[str, str, bool, bool, bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, marked, main
         self.parts: list[str] = []
         self.silent = 0
@@ -81,12 +87,14 @@ class _Lines(HTMLParser):
             if text:
                 _, marked, main = self.open[-1] if self.open else ("", 0, False)
                 place = "/".join(t for t, _, _ in self.open if t in _BLOCK and t != "p")
-                self.lines.append((text, place, bool(marked), main))
+                self.lines.append((text, place, marked > _DOUBTFUL, main, marked == _DOUBTFUL))
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag not in _IN_HEAD:
             self._close_head(tag == "body")
-        if tag in _BLOCK:
+        if tag in _ENDS_CONTROL:
+            self._close_controls()
+        if tag in _BLOCK and not self.silent:
             self._flush()
             self._close_open_p()
             for k in range(len(self.open) - 1, -1, -1):
@@ -109,7 +117,8 @@ class _Lines(HTMLParser):
         elif tag == "form" or tag == "header" and not main:
             marked = max(marked, _WRAPPER)
         elif tag not in ("html", "body", "header") and tag not in _MAIN and any(map(_MARKED.fullmatch, names)):
-            marked = max(marked, _SECTION if any(map(_TEASER.fullmatch, names)) else _WRAPPER)
+            sure = not main or any(_MARKED.fullmatch(n) and n.lower() not in _AMBIGUOUS for n in names)
+            marked = max(marked, _SECTION if any(n.lower() not in _AMBIGUOUS and _TEASER.fullmatch(n) for n in names) else _WRAPPER if sure else _DOUBTFUL)
         if any(n == "hidden" for n, _ in attrs):
             marked = _HIDDEN
         main = main or "articleBody" in names
@@ -123,6 +132,12 @@ class _Lines(HTMLParser):
             if k is not None:
                 self._pop(k)
 
+    def _close_controls(self) -> None:
+        """A block ends the button or list of options that was left open around it."""
+        k = next((k for k, (tag, _, _) in enumerate(self.open) if tag in _CONTROL), None)
+        if k is not None and self.silent == sum(t in _CONTROL for t, _, _ in self.open[k:]):
+            self._pop(k)
+
     def _close_open_p(self) -> None:
         """A block ends an open paragraph, with the inline elements that it left open."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -136,13 +151,16 @@ class _Lines(HTMLParser):
         self.silent -= sum(t in _SILENT for t, _, _ in self.open[k:])
         del self.open[k:]
 
+    def _first_silent(self) -> int:
+        return next((k for k, (tag, _, _) in enumerate(self.open) if tag in _SILENT), len(self.open))
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCK or tag in _SILENT:
+        if tag in _BLOCK and (not self.silent or any(t == tag for t, _, _ in self.open[: self._first_silent()])):
             self._flush()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
@@ -162,8 +180,8 @@ class _Lines(HTMLParser):
         self._flush()
 
 
-def lines_of(html: str | None) -> list[tuple[str, str, bool, bool]]:
-    """Text lines of a page: ``(text, place, marked as something else, inside article or main)``."""
+def lines_of(html: str | None) -> list[tuple[str, str, bool, bool, bool]]:
+    """Text lines of a page: ``(text, place, marked as something else, inside article or main, there marked by an ambiguous name)``."""
     if not html:
         return []
     parser = _Lines()
@@ -216,11 +234,11 @@ def _subsequence(a: list[int], b: list[int]) -> list[int]:
 def main_text(own: list, pair: list | None) -> str:
     """The page's text, given the lines of its pair."""
     shared = shared_lines([x[:2] for x in own], [x[:2] for x in pair]) if pair and pair != own else set()
-    has_main = any(main and not marked for _, _, marked, main in own)
+    has_main = any(main and not marked for _, _, marked, main, _ in own)
     kept = [
         text
-        for k, (text, _, marked, main) in enumerate(own)
-        if not marked and (main if has_main else k not in shared)
+        for k, (text, _, marked, main, doubtful) in enumerate(own)
+        if not marked and (main and not (doubtful and (not pair or k in shared)) if has_main else k not in shared)
     ]
     return "\n\n".join(kept)
 

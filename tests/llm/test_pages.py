@@ -116,3 +116,24 @@ def test_a_head_left_open_ends_at_the_body():
 def test_comment_articles_go():
     html = "<article><p>a</article><article class='comment'><p>b</article><article class='post'><p>c<article id='x' class='comment-body odd'>d</article></article>"
     assert main_text(lines_of(html), None) == "a\n\nc"
+
+
+def test_silent_inline_elements_do_not_cut_a_line():
+    for silent in ("<svg/>", "<svg><title>t</title></svg>", "<script>x()</script>", "<button>Go</button>", "<noscript><div>no</div></noscript>"):
+        assert main_text(lines_of(f"<main><p>before {silent} after</p><p>next</p></main>"), None) == "before after\n\nnext", silent
+
+
+def test_controls_left_open_end_at_the_next_block():
+    for control in ("<select><option>One<option>Two", "<button>Go"):
+        assert main_text(lines_of(f"<main><p>a</p>{control}<p>b</p><h2>c</h2></main>"), None) == "a\n\nb\n\nc", control
+
+
+def test_names_of_adverts_and_threads_go():
+    for name in "ad-slot advert-block post-comments comment-thread disqus_thread comments reply comments-list".split():
+        assert main_text(lines_of(f'<main><p>text</p><div class="{name}"><p>other</p></div></main>'), None) == "text", name
+
+
+def test_the_difference_decides_on_ambiguous_names_in_the_main_text():
+    for part in ('<div id="search"><p>{}</p></div>', '<div class="header"><p>{}</p></div>', '<section class="banner"><p>{}</p></section>'):
+        own, near, same = (lines_of(f"<article>{part.format(x)}<p>{y}</p></article>") for x, y in (("Intro", "text"), ("Other", "words"), ("Intro", "words")))
+        assert main_text(own, near) == "Intro\n\ntext" and main_text(own, same) == "text" and main_text(own, None) == "text"
