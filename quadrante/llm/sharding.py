@@ -8,7 +8,7 @@ dealt to as many shards as the limit asks for, one row each at least.
 Sizes are summed once per prefix of ``step`` bits (in each task first) and rolled up to the shorter prefixes on
 those sums; only rows in buckets that are still too large are read for more bits. The directory grows with
 the number of shards, not of documents, stays a distributed table and is joined by prefix; equal rows are counted, not
-gathered, and numbered by exploding the count.
+gathered, and numbered from the count in blocks that are dealt over the tasks.
 
 Defined results: a null or empty text has no bytes and hashes like an empty one, a null ``doc_id`` like an empty string; a
 text over the limit is a shard of its own; an empty table has no shards; other columns are ignored by
@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrante.llm.common import stored
+from quadrante.operators.joins import lookup_join
 
 BITS = 60
+#: Copies of one row that a task writes out at a time.
+_BLOCK = 4096
 
 
 def place(doc_id, text) -> F.Column:
@@ -70,12 +73,20 @@ def assign_shards(docs: DataFrame, limit: int, step: int = 16) -> DataFrame:
     rows = docs.select(
         docs["doc_id"], place(docs["doc_id"], docs["text"]).alias("place"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("bytes")
     )
-    placed = _placed(rows, limit, step)
-    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("row")
-    placed = placed.select("doc_id", "depth", "prefix", "bytes", "per_shard", "alone", row)
+    placed = _copies(stored(_placed(rows, limit, step)))
     return placed.select("doc_id", F.col("depth").cast("long").alias("depth"), "prefix", _overflow().alias("overflow"), "bytes")
 
 
+def _copies(placed: DataFrame) -> DataFrame:
+    """Each row as often as it has ``copies``, numbered in ``row``; many copies are dealt over the tasks in blocks."""
+    few = placed.where(F.col("copies") <= _BLOCK).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _BLOCK)))
+    many = placed.where(F.col("copies") > _BLOCK).withColumn("block", block).repartition("doc_id", "place", "block")
+    start = F.col("block") * _BLOCK
+    many = many.withColumn("row", F.explode(F.sequence(start, F.least(start + _BLOCK, F.col("copies")) - 1))).drop("block")
+    return few.unionByName(many)
+
+
 def _overflow() -> F.Column:
     return F.when(F.col("alone"), F.floor(F.col("row") / F.col("per_shard"))).otherwise(0).cast("long")
 
@@ -88,7 +99,7 @@ def _placed(rows: DataFrame, limit: int, step: int) -> DataFrame:
     depths = [r["depth"] for r in shards.select("depth").distinct().collect()]  # at most 61
     keyed = rows.withColumn("depth", F.explode(F.array(*(F.lit(d).cast("int") for d in sorted(depths))))) if depths else rows.withColumn("depth", F.lit(0))
     keyed = keyed.withColumn("prefix", F.expr(f"shiftright(place, {BITS} - depth)"))
-    placed = keyed.join(shards.select("depth", "prefix", F.col("bytes").alias("total")), ["depth", "prefix"])
+    placed = lookup_join(keyed, shards.select("depth", "prefix", F.col("bytes").alias("total")), ["depth", "prefix"])
     per_shard = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
     return placed.select("doc_id", "place", "bytes", "copies", "depth", "prefix", per_shard.alias("per_shard"), (F.col("total") > limit).alias("alone"))
 

@@ -113,3 +113,9 @@ def test_wrapped_notices_are_found(documents):
     assert {(d, f) for d, f, _ in got} == {(1, "BSD"), (1, "MIT")}
     at = {f: {n for _, g, n in got if g == f} for f in ("BSD", "MIT")}
     assert at["BSD"] <= {2, 3} and at["MIT"] <= set(range(2 + -(-len(bsd) // 7) + 1, len(lines)))
+
+
+def test_many_copies_are_numbered_in_blocks(documents):
+    rows = assign_shards(documents([(1, "ab")] * 9000 + [(2, "c")]), 100).collect()
+    chain = sorted(r["overflow"] for r in rows if r["doc_id"] == 1)
+    assert chain == [k // 50 for k in range(9000)] and len(rows) == 9001
