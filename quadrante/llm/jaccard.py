@@ -15,7 +15,7 @@ exact (up to the equality of 64-bit hashes) and finds no pair twice:
 5. *Matrix.* Shingle -> group rows give, for each set and group, how many prefix shingles the set has in the group's
    token union (of groups with the same longest list, in their common union). As ``l`` of them are needed, one is not among the
    set's ``l - 1`` longest lists: candidates come from the other lists alone, and the longest ones are only counted for
-   candidates. Pairs below the bound of step 2 are dropped; only the groups left are opened.
+   candidates that the others leave open. Pairs below the bound of step 2 are dropped; only the groups left are opened.
 6. *Verification.* An opened group meets its query sets in one task, block by block: the union of its members'
    sets bounds each query again, then products of 0/1 matrices over the shared shingles give all
    intersections. Tasks return a spanning forest of the links they find, never the pairs.
@@ -339,10 +339,11 @@ def _named_sets(docs: DataFrame, words: int, percent: int, group_sets: int) -> t
     apart = (F.col("x.lead") < F.col("g.lead")) | ((F.col("x.lead") == F.col("g.lead")) & (F.col("g.sets") > 1))
     fits = apart & (100 * F.col("g.most") >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * F.col("g.least"))
     met = cells.where("not long").alias("x").join(matrix.alias("g"), (F.col("x.token") == F.col("g.token")) & fits)
-    met = stored(met.groupBy("x.number", "x.n", F.col("g.lead").alias("lead")).agg(F.count("*").alias("shared")))
-    more = cells.where("long").select("token", "number").join(met.select("number", "lead"), "number")
-    more = more.join(matrix.select("token", "lead"), ["token", "lead"]).groupBy("number", "lead").agg(F.count("*").alias("more"))
-    met = met.join(more, ["number", "lead"], "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= least)
+    met = stored(met.groupBy("x.number", "x.n", F.col("x.lead").alias("own_lead"), F.col("g.lead").alias("lead")).agg(F.count("*").alias("shared")))
+    # Candidates that reach the bound already need no count of the longest lists, nor do those of a set's own lead, which holds all of them.
+    counted = _counted_lists(cells, met.where((F.col("shared") < least) & (F.col("lead") != F.col("own_lead"))), matrix)
+    met = met.join(counted, ["number", "lead"], "left")
+    met = met.where((F.col("lead") == F.col("own_lead")) | (F.col("shared") + F.coalesce("more", F.lit(0)) >= least))
     met = met.select("number", "n", "lead").join(group.select("number", F.col("lead").alias("own_lead"), F.col("group").alias("own")), "number")
     spans = group.groupBy("lead", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
@@ -360,6 +361,12 @@ def _named_sets(docs: DataFrame, words: int, percent: int, group_sets: int) -> t
     return own, named
 
 
+def _counted_lists(cells: DataFrame, open_: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``(number, lead, more)``: of the longest lists of each candidate in ``open_``, how many its group is in."""
+    longest = cells.where("long").select("token", "number").join(open_.select("number", "lead"), "number")
+    return longest.join(matrix.select("token", "lead"), ["token", "lead"]).groupBy("number", "lead").agg(F.count("*").alias("more"))
+
+
 def _finish(texts, own, chosen, opened, group, words: int, percent: int) -> DataFrame:
     """``(number, least, component)`` of each set, with its smallest ``doc_id``."""
 

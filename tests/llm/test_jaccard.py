@@ -70,6 +70,22 @@ def test_random_groups(documents, seed, how):
     assert got(documents(many(seed)), **how) == brute(many(seed))
 
 
+def test_longest_lists_are_counted_only_where_the_others_leave_it_open(documents, monkeypatch):
+    """Sets that meet their own lead, or reach the bound without them, made one row for each of their longest lists."""
+    count, seen = jaccard._counted_lists, []
+
+    def counted(cells, open_, matrix):
+        seen.append((cells.where("long").count(), open_.join(cells.where("long"), "number").count()))
+        return count(cells, open_, matrix)
+
+    monkeypatch.setattr(jaccard, "_counted_lists", counted)
+    rng = random.Random(9)
+    rows = [(100 * g + k, noisy(rng, prose(70 + g, 200).split(), 0.01)) for g in range(4) for k in range(25)]
+    assert got(documents(rows)) == brute(rows)
+    longest, counts = seen[0]
+    assert longest > 500 and counts < longest / 10
+
+
 def test_hot_shingles_take_the_other_way(documents, monkeypatch):
     levels = jaccard._sketch_levels
     monkeypatch.setattr(jaccard, "_sketch_levels", lambda rows: (levels(rows)[0], 1))
