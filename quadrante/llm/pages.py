@@ -23,6 +23,7 @@ are compared with no one; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import re
+import zlib
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -256,6 +257,15 @@ def _common(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
+def _packed(html: str | None) -> bytes | None:
+    """Pages cross the shuffle packed: its own compression sees blocks of many pages' bytes, but finds far less."""
+    return None if html is None else zlib.compress(html.encode(), 4)
+
+
+def _unpacked(html: bytes | None) -> str | None:
+    return None if html is None else zlib.decompress(html).decode()
+
+
 _EDGES = pa.schema(
     [
         *(("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())),
@@ -268,11 +278,11 @@ def extract_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``; ``partitions`` of the sort, if given, change no text."""
 
     def located(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hosts, paths = zip(*(_path_of(u) for u in batch["url"].to_pylist())) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *batch.columns], ["host", "path", *batch.schema.names]
-            )
+            html = pa.array([_packed(x) for x in batch["html"].to_pylist()], pa.binary())
+            arrays = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), batch["page_id"], batch["url"], batch["tie"], html]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "page_id", "url", "tie", "html"])
 
     def text_of(page, previous, following):
         near = [p for p in (previous, following) if p and p[0] == page[0]]
@@ -298,6 +308,7 @@ def extract_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
 
         for batch in slices(batches):
             for host, path, page_id, url, html in zip(*(batch[n].to_pylist() for n in ("host", "path", "page_id", "url", "html"))):
+                html = _unpacked(html)
                 after = (host, path, page_id, url, html, lines_of(html))
                 if current:
                     rows.append(inside(current, before, after) if before else edge(current, after, True, False))
@@ -323,8 +334,8 @@ def extract_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_EDGES)[:3]))
 
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
-    rows = rows.mapInArrow(located, "host string, path string, page_id long, url string, html string")
-    order = ["host", "path", "page_id", F.xxhash64("html")]
+    rows = rows.withColumn("tie", F.xxhash64("html")).mapInArrow(located, "host string, path string, page_id long, url string, tie long, html binary")
+    order = ["host", "path", "page_id", "tie"]
     rows = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     schema = "page_id long, url string, text string, part int, first boolean, last boolean, host string, path string, html string, "
     rows = stored(rows.mapInArrow(paired, schema + "inner_host string, inner_path string, inner_html string"))

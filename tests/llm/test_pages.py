@@ -5,6 +5,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
+from quadrante.llm import pages as operator
 from quadrante.llm.pages import extract_text, lines_of, main_text, shared_lines
 
 SCHEMA = "page_id long, url string, html string, host string, text string"
@@ -137,3 +138,15 @@ def test_the_difference_decides_on_ambiguous_names_in_the_main_text():
     for part in ('<div id="search"><p>{}</p></div>', '<div class="header"><p>{}</p></div>', '<section class="banner"><p>{}</p></section>'):
         own, near, same = (lines_of(f"<article>{part.format(x)}<p>{y}</p></article>") for x, y in (("Intro", "text"), ("Other", "words"), ("Intro", "words")))
         assert main_text(own, near) == "Intro\n\ntext" and main_text(own, same) == "text" and main_text(own, None) == "text"
+
+
+def test_pages_cross_the_shuffle_packed(spark, monkeypatch):
+    moved, store = [], operator.stored
+    monkeypatch.setattr(operator, "stored", lambda df: moved.append(df) or store(df))
+    odd = [(1, "http://a/1", None), (2, "http://a/2", ""), (2, "http://a/2", "<main>é\x00 日本 &amp;</main>"), (None, None, page("<article>x</article>") * 50)]
+    got = texts(spark, odd)
+    assert [t for _, _, t in got] == ["", "", "é\x00 日本 &", got[-1][2]] and "x" in got[-1][2]
+    shuffled = moved[0]._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+    assert "html:binary" in shuffled  # the page itself before
+    html = page("<article>x</article>") * 50
+    assert operator._unpacked(operator._packed(html)) == html and len(operator._packed(html)) < len(html) / 10
