@@ -3,7 +3,8 @@
 Both supported kinds of file split a text at every blank before a word, whatever stands around it. So
 the pieces between blanks are encoded on their own and remembered, as natural text repeats its words;
 the library does all encoding. Texts in which a blank stands before white space or at the end are
-given to the library whole. Of the texts of a slice, Arrow numbers the distinct pieces and puts their ids together.
+given to the library whole. Arrow cuts the texts of a slice, numbers the distinct pieces and puts their ids together; Python
+sees each distinct piece of a slice once.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrante.llm.common import slices, stored
+from quadrante.llm.common import stored
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
 _PLAIN = re.compile(rf"(?:[{_LATIN}]++|[{_MARKS}]++|\n(?=[{_LATIN}{_MARKS}]))+\Z")
 #: A mark behind a letter and before a blank or the end, and a lone line break between letters or marks, are words of their own to both kinds.
-_MARK = re.compile(rf"(?<=[{_LATIN}])([.,;:!?])(?=[ \n]|\Z)")
-_BREAK = re.compile(rf"(?<=[{_LATIN}{_MARKS}])\n(?=[{_LATIN}{_MARKS}])")
+_MARK = rf"([{_LATIN}])([.,;:!?])([ \n]|\z)"
+_BREAK = rf"([{_LATIN}{_MARKS}])\n([{_LATIN}{_MARKS}])"
 _PARTS = re.compile(rf"[{_LATIN}]+|[{_MARKS}]+|\n")
 #: Words that a worker remembers at most; more take more memory and less time.
 WORDS = 1_200_000
@@ -36,6 +37,28 @@ _ALONE = "\x00"  # begins the key of what has no blank before it
 _workers: dict[tuple, "WordTokenizer"] = {}
 
 
+def sized(batches, size: int = 8 << 20, rows: int = 2500):
+    """Arrow batches cut into pieces of about ``size`` bytes of ``text`` and so many rows at most; a longer text is a piece of its own."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch["text"]).fill_null(0)), dtype=np.int64)
+        k = 0
+        while k < batch.num_rows:
+            before = ends[k - 1] if k else 0
+            end = min(k + rows, max(k + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(k, end - k)
+            k = end
+
+
+def _marked(texts: pa.Array) -> pa.Array:
+    """The texts with blanks before all their words, and what begins a word without one marked by ``_ALONE``."""
+    texts = pc.replace_substring_regex(texts, _MARK, f"\\1 {_ALONE}\\2\\3")
+    # A letter between two breaks is taken by the first; the second is met in another turn.
+    while pc.any(pc.match_substring_regex(texts, _BREAK)).as_py():
+        texts = pc.replace_substring_regex(texts, _BREAK, f"\\1 {_ALONE}\n {_ALONE}\\2")
+    first = pa.scalar(_ALONE, pa.large_string())
+    return pc.binary_join_element_wise(first, texts, pa.scalar("", pa.large_string()))
+
+
 class WordTokenizer:
     """Encodes texts to little-endian ids of ``width`` bytes, with a memory of at most about ``limit`` words. It has two
     generations: when the younger is half of that, it becomes the older, whose words come back if they are met again.
@@ -59,47 +82,57 @@ class WordTokenizer:
         self.of: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the memory of words is costly to walk
         try:
-            return self._encode(texts)
+            return self._encode(texts.cast(pa.large_string()).fill_null(""))
         finally:
             if collects:
                 gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        marked = [self._marked(text) for text in texts]
-        lists = pc.split_pattern(pa.array([m for m in marked if m], pa.large_string()), " ")
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        whole = self._uncut(texts)
+        lists = pc.split_pattern(_marked(texts.filter(pa.array(~whole))), " ")
         # Each distinct piece of these texts is looked up once; Arrow puts the ids of all pieces behind each other.
         flat = lists.flatten().dictionary_encode()
         pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = list(map(self.of.get, pieces))
-        missing = {p for p, v in zip(pieces, values) if v is None}
+        missing = [k for k, v in enumerate(values) if v is None]
         # A blank before white space (or at the end) is no cut: such texts go to the library whole.
-        odd = {p for p in missing if not p or p[0].isspace()}
-        learnt = self._learn(missing - odd)
-        ids = pa.array([learnt.get(p, b"") if v is None else v for p, v in zip(pieces, values)], pa.large_binary()).take(flat.indices)
+        odd = [k for k in missing if not pieces[k] or pieces[k][0].isspace()]
+        for k in odd:
+            values[k] = b""
+        missing = [k for k in missing if values[k] is None]
+        learnt = self._learn([pieces[k] for k in missing])
+        for k in missing:
+            piece = pieces[k]
+            values[k] = learnt[piece] if piece in learnt else self.of[piece]
+        ids = pa.array(values, pa.large_binary()).take(flat.indices)
         at = np.asarray(lists.offsets)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[at].tolist() if len(ids) else [0] * len(at)
         data = memoryview(ids.buffers()[2] or b"")
-        is_odd = np.array([p in odd for p in pieces], bool)[np.asarray(flat.indices)] if odd else np.zeros(len(flat), bool)
-        held = np.diff(np.concatenate(([0], np.cumsum(is_odd)))[at]).tolist()
-        cut = iter([None if n else bytes(data[x:y]) for x, y, n in zip(ends, ends[1:], held)])
-        out = [b"" if m == "" else None if m is None else next(cut) for m in marked]
-        whole = iter(self._library([t for t, ids in zip(texts, out) if ids is None]))
-        return [next(whole) if ids is None else ids for ids in out]
-
-    def _marked(self, text: str | None) -> str | None:
-        """The text with blanks before all its words; None if it must go to the library whole."""
-        if not text:
-            return ""
-        if not self.splits or _ALONE in text or any(token in text for token in self.special):
-            return None
-        text = _MARK.sub(f" {_ALONE}\\1", text)
-        if "\n" in text:
-            text = _BREAK.sub(f" {_ALONE}\n {_ALONE}", text)
-        return _ALONE + text
+        if odd:
+            is_odd = np.zeros(len(pieces), bool)
+            is_odd[odd] = True
+            held = np.diff(np.concatenate(([0], np.cumsum(is_odd[np.asarray(flat.indices)])))[at])
+            whole[np.flatnonzero(~whole)[held > 0]] = True
+            cut = iter([bytes(data[x:y]) for x, y, n in zip(ends, ends[1:], held.tolist()) if not n])
+        else:
+            cut = iter([bytes(data[x:y]) for x, y in zip(ends, ends[1:])])
+        rest = iter(self._library(texts.filter(pa.array(whole)).to_pylist()))
+        return [next(rest if w else cut) for w in whole.tolist()]
+
+    def _uncut(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must go to the library whole, before their pieces are seen."""
+        if not self.splits:
+            return np.ones(len(texts), bool)
+        out = np.asarray(pc.equal(pc.binary_length(texts), 0)).copy()
+        for held in (_ALONE, *self.special):
+            out |= np.asarray(pc.match_substring(texts, held))
+        return out
 
     def _keys(self, piece: str) -> list[str]:
         """Keys whose ids, one after the other, are those of the piece."""
@@ -117,23 +150,35 @@ class WordTokenizer:
             return [lead + parts[0], *(_ALONE + p for p in parts[1:])]
         return [lead + word]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; words and words with a mark are remembered."""
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Remembers the ids of new pieces if these are words, with a mark or without; returns those of the others."""
         if len(self.of) > self.limit // 2:
             self.older, self.of = self.of, {}
         of, older = self.of, self.older
-        learnt = {piece: older[piece] for piece in pieces if piece in older}
-        of.update(learnt)
-        keys = {piece: self._keys(piece) for piece in pieces if piece not in learnt}
-        new = {k for own in keys.values() for k in own if k not in of}
-        known = {k: older[k] for k in new if k in older}
-        of.update(known)
-        new = list(new - known.keys())
+        if older:
+            known = {piece: older[piece] for piece in pieces if piece in older}
+            of.update(known)
+            pieces = [piece for piece in pieces if piece not in known]
+        words = [piece for piece in pieces if piece.isalpha()]
+        keys = [w.lower() if w.isascii() else w for w in words] if self.lower else words
+        other = {piece: self._keys(piece) for piece in pieces if not piece.isalpha()}
+        wanted = dict.fromkeys(keys)
+        wanted.update((k, None) for own in other.values() for k in own)
+        new = [k for k in wanted if k not in of]
+        if older:
+            known = {k: older[k] for k in new if k in older}
+            of.update(known)
+            new = [k for k in new if k not in known]
         of.update(zip(new, self._library([k[1:] if k[:1] == _ALONE else " " + k for k in new])))
-        for piece, own in keys.items():
-            learnt[piece] = ids = of[own[0]] if len(own) == 1 else b"".join([of[k] for k in own])
+        if self.lower:
+            of.update(zip(words, [of[k] for k in keys]))
+        learnt = {}
+        for piece, own in other.items():
+            ids = of[own[0]] if len(own) == 1 else b"".join([of[k] for k in own])
             if len(own) <= 2:
                 of[piece] = ids
+            else:
+                learnt[piece] = ids
         return learnt
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -163,8 +208,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, extra=None, extra_schema:
     def encode(batches):
         tokenizer = worker_tokenizer(path, words)
         end = np.array([end_id], tokenizer.type).tobytes()
-        for part in slices(batches):
-            ids = [x + end for x in tokenizer.encode(part["text"].to_pylist())]
+        for part in sized(batches):
+            ids = [x + end for x in tokenizer.encode(part["text"])]
             n = pa.array([len(x) // tokenizer.width for x in ids], pa.int64())
             more = extra([np.frombuffer(x, tokenizer.type) for x in ids]) if extra else []
             names = ["seq", "doc_id", "n", "ids", *(f"x{i}" for i in range(len(more)))]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from quadrante.llm.common import shared_dir
 from quadrante.llm.packing import hilbert_keys, pack, sequences
 from quadrante.llm.token_files import decode_ranks, encode_ranks, read_tokens, token_digests, write_tokens
-from quadrante.llm.tokens import WordTokenizer
+from quadrante.llm.tokens import WordTokenizer, sized
 from tests.llm.conftest import odd_rows
 
 FILES = {"byte_bpe_50k.json": 0, "word_bpe_49k.json": 1}
@@ -41,6 +42,20 @@ def test_odd_words(name):
     assert got == [ids_of(name, t)[:-1] for t in texts]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_arrow_texts_are_encoded_without_python_texts(name):
+    texts = ["a\nb\nc\nd.", "a,\nb! c.", "é. \n", "", None, "x\x00y", "(a), b|c | d", "1. 2, a.b."]
+    for kind in (pa.string(), pa.large_string()):
+        got = OWN[name].encode(pa.array(["skipped", *texts], kind).slice(1))
+        assert [np.frombuffer(x, OWN[name].type).tolist() for x in got] == [ids_of(name, t)[:-1] for t in texts]
+
+
+def test_slices_are_bounded_by_bytes():
+    batch = pa.record_batch({"text": ["a" * n for n in (5, 5, 30, 1, 1)] + [None, "é" * 4, "b", "b", "b"]})
+    got = list(sized([batch, batch.slice(0, 0)], size=10, rows=3))
+    assert [len(part) for part in got] == [2, 1, 3, 3, 1] and pa.Table.from_batches(got).combine_chunks().to_batches() == [batch]
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=70))
 def test_codes_round_trip(ranks):
     control, data = encode_ranks(np.array(ranks, np.uint32))
