@@ -34,6 +34,8 @@ _PARTS = re.compile(rf"[{_LATIN}]+|[{_MARKS}]+|\n")
 #: Words that a worker remembers at most; more take more memory and less time.
 WORDS = 1_200_000
 _ALONE = "\x00"  # begins the key of what has no blank before it
+_BETWEEN = "|"  # stands between words that are encoded together
+_LINE = 1000
 _workers: dict[tuple, "WordTokenizer"] = {}
 
 
@@ -78,6 +80,7 @@ class WordTokenizer:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.special = [token["content"] for token in described["added_tokens"]]
+        self.between = self.library.encode(_BETWEEN, add_special_tokens=False).ids[0] if self.lower else None
         self.limit = limit
         self.of: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -169,6 +172,10 @@ class WordTokenizer:
             known = {k: older[k] for k in new if k in older}
             of.update(known)
             new = [k for k in new if k not in known]
+        if self.lower:
+            together = [k for k in new if k.isalpha()]
+            of.update(zip(together, self._together(together)))
+            new = [k for k in new if k not in of]
         of.update(zip(new, self._library([k[1:] if k[:1] == _ALONE else " " + k for k in new])))
         if self.lower:
             of.update(zip(words, [of[k] for k in keys]))
@@ -181,6 +188,22 @@ class WordTokenizer:
                 learnt[piece] = ids
         return learnt
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, which the library gets in lines of many with a mark between, as its steps for each text cost
+        more than a word. To such a file a mark is a word of its own and white space is nothing."""
+        out: list[bytes] = []
+        for k in range(0, len(words), _LINE):
+            part = words[k : k + _LINE]
+            ids = np.frombuffer(b"".join(self._library([f" {_BETWEEN}".join(part)])), self.type)
+            at = np.flatnonzero(ids == self.between)
+            if len(at) != len(part) - 1:
+                return self._library(words)
+            data = ids.tobytes()
+            ends = [*(at * self.width).tolist(), len(data)]
+            starts = [0, *((at + 1) * self.width).tolist()]
+            out += [data[x:y] for x, y in zip(starts, ends)]
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         kind = "H" if self.width == 2 else "I"

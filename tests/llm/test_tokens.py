@@ -56,6 +56,17 @@ def test_slices_are_bounded_by_bytes():
     assert [len(part) for part in got] == [2, 1, 3, 3, 1] and pa.Table.from_batches(got).combine_chunks().to_batches() == [batch]
 
 
+def test_new_lower_case_words_are_encoded_in_lines(monkeypatch):
+    name, calls = "word_bpe_49k.json", []
+    own = WordTokenizer(PATHS[name])
+    library = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: calls.extend(texts) or library(texts))
+    letters = [a + b + c for a in "abcdefgh" for b in "éèöuiopq" for c in "xyzwσΣşı語ǆﬁ"]
+    texts = [" ".join(f"{w}{v}" for v in letters[::50]) for w in letters[::7]]
+    assert [np.frombuffer(x, own.type).tolist() for x in own.encode(texts)] == [ids_of(name, t)[:-1] for t in texts]
+    assert len(calls) < 10  # one for each word before
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=70))
 def test_codes_round_trip(ranks):
     control, data = encode_ranks(np.array(ranks, np.uint32))
