@@ -258,7 +258,7 @@ def _common(a: str, b: str) -> int:
 
 
 def _packed(html: str | None) -> bytes | None:
-    """Pages cross the shuffle packed: its own compression sees blocks of many pages' bytes, but finds far less."""
+    """Pages cross the shuffle packed, which takes less disk than the shuffle's own compression."""
     return None if html is None else zlib.compress(html.encode(), 4)
 
 
